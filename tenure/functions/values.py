@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -59,11 +60,17 @@ def hash_uniform(*keys: Column, seed: int) -> Column:
     return F.conv(prefix, 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def right_closed_bin(x: Column, cuts: Column) -> Column:
+def right_closed_bin(x: Column, cuts: Sequence[float]) -> Column:
     """Number of the interval (cuts[i], cuts[i+1]] holding ``x``; NULL outside.
 
-    ``cuts`` is an ascending array column.
+    ``cuts`` is ascending. Plain comparisons, so the expression stays in generated code.
     """
+    below = reduce(lambda a, b: a + b, [(x > c).cast("int") for c in cuts])
+    return F.when((x > cuts[0]) & (x <= cuts[-1]), below)
+
+
+def right_closed_bin_of(x: Column, cuts: Column) -> Column:
+    """The same with the cut points in an array column, where they differ by row."""
     below = F.size(F.filter(cuts, lambda c: c < x))
     inside = (x > F.element_at(cuts, 1)) & (x <= F.element_at(cuts, -1))
     return F.when(inside, below)

@@ -6,11 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tenure.functions.values import right_closed_bin
+from tenure.functions.values import right_closed_bin, right_closed_bin_of
 from tenure.operators.ranking import auc_of_tallies
 from tenure.operators.tally import exact_quantiles
+from tenure.session import stage
 
 # Smoothing weight, decile steps, and the extra lowest cut point.
 SMOOTHING = 1.0e-3
@@ -50,73 +50,80 @@ def apply_rate_table(
     )
 
 
-def decile_cuts(train: DataFrame, variable: str) -> DataFrame:
-    """One row: the distinct deciles of the variable with the lowest cut added."""
-    return exact_quantiles(train, variable, DECILES).select(_cuts(F.col("quantiles")).alias("cuts"))
-
-
 def _cuts(quantiles: Column) -> Column:
     known = F.filter(quantiles, lambda q: q.isNotNull())
     return F.array_sort(F.array_distinct(F.concat(F.array(F.lit(LOWEST_CUT)), known)))
 
 
-def binned(df: DataFrame, cuts: DataFrame, variable: str, out: str = "bin") -> DataFrame:
-    return df.withColumn(out, right_closed_bin(F.col(variable).cast("double"), cuts.scalar()))
+def decile_cuts(train: DataFrame, variable: str) -> list[float]:
+    """The distinct deciles of the variable with the lowest cut added: at most 12 numbers."""
+    quantiles = exact_quantiles(train, variable, DECILES)
+    return quantiles.select(_cuts(F.col("quantiles"))).first()[0]
+
+
+def binned(df: DataFrame, cuts: Sequence[float], variable: str, out: str = "bin") -> DataFrame:
+    return df.withColumn(out, right_closed_bin(F.col(variable).cast("double"), cuts))
 
 
-def fit_binned_rate(train: DataFrame, variable: str, label: str) -> tuple[DataFrame, DataFrame]:
+def fit_binned_rate(
+    train: DataFrame, variable: str, label: str
+) -> tuple[list[float], DataFrame]:
     """Cut points and the rate table over their bins."""
     cuts = decile_cuts(train, variable)
     return cuts, fit_rate_table(binned(train, cuts, variable), "bin", label)
 
 
 def apply_binned_rate(
-    df: DataFrame, cuts: DataFrame, table: DataFrame, variable: str, out: str = "prediction"
+    df: DataFrame, cuts: Sequence[float], table: DataFrame, variable: str, out: str = "prediction"
 ) -> DataFrame:
     return apply_rate_table(binned(df, cuts, variable), table, "bin", out).drop("bin")
 
 
+PARTS = ("train", "test")
+COUNTS = [f"{part}_{count}" for part in PARTS for count in ("pos", "n")]
+
+
 def _long_tallies(
-    df: DataFrame, names: Sequence[str], dtype: T.DataType, label: str, is_train: str
+    df: DataFrame, categorical: Sequence[str], numeric: Sequence[str], label: str, is_train: str
 ) -> DataFrame:
-    """Class counts per variable and value, for training and testing rows at once."""
-    pos = F.col("_y")
-    train = F.col(is_train)
+    """Class counts per variable and value, for training and testing rows in one pass."""
+    cells = [
+        F.struct(F.lit(v).alias("variable"), F.col(v).cast("string").alias("text"),
+                 F.lit(None).cast("double").alias("number"))
+        for v in categorical
+    ] + [
+        F.struct(F.lit(v).alias("variable"), F.lit(None).cast("string").alias("text"),
+                 F.col(v).cast("double").alias("number"))
+        for v in numeric
+    ]
     long = df.select(
-        F.col(label).cast("int").alias("_y"), is_train, *[F.col(n).cast(dtype).alias(n) for n in names]
-    ).unpivot(["_y", is_train], list(names), "variable", "value")
-    return long.groupBy("variable", "value").agg(
-        F.sum(F.when(train, pos)).alias("train_pos"),
-        F.count(F.when(train, F.lit(1))).alias("train_n"),
-        F.sum(F.when(~train, pos)).alias("test_pos"),
-        F.count(F.when(~train, F.lit(1))).alias("test_n"),
+        F.col(label).cast("int").alias("y"), F.col(is_train).alias("train"),
+        F.inline(F.array(*cells)),
     )
+    of_part = {"train": F.col("train"), "test": ~F.col("train")}
+    counts = []
+    for part, belongs in of_part.items():
+        counts.append(F.coalesce(F.sum(F.when(belongs, F.col("y"))), F.lit(0)).alias(f"{part}_pos"))
+        counts.append(F.count(F.when(belongs, F.lit(1))).alias(f"{part}_n"))
+    return long.groupBy("variable", "text", "number").agg(*counts)
 
 
 def _aucs(levels: DataFrame, prior: Column) -> DataFrame:
     """Train and test AUC per variable from level tallies; each level is one score."""
-    seen = F.col("train_n") > 0
-    rate = F.when(
-        seen, _rate(F.col("value"), F.coalesce("train_pos", F.lit(0)), F.col("train_n"), prior)
-    ).otherwise(prior)
-    scored = levels.select(
-        "variable",
-        rate.alias("score"),
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(part).alias("part"),
-                        F.coalesce(f"{part}_pos", F.lit(0)).alias("pos"),
-                        F.col(f"{part}_n").alias("n"),
-                    )
-                    for part in ("train", "test")
-                ]
-            )
-        ).alias("c"),
-    ).where("c.n > 0")
-    tallies = scored.groupBy("variable", F.col("c.part").alias("part"), "score").agg(
-        F.sum("c.pos").alias("pos"), F.sum(F.col("c.n") - F.col("c.pos")).alias("neg")
+    rate = _rate(F.col("value"), F.col("train_pos"), F.col("train_n"), prior)
+    parts = [
+        F.struct(F.lit(p).alias("part"), F.col(f"{p}_pos").alias("pos"), F.col(f"{p}_n").alias("n"))
+        for p in PARTS
+    ]
+    tallies = (
+        levels.select(
+            "variable",
+            F.when(F.col("train_n") > 0, rate).otherwise(prior).alias("score"),
+            F.inline(F.array(*parts)),
+        )
+        .where("n > 0")
+        .groupBy("variable", "part", "score")
+        .agg(F.sum("pos").alias("pos"), F.sum(F.col("n") - F.col("pos")).alias("neg"))
     )
     return auc_of_tallies(tallies, ["variable", "part"])
 
@@ -134,29 +141,29 @@ def single_variable_report(
     points, rates and AUC are then all computed from those counts, for all
     variables together, instead of one model and two scoring passes per variable.
     """
-    prior = df.where(is_train).select(F.avg(F.col(label).cast("double"))).scalar()
+    tallies = stage(_long_tallies(df, categorical, numeric, label, is_train))
+    one = [*categorical, *numeric][0]
+    prior = tallies.where(F.col("variable") == one).select(
+        F.sum("train_pos") / F.sum("train_n")
+    ).scalar()
     parts = []
     if categorical:
-        tallies = _long_tallies(df, categorical, T.StringType(), label, is_train)
-        parts.append(_aucs(tallies, prior))
+        texts = tallies.where(F.col("variable").isin(list(categorical)))
+        parts.append(texts.select("variable", F.col("text").alias("value"), *COUNTS))
     if numeric:
-        tallies = _long_tallies(df, numeric, T.DoubleType(), label, is_train)
-        observed = tallies.where("train_n > 0").select("variable", "value", "train_n")
-        cuts = exact_quantiles(observed, "value", DECILES, ["variable"], "train_n").select(
-            F.col("variable").alias("_variable"), _cuts(F.col("quantiles")).alias("cuts")
-        )
+        numbers = tallies.where(F.col("variable").isin(list(numeric)))
+        cuts = exact_quantiles(
+            numbers.where("train_n > 0"), "number", DECILES, ["variable"], "train_n"
+        ).select(F.col("variable").alias("_variable"), _cuts(F.col("quantiles")).alias("cuts"))
         # One row per variable, so the broadcast is bounded by the number of columns.
         bins = (
-            tallies.join(F.broadcast(cuts), F.col("variable") == F.col("_variable"), "left")
-            .withColumn("value", right_closed_bin(F.col("value"), F.col("cuts")))
+            numbers.join(F.broadcast(cuts), F.col("variable") == F.col("_variable"), "left")
+            .withColumn("value", right_closed_bin_of(F.col("number"), F.col("cuts")).cast("string"))
             .groupBy("variable", "value")
-            .agg(*[F.sum(c).alias(c) for c in ("train_pos", "train_n", "test_pos", "test_n")])
+            .agg(*[F.sum(c).alias(c) for c in COUNTS])
         )
-        parts.append(_aucs(bins, prior))
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.unionByName(part)
-    return report.groupBy("variable").agg(
-        F.max(F.when(F.col("part") == "train", F.col("auc"))).alias("train_auc"),
-        F.max(F.when(F.col("part") == "test", F.col("auc"))).alias("test_auc"),
+        parts.append(bins.select("variable", "value", *COUNTS))
+    levels = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return _aucs(levels, prior).groupBy("variable").agg(
+        *[F.max(F.when(F.col("part") == p, F.col("auc"))).alias(f"{p}_auc") for p in PARTS]
     )

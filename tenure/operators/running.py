@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from tenure.session import stage
 
 
-def same_group(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on every key, so NULL groups find their totals."""
+def renamed(keys: Sequence[str]) -> list[Column]:
+    """Group keys under a leading underscore, for joining totals back without ambiguity."""
+    return [F.col(key).alias(f"_{key}") for key in keys]
+
+
+def same_group(keys: Sequence[str]) -> Column:
+    """Null-safe match of keys with their ``renamed`` form, so NULL groups find their totals."""
     condition = F.lit(True)
     for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
+        condition = condition & F.col(key).eqNullSafe(F.col(f"_{key}"))
     return condition
 
 
@@ -44,7 +49,7 @@ def running_totals(
         sliced.groupBy(*by, "_slice")
         .agg(*[F.sum(s).alias(s) for s in sums])
         .select(
-            *[F.col(k).alias(f"_{k}") for k in by],
+            *renamed(by),
             F.col("_slice").alias("_slice_id"),
             *[F.coalesce(F.sum(s).over(earlier_slices), F.lit(0)).alias(f"_{s}") for s in sums],
         )
@@ -52,9 +57,7 @@ def running_totals(
     local = sliced.select(
         "*", *[F.coalesce(F.sum(s).over(in_slice), F.lit(0)).alias(f"{s}_before") for s in sums]
     )
-    matched = F.col("_slice") == F.col("_slice_id")
-    for key in by:
-        matched = matched & F.col(key).eqNullSafe(F.col(f"_{key}"))
+    matched = (F.col("_slice") == F.col("_slice_id")) & same_group(by)
     return local.join(offsets, matched).select(
         *df.columns,
         *[(F.col(f"{s}_before") + F.col(f"_{s}")).alias(f"{s}_before") for s in sums],

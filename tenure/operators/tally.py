@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenure.operators.running import running_totals, same_group
+from tenure.operators.running import renamed, running_totals, same_group
 
 
 def share(
@@ -25,9 +25,9 @@ def share(
     if not within:
         total = tally.select(F.sum("n")).scalar()
         return tally.withColumn("percent", F.col("n") / total)
-    totals = tally.groupBy(*within).agg(F.sum("n").alias("_total"))
-    return tally.join(totals, same_group(tally, totals, within)).select(
-        *[tally[c] for c in tally.columns], (F.col("n") / F.col("_total")).alias("percent")
+    totals = tally.groupBy(*renamed(within)).agg(F.sum("n").alias("_total"))
+    return tally.join(totals, same_group(within)).select(
+        *tally.columns, (F.col("n") / F.col("_total")).alias("percent")
     )
 
 
@@ -78,9 +78,9 @@ def density_profile(
         by, F.least("bin", F.lit(bins - 1)).cast("long").alias("bin"), "n"
     )
     counts = counts.groupBy(by, "bin").agg(F.sum("n").alias("n"))
-    totals = counts.groupBy(by).agg(F.sum("n").alias("_total"))
-    return counts.join(totals, same_group(counts, totals, [by])).select(
-        counts[by], "bin", "n",
+    totals = counts.groupBy(*renamed([by])).agg(F.sum("n").alias("_total"))
+    return counts.join(totals, same_group([by])).select(
+        by, "bin", "n",
         (F.lit(low) + (F.col("bin") + 0.5) * width).alias("mid"),
         (F.col("n") / (F.col("_total") * width)).alias("density"),
     )
@@ -97,14 +97,14 @@ def smooth_density(
     """
     mean = F.sum(F.col("n") * F.col("mid")) / F.sum("n")
     second = F.sum(F.col("n") * F.col("mid") * F.col("mid")) / F.sum("n")
-    scale = profile.groupBy(F.col(by).alias("_by")).agg(
+    scale = profile.groupBy(*renamed([by])).agg(
         F.sum("n").alias("_total"),
         (0.9 * F.sqrt(F.greatest(second - mean * mean, F.lit(1e-12)))
          * F.pow(F.sum("n").cast("double"), F.lit(-0.2))).alias("_h"),
     )
     step = (high - low) / (points - 1)
     grid = (
-        profile.join(scale, F.col(by).eqNullSafe(F.col("_by")))
+        profile.join(scale, same_group([by]))
         .withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
         .withColumn("x", F.lit(low) + F.col("point") * step)
     )
@@ -118,9 +118,9 @@ def smooth_density(
 def ecdf(df: DataFrame, x: str, by: str) -> DataFrame:
     """Cumulative share of rows at or below each value, per group."""
     tally = df.where(F.col(x).isNotNull()).groupBy(by, x).agg(F.count("*").alias("n"))
-    totals = tally.groupBy(F.col(by).alias("_by")).agg(F.sum("n").alias("_total"))
+    totals = tally.groupBy(*renamed([by])).agg(F.sum("n").alias("_total"))
     steps = running_totals(tally, x, ["n"], [by])
-    return steps.join(totals, F.col(by).eqNullSafe(F.col("_by"))).select(
+    return steps.join(totals, same_group([by])).select(
         by, x, ((F.col("n_before") + F.col("n")) / F.col("_total")).alias("cdf")
     )
 
@@ -144,12 +144,9 @@ def exact_quantiles(
     size = F.sum(weight) if weight else F.count("*")
     tally = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(size.cast("long").alias("n"))
     steps = running_totals(tally, x, ["n"], by)
-    sizes = tally.groupBy(*[F.col(k).alias(f"_{k}") for k in by]).agg(F.sum("n").alias("_size"))
+    sizes = tally.groupBy(*renamed(by)).agg(F.sum("n").alias("_size"))
     if by:
-        matched = F.lit(True)
-        for key in by:
-            matched = matched & F.col(key).eqNullSafe(F.col(f"_{key}"))
-        ranked = steps.join(sizes, matched)
+        ranked = steps.join(sizes, same_group(by))
     else:
         ranked = steps.withColumn("_size", sizes.scalar())
 
