@@ -17,7 +17,7 @@ USER_COLUMNS = [
 
 def user_features(users: DataFrame, cohort: DataFrame) -> DataFrame:
     """Account attributes of the cohort's users, one row per account."""
-    ids = cohort.select(F.col("user_id").alias("id"))
+    ids = cohort.select(F.col("user_id").alias("id")).distinct()
     return users.join(ids, "id", "left_semi").select(
         F.col("id").alias("user_id"), F.col("created_at").alias("user_signup_date"), *USER_COLUMNS
     )
@@ -27,7 +27,7 @@ def user_flags(
     users: DataFrame, team_facts: DataFrame, client_facts: DataFrame, cohort: DataFrame
 ) -> DataFrame:
     """Signup date, team and mobile flags; accounts without facts get false."""
-    ids = cohort.select(F.col("user_id").alias("id"))
+    ids = cohort.select(F.col("user_id").alias("id")).distinct()
     accounts = users.join(ids, "id", "left_semi").select(
         F.col("id").alias("user_id"),
         F.col("billing_stripe_customer_id").alias("customer_id"),

@@ -3,6 +3,10 @@
 ``users`` is any DataFrame with a ``user_id`` column. It always enters as a
 semi-join: the id list never leaves the cluster, repeated ids cannot multiply
 activity rows, and the join strategy follows the measured size of the list.
+
+One user may own a large part of a log. Every feature therefore first collapses
+rows on a key finer than the user (see ``packed_groups``), and only then groups by
+user.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from tenure.functions.dates import (
     week_offset, week_start, year_fraction,
 )
 from tenure.functions.values import true
+from tenure.operators.grouping import packed_distinct, packed_groups
 from tenure.operators.reshape import pivot_measures
 
 # Action scopes, client type and feature names.
@@ -32,7 +37,7 @@ WEEKLY_MEASURES = {
 
 
 def of_users(activity: DataFrame, users: DataFrame) -> DataFrame:
-    return activity.join(users.select("user_id"), "user_id", "left_semi")
+    return activity.join(users.select("user_id").distinct(), "user_id", "left_semi")
 
 
 def _bit(position: Column) -> Column:
@@ -49,10 +54,9 @@ def action_features(
 ) -> DataFrame:
     """Distinct billing and analytics actions, weeks with billing actions, actions last week.
 
-    Actions shrink to one row per (user, action) before the per-user totals, so a
-    user with a large part of the log is spread over many tasks. Actions that no
-    feature counts all collapse into one row per user. The distinct weeks are a bit
-    set, since a lookback window has few of them.
+    Actions shrink to one row per (user, action) before the per-user totals.
+    Actions that no feature counts all collapse into one row per user. The distinct
+    weeks are a bit set, since a lookback window has few of them.
     """
     if weeks > 60:
         raise ValueError("the week set holds at most 60 weeks")
@@ -70,15 +74,14 @@ def action_features(
         (true(in_last_week) if last_week else F.lit(False)).alias("recent"),
         F.when(true(billing), _bit(week_offset(created, t, weeks))).otherwise(0).alias("weeks"),
     )
-    per_action = (
-        flagged.withColumn("id", F.when(F.col("billing") | F.col("analytics") | F.col("recent"), F.col("id")))
-        .groupBy("user_id", "id")
-        .agg(
-            F.max("billing").alias("billing"),
-            F.max("analytics").alias("analytics"),
-            F.max("recent").alias("recent"),
-            F.bit_or("weeks").alias("weeks"),
-        )
+    used = F.col("billing") | F.col("analytics") | F.col("recent")
+    per_action = packed_groups(
+        flagged.withColumn("id", F.when(used, F.col("id"))),
+        ["user_id", "id"],
+        F.max("billing").alias("billing"),
+        F.max("analytics").alias("analytics"),
+        F.max("recent").alias("recent"),
+        F.bit_or("weeks").alias("weeks"),
     )
 
     def counted(flag: str) -> Column:
@@ -105,10 +108,10 @@ def weekly_update_features(
 ) -> DataFrame:
     """Updates, active days, extension updates and errors per user and week.
 
-    Errors are counted per update and joined on the update id before anything is
-    grouped, so neither side multiplies the other and the large shuffle runs on
-    evenly spread ids. With ``profiles`` the user is the owner of the update's
-    profile, and distinct profiles are counted as well.
+    Updates become one row per id and errors one row per update before they are
+    joined, so neither side multiplies the other. Active days are a bit set of the
+    seven weekdays. With ``profiles`` the user is the owner of the update's profile,
+    and distinct profiles are counted as well.
     """
     recent = updates.where(in_lookback(F.col("created_at"), t, weeks))
     if sent_only:
@@ -117,7 +120,9 @@ def weekly_update_features(
         recent = of_users(recent, users)
         parts = []
     else:
-        owners = of_users(profiles, users).select(F.col("id").alias("profile_id"), "user_id").distinct()
+        owners = packed_distinct(
+            of_users(profiles, users).select(F.col("id").alias("profile_id"), "user_id")
+        )
         recent = recent.drop("user_id").join(owners, "profile_id")
         parts = ["profile_id"]
     tagged = recent.select(
@@ -129,15 +134,12 @@ def weekly_update_features(
         true(F.col("client_type") == EXTENSION).alias("extension"),
     )
     errors = update_errors.groupBy("update_id").agg(F.count_distinct("id").alias("errors"))
-    per_update = (
-        tagged.join(errors, "update_id", "left")
-        .groupBy("user_id", "week", *parts, "update_id")
-        .agg(
-            F.bit_or("days").alias("days"),
-            F.max("extension").alias("extension"),
-            F.max("errors").alias("errors"),
-        )
-    )
+    per_update = packed_groups(
+        tagged,
+        ["user_id", "week", *parts, "update_id"],
+        F.bit_or("days").alias("days"),
+        F.max("extension").alias("extension"),
+    ).join(errors, "update_id", "left")
     known = F.col("update_id").isNotNull()
     totals = [
         F.count("update_id").alias("updates"),
@@ -190,11 +192,10 @@ def weekly_updates(
         recent = updates.where(created.between(instant(since), instant(t)))
     if sent_only:
         recent = recent.where("was_sent_with_product")
-    return (
-        of_users(recent, users)
-        .groupBy("user_id", week_start(created).alias("week"))
-        .agg(F.count_distinct("id").cast("long").alias("updates"))
+    per_update = packed_distinct(
+        of_users(recent, users).select("user_id", week_start(created).alias("week"), "id")
     )
+    return per_update.groupBy("user_id", "week").agg(F.count("id").alias("updates"))
 
 
 def _with_calendar(weekly: DataFrame) -> tuple[DataFrame, Column]:
@@ -288,9 +289,10 @@ def update_recency(
     past = updates.where(F.col("created_at") <= snapshot_date(t).cast("timestamp_ntz"))
     if sent_only:
         past = past.where("was_sent_with_product")
-    return (
-        of_users(past, users)
-        .groupBy("user_id")
-        .agg(F.max("created_at").alias("last"))
-        .select("user_id", F.datediff(snapshot_date(t), F.to_date("last")).alias("days_since_last_update"))
+    weekly = packed_groups(
+        of_users(past, users).select("user_id", week_start(F.col("created_at")).alias("week"), "created_at"),
+        ["user_id", "week"],
+        F.max("created_at").alias("last"),
     )
+    days = F.datediff(snapshot_date(t), F.to_date(F.max("last")))
+    return weekly.groupBy("user_id").agg(days.alias("days_since_last_update"))

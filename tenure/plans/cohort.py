@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tenure.functions.dates import Instant, instant, shifted
 from tenure.functions.values import true
+from tenure.operators.grouping import packed_distinct
 from tenure.sources.tables import Sources
 
 # Plans that belong to other products, and the plans of the scoring job.
@@ -48,10 +49,10 @@ def charge_counts(
     tasks; the counts are then plain sums with map-side combining. Counting three
     conditional distincts directly would copy every charge three times.
     """
-    billed = (
+    billed = packed_distinct(
         invoices.where("paid and amount_due > 0")
         .where(F.col("date") < instant(t))
-        .join(subscription_ids, "subscription_id", "left_semi")
+        .join(subscription_ids.distinct(), "subscription_id", "left_semi")
         .select("subscription_id", F.col("id").alias("invoice"))
     )
     captured, paid, refunded = (F.col(c) for c in ("captured", "paid", "refunded"))
@@ -112,7 +113,7 @@ def subscription_cohort(
         described = described.join(owners, "customer_id")
     else:
         described = described.withColumnRenamed("metadata_user_id", "user_id")
-    described = described.select("subscription_id", *attributes).distinct()
+    described = packed_distinct(described.select("subscription_id", *attributes))
     return described.join(counts, "subscription_id").select(
         "subscription_id",
         *attributes,
@@ -122,7 +123,7 @@ def subscription_cohort(
 
 
 def cohort_users(cohort: DataFrame) -> DataFrame:
-    return cohort.select("user_id").distinct()
+    return cohort.select("user_id")
 
 
 def snapshot_label(
@@ -140,4 +141,4 @@ def snapshot_label(
 
 def inactive_users(cohort: DataFrame, activity: DataFrame, key: str = "user_id") -> DataFrame:
     """Users of the cohort that do not appear in the activity data."""
-    return cohort.select(key).distinct().join(activity, key, "left_anti")
+    return cohort.select(key).distinct().join(activity.select(key).distinct(), key, "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenure.functions.dates import Instant, as_datetime
-from tenure.operators.columns import fill_missing, star_except
+from tenure.operators.columns import fill_missing
 from tenure.plans.accounts import user_features, user_flags
 from tenure.plans.activity import (
     action_features, update_growth, update_recency, update_summary, weekly_update_features,
@@ -28,29 +28,36 @@ def churn_dataset(src: Sources, t: Instant, usage_t: Instant | None = None) -> D
     """Cohort, account attributes, action features and wide weekly updates.
 
     ``usage_t`` is the cut-off of the activity logs when it differs from the
-    billing snapshot. The cohort feeds every branch, so it is staged once. Features
-    stay NULL where a user has no activity.
+    billing snapshot. Features stay NULL where a user has no activity.
     """
     usage_t = usage_t or t
     cohort = stage(subscription_cohort(src, t))
     users = cohort_users(cohort)
-    accounts = user_features(src["users"], users)
-    actions = action_features(src["actions_taken"], users, usage_t)
     weekly = weekly_update_features(src["updates"], src["update_errors"], users, usage_t)
-    wide = wide_update_features(weekly, usage_t)
-    return (
-        cohort.join(accounts, "user_id")
-        .join(actions, "user_id", "left")
-        .join(wide, "user_id", "left")
-        .select(
-            *star_except(cohort, []),
-            *star_except(accounts, ["user_id"]),
-            *star_except(actions, ["user_id"]),
-            *star_except(wide, ["user_id"]),
-        )
+    return per_user(
+        cohort,
+        user_features(src["users"], users),
+        [
+            action_features(src["actions_taken"], users, usage_t),
+            wide_update_features(weekly, usage_t),
+        ],
     )
 
 
+def per_user(cohort: DataFrame, accounts: DataFrame, activity: Sequence[DataFrame]) -> DataFrame:
+    """Join per-user features to the subscriptions of a staged cohort.
+
+    The features meet on unique users first, where no key can be hot, and are
+    staged. One join then brings them to the subscriptions: with plain scans on both
+    sides, adaptive execution can split a user who owns many subscriptions.
+    """
+    features = accounts
+    for part in activity:
+        features = features.join(part, "user_id", "left")
+    joined = cohort.join(stage(features), "user_id")
+    return joined.select(*cohort.columns, *[c for c in features.columns if c != "user_id"])
+
+
 def scoring_dataset(
     src: Sources,
     t: Instant,
@@ -88,12 +95,10 @@ def scoring_dataset(
                 "user_id", "updates_per_week", "estimate"
             )
         )
-    dataset = cohort.join(flags, "user_id")
     filled = ["days_since_last_update"] if fill_recency else []
     for features in activity:
-        dataset = dataset.join(features, "user_id", "left")
         filled += [c for c in features.columns if c != "days_since_last_update"]
-    dataset = dataset.withColumns(
+    dataset = per_user(cohort, flags, activity).withColumns(
         {c: F.to_date(c) for c in ("created_at", "canceled_at")}
     )
     filled = [c for c in filled if c != "user_id"]

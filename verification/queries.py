@@ -182,7 +182,9 @@ def discovered_weeks(spark, d):
 
 
 def _weekly_counts(spark, d):
-    return activity.weekly_updates(b.sources(spark, d)["updates"], b.all_users(spark, d), b.T_USAGE)
+    """Weekly counts, staged because trimming and completing read them several times."""
+    updates = b.sources(spark, d)["updates"]
+    return stage(activity.weekly_updates(updates, b.all_users(spark, d), b.T_USAGE))
 
 
 @query
