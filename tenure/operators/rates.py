@@ -26,15 +26,20 @@ def _rate(level: Column, pos: Column, n: Column, prior: Column) -> Column:
 
 
 def fit_rate_table(train: DataFrame, variable: str, label: str) -> DataFrame:
-    """Columns ``level``, ``rate`` and ``prior``; one row per level seen in training."""
+    """Columns ``level``, ``rate`` and ``prior``; one row per level seen in training.
+
+    The table is the fitted model, so it is staged: applying it never refits, and a
+    frequent level can be split in the join because both sides are plain scans.
+    """
     y = F.col(label).cast("double")
     prior = train.select(F.avg(y)).scalar()
-    return (
+    levels = (
         train.groupBy(F.col(variable).alias("level"))
-        .agg(F.sum(y).alias("_pos"), F.count("*").alias("_n"))
+        .agg(F.sum(y).alias("pos"), F.count("*").alias("n"))
         .withColumn("prior", prior)
-        .select("level", _rate(F.col("level"), F.col("_pos"), F.col("_n"), F.col("prior")).alias("rate"), "prior")
     )
+    rate = _rate(F.col("level"), F.col("pos"), F.col("n"), F.col("prior"))
+    return stage(levels.select("level", rate.alias("rate"), "prior"))
 
 
 def apply_rate_table(

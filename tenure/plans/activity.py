@@ -2,7 +2,9 @@
 
 ``users`` is any DataFrame with a ``user_id`` column. It always enters as a
 semi-join: the id list never leaves the cluster, repeated ids cannot multiply
-activity rows, and the join strategy follows the measured size of the list.
+activity rows, and the join strategy follows the measured size of the list. Pass a
+table or a staged list (``cohort_users``): with a plain scan on either side, adaptive
+execution can split the rows of one busy user in the join.
 
 One user may own a large part of a log. Every feature therefore first collapses
 rows on a key finer than the user (see ``packed_groups``), and only then groups by
@@ -37,7 +39,7 @@ WEEKLY_MEASURES = {
 
 
 def of_users(activity: DataFrame, users: DataFrame) -> DataFrame:
-    return activity.join(users.select("user_id").distinct(), "user_id", "left_semi")
+    return activity.join(users.select("user_id"), "user_id", "left_semi")
 
 
 def _bit(position: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tenure.functions.dates import Instant, instant, shifted
 from tenure.functions.values import true
 from tenure.operators.grouping import packed_distinct
+from tenure.session import stage
 from tenure.sources.tables import Sources
 
 # Plans that belong to other products, and the plans of the scoring job.
@@ -52,7 +53,7 @@ def charge_counts(
     billed = packed_distinct(
         invoices.where("paid and amount_due > 0")
         .where(F.col("date") < instant(t))
-        .join(subscription_ids.distinct(), "subscription_id", "left_semi")
+        .join(subscription_ids, "subscription_id", "left_semi")
         .select("subscription_id", F.col("id").alias("invoice"))
     )
     captured, paid, refunded = (F.col(c) for c in ("captured", "paid", "refunded"))
@@ -123,7 +124,8 @@ def subscription_cohort(
 
 
 def cohort_users(cohort: DataFrame) -> DataFrame:
-    return cohort.select("user_id")
+    """Distinct users of a cohort, staged so that their real size is known to every join."""
+    return stage(cohort.select("user_id").distinct())
 
 
 def snapshot_label(

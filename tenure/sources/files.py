@@ -45,7 +45,7 @@ def materialize_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> N
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``updates`` replace rows of ``target`` with the same key; others are added."""
-    kept = target.join(updates.select(*keys).distinct(), keys, "left_anti")
+    kept = target.join(updates.select(*keys).distinct(), keys, "left_anti").select(*target.columns)
     return kept.unionByName(updates, allowMissingColumns=True)
 
 
