@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,23 @@ T_EARLIER = "1998-01-01"
 T_USAGE = "2024-01-31"
 
 
+# Declared schemas spare a schema-reading job per scan.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "labels": "doc_id long, quality int, toxic int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _days(n: Column) -> Column:
@@ -96,46 +113,53 @@ def users(customer: DataFrame, nation: DataFrame) -> DataFrame:
     )
 
 
-def sources(spark: SparkSession, sf_dir: str) -> Sources:
-    lineitem, orders, customer, nation, events = (
-        table(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "nation", "events")
+def team_facts(customer: DataFrame) -> DataFrame:
+    key = F.col("c_custkey")
+    return customer.where(key % 4 != 0).select(
+        key.alias("user_id"), (key % 3).alias("number_of_team_members")
+    )
+
+
+def client_facts(customer: DataFrame) -> DataFrame:
+    key = F.col("c_custkey")
+    return customer.where(key % 6 != 0).select(
+        key.alias("user_id"),
+        (key % 5 == 0).alias("is_ios_user"),
+        F.when(key % 11 != 0, key % 7 == 0).alias("is_android_user"),
     )
+
+
+def updates(events: DataFrame) -> DataFrame:
     k, event = _number_in_props(), F.col("event_id")
-    custkey = F.col("c_custkey")
-    return {
-        "stripe_subscriptions": subscriptions(orders, lineitem),
-        "stripe_invoices": invoices(lineitem),
-        "stripe_charges": charges(lineitem),
-        "users": users(customer, nation),
-        "user_team_member_facts": customer.where(custkey % 4 != 0).select(
-            custkey.alias("user_id"), (custkey % 3).alias("number_of_team_members")
-        ),
-        "user_client_facts": customer.where(custkey % 6 != 0).select(
-            custkey.alias("user_id"),
-            (custkey % 5 == 0).alias("is_ios_user"),
-            F.when(custkey % 11 != 0, custkey % 7 == 0).alias("is_android_user"),
-        ),
-        "updates": events.where("event_type in ('click', 'view')").select(
-            event.alias("id"), "user_id", (F.col("user_id") * 10 + event % 3).alias("profile_id"),
-            F.col("ts").alias("created_at"),
-            F.when(k % 3 == 0, "Extension").otherwise("web").alias("client_type"),
-            (k % 10 != 0).alias("was_sent_with_product"),
-        ),
-        "update_errors": events.where("event_type = 'error'").select(
-            event.alias("id"), (event - 1).alias("update_id")
-        ),
-        "actions_taken": events.select(
-            event.alias("id"), "user_id", F.col("ts").alias("created_at"),
-            F.when(F.col("event_type") == "purchase", "dashboard settings billing viewed")
-            .when(F.col("event_type") == "view", "dashboard analytics posts viewed")
-            .when(F.col("event_type") == "signup", "dashboard settings billing updated")
-            .otherwise(F.concat(F.lit("dashboard posts "), "event_type")).alias("full_scope"),
-        ),
-        "profiles": events.select(
-            (F.col("user_id") * 10 + event % 3).alias("id"), "user_id"
-        ).distinct(),
-        "helpscout_conversations": conversations(events),
-    }
+    return events.where("event_type in ('click', 'view')").select(
+        event.alias("id"), "user_id", (F.col("user_id") * 10 + event % 3).alias("profile_id"),
+        F.col("ts").alias("created_at"),
+        F.when(k % 3 == 0, "Extension").otherwise("web").alias("client_type"),
+        (k % 10 != 0).alias("was_sent_with_product"),
+    )
+
+
+def update_errors(events: DataFrame) -> DataFrame:
+    event = F.col("event_id")
+    return events.where("event_type = 'error'").select(
+        event.alias("id"), (event - 1).alias("update_id")
+    )
+
+
+def actions(events: DataFrame) -> DataFrame:
+    kind = F.col("event_type")
+    return events.select(
+        F.col("event_id").alias("id"), "user_id", F.col("ts").alias("created_at"),
+        F.when(kind == "purchase", "dashboard settings billing viewed")
+        .when(kind == "view", "dashboard analytics posts viewed")
+        .when(kind == "signup", "dashboard settings billing updated")
+        .otherwise(F.concat(F.lit("dashboard posts "), kind)).alias("full_scope"),
+    )
+
+
+def profiles(events: DataFrame) -> DataFrame:
+    owner = F.col("user_id") * 10 + F.col("event_id") % 3
+    return events.select(owner.alias("id"), "user_id").distinct()
 
 
 def conversations(events: DataFrame) -> DataFrame:
@@ -156,6 +180,45 @@ def conversations(events: DataFrame) -> DataFrame:
     )
 
 
+# Each source table with the test tables it is derived from.
+DERIVED: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]] = {
+    "stripe_subscriptions": (subscriptions, ("orders", "lineitem")),
+    "stripe_invoices": (invoices, ("lineitem",)),
+    "stripe_charges": (charges, ("lineitem",)),
+    "users": (users, ("customer", "nation")),
+    "user_team_member_facts": (team_facts, ("customer",)),
+    "user_client_facts": (client_facts, ("customer",)),
+    "updates": (updates, ("events",)),
+    "update_errors": (update_errors, ("events",)),
+    "actions_taken": (actions, ("events",)),
+    "profiles": (profiles, ("events",)),
+    "helpscout_conversations": (conversations, ("events",)),
+}
+
+
+class TestSources(Mapping[str, DataFrame]):
+    """Source tables by name; a table is only described when a query asks for it."""
+
+    __test__ = False
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._dir = spark, sf_dir
+
+    def __getitem__(self, name: str) -> DataFrame:
+        build, tables = DERIVED[name]
+        return build(*(table(self._spark, self._dir, t) for t in tables))
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(DERIVED)
+
+    def __len__(self) -> int:
+        return len(DERIVED)
+
+
+def sources(spark: SparkSession, sf_dir: str) -> Sources:
+    return TestSources(spark, sf_dir)
+
+
 def all_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
 
