@@ -36,14 +36,13 @@ def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFr
 
 def roc_curve(df: DataFrame, score: str, label: str) -> DataFrame:
     """True and false positive rate when everything at or above a score is flagged."""
-    tallies = score_tallies(df, score, label)
-    totals = tallies.select(F.struct(F.sum("pos").alias("p"), F.sum("neg").alias("n"))).scalar()
-    flagged_pos = totals.getField("p") - F.col("pos_before")
-    flagged_neg = totals.getField("n") - F.col("neg_before")
-    return running_totals(tallies, "score", ["pos", "neg"]).select(
-        F.col("score").alias("threshold"),
-        F.try_divide(flagged_pos, totals.getField("p")).alias("tpr"),
-        F.try_divide(flagged_neg, totals.getField("n")).alias("fpr"),
+    ranked = running_totals(score_tallies(df, score, label), "score", ["pos", "neg"])
+
+    def rate(name: str) -> Column:
+        return F.try_divide(F.col(f"{name}_total") - F.col(f"{name}_before"), F.col(f"{name}_total"))
+
+    return ranked.select(
+        F.col("score").alias("threshold"), rate("pos").alias("tpr"), rate("neg").alias("fpr")
     )
 
 

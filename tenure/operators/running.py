@@ -26,7 +26,8 @@ def same_group(keys: Sequence[str]) -> Column:
 def running_totals(
     df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Add ``<name>_before``: the sum over rows of the group that sort before this one.
+    """Add running totals per group: ``<name>_before`` over the rows that sort before this
+    one, and ``<name>_total`` over all rows of the group.
 
     ``df`` must have one row per (group, order value). A window over a whole group
     would put that group into one task, so rows are cut into range-partitioned
@@ -52,6 +53,7 @@ def running_totals(
             *renamed(by),
             F.col("_slice").alias("_slice_id"),
             *[F.coalesce(F.sum(s).over(earlier_slices), F.lit(0)).alias(f"_{s}") for s in sums],
+            *[F.sum(s).over(Window.partitionBy(*by)).alias(f"{s}_total") for s in sums],
         )
     )
     local = sliced.select(
@@ -61,4 +63,5 @@ def running_totals(
     return local.join(offsets, matched).select(
         *df.columns,
         *[(F.col(f"{s}_before") + F.col(f"_{s}")).alias(f"{s}_before") for s in sums],
+        *[f"{s}_total" for s in sums],
     )

@@ -118,11 +118,8 @@ def smooth_density(
 def ecdf(df: DataFrame, x: str, by: str) -> DataFrame:
     """Cumulative share of rows at or below each value, per group."""
     tally = df.where(F.col(x).isNotNull()).groupBy(by, x).agg(F.count("*").alias("n"))
-    totals = tally.groupBy(*renamed([by])).agg(F.sum("n").alias("_total"))
     steps = running_totals(tally, x, ["n"], [by])
-    return steps.join(totals, same_group([by])).select(
-        by, x, ((F.col("n_before") + F.col("n")) / F.col("_total")).alias("cdf")
-    )
+    return steps.select(by, x, ((F.col("n_before") + F.col("n")) / F.col("n_total")).alias("cdf"))
 
 
 def label_correlations(df: DataFrame, measures: Mapping[str, Column], label: str) -> DataFrame:
@@ -144,11 +141,6 @@ def exact_quantiles(
     size = F.sum(weight) if weight else F.count("*")
     tally = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(size.cast("long").alias("n"))
     steps = running_totals(tally, x, ["n"], by)
-    sizes = tally.groupBy(*renamed(by)).agg(F.sum("n").alias("_size"))
-    if by:
-        ranked = steps.join(sizes, same_group(by))
-    else:
-        ranked = steps.withColumn("_size", sizes.scalar())
 
     def value_at(rank: Column) -> Column:
         holds = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
@@ -156,11 +148,11 @@ def exact_quantiles(
 
     points = []
     for p in probs:
-        position = (F.col("_size") - 1) * F.lit(float(p))
+        position = (F.col("n_total") - 1) * F.lit(float(p))
         below, above = value_at(F.floor(position)), value_at(F.ceil(position))
         part = F.max(position - F.floor(position))
         points.append(below + (above - below) * part)
-    return ranked.groupBy(*by).agg(F.array(*points).alias("quantiles"))
+    return steps.groupBy(*by).agg(F.array(*points).alias("quantiles"))
 
 
 def growth_extremes(slopes: DataFrame, weekly: DataFrame, k: int = 15) -> DataFrame:
