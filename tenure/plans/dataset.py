@@ -14,7 +14,9 @@ from tenure.plans.activity import (
     action_features, update_growth, update_recency, update_summary, weekly_update_features,
     wide_update_features,
 )
-from tenure.plans.cohort import SCORED_PLANS, cohort_users, subscription_cohort
+from tenure.plans.cohort import (
+    SCORED_PLANS, cohort_users, snapshot_label, subscription_cohort,
+)
 from tenure.plans.flags import derive_flags
 from tenure.session import stage
 from tenure.sources.tables import Sources
@@ -115,6 +117,43 @@ def clean_scoring_dataset(df: DataFrame, t: Instant) -> DataFrame:
     return derive_flags(df, t).withColumn("did_churn", F.col("did_churn").cast("int"))
 
 
+def feature_file_dataset(
+    file: DataFrame,
+    src: Sources,
+    as_of: Instant,
+    active_from: Instant,
+    churn_until: Instant,
+    created_until: Instant,
+    updates_since: Instant,
+    updates_until: Instant | None = None,
+    usage_t: Instant | None = None,
+) -> DataFrame:
+    """Modelling dataset from the flat export of subscriptions (``id`` is the user).
+
+    Label and activity filter come from dates; recency, growth and action features of
+    the remaining users are added, absent counts become 0, and flags are derived.
+    ``updates_until`` ends the weekly series and ``usage_t`` dates the recency and the
+    actions; both default to ``as_of``. A validation set is the same call at later dates.
+    """
+    usage_t = usage_t or as_of
+    labelled = stage(
+        snapshot_label(file, active_from, churn_until, created_until).withColumnRenamed("id", "user_id")
+    )
+    users = cohort_users(labelled)
+    activity = [
+        update_recency(src["updates"], users, usage_t),
+        update_growth(src["updates"], users, updates_until or as_of, since=updates_since),
+        action_features(src["actions_taken"], users, usage_t, last_week=False),
+    ]
+    counts = [
+        c for part in activity for c in part.columns
+        if c not in ("user_id", "days_since_last_update")
+    ]
+    joined = per_user(labelled, users, activity)
+    filled = fill_missing(joined, [*counts, "number_of_team_members"])
+    return derive_flags(filled, as_of).withColumnRenamed("user_id", "id")
+
+
 def snapshots(
     build: Callable[[Instant], DataFrame], dates: Sequence[Instant]
 ) -> DataFrame:

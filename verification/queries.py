@@ -275,6 +275,22 @@ def clean_scoring_dataset(spark, d):
     )
 
 
+@query
+def feature_file_dataset(spark, d):
+    """Flat export with its activity columns rebuilt from the logs."""
+    file = b.feature_file(spark, d).drop(
+        "days_since_last_update", "weeks_with_updates", "total_updates", "estimate",
+        "billing_actions", "analytics_actions",
+    )
+    return _tidied(
+        dataset.feature_file_dataset(
+            file, b.sources(spark, d), as_of=b.T, active_from=b.T, churn_until="1998-10-01",
+            created_until="1998-02-01", updates_since="2024-01-03", updates_until="2024-01-29",
+            usage_t=b.T_USAGE,
+        )
+    )
+
+
 @query
 def train_and_validation_snapshots(spark, d):
     src = b.sources(spark, d)
