@@ -31,15 +31,13 @@ def fit_rate_table(train: DataFrame, variable: str, label: str) -> DataFrame:
     The table is the fitted model, so it is staged: applying it never refits, and a
     frequent level can be split in the join because both sides are plain scans.
     """
-    y = F.col(label).cast("double")
-    prior = train.select(F.avg(y)).scalar()
-    levels = (
-        train.groupBy(F.col(variable).alias("level"))
-        .agg(F.sum(y).alias("pos"), F.count("*").alias("n"))
-        .withColumn("prior", prior)
+    levels = train.groupBy(F.col(variable).alias("level")).agg(
+        F.sum(F.col(label).cast("double")).alias("pos"), F.count("*").alias("n")
     )
+    prior = levels.select(F.sum("pos") / F.sum("n")).scalar()
+    rated = levels.withColumn("prior", prior)
     rate = _rate(F.col("level"), F.col("pos"), F.col("n"), F.col("prior"))
-    return stage(levels.select("level", rate.alias("rate"), "prior"))
+    return stage(rated.select("level", rate.alias("rate"), "prior"))
 
 
 def apply_rate_table(

@@ -39,8 +39,12 @@ def materialize(df: DataFrame, path: str, cluster_by: str, partitions: int | Non
 
 
 def materialize_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
-    """Catalog table bucketed and sorted by a key: later joins on it need no shuffle."""
-    df.write.bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)
+    """Catalog table bucketed and sorted by a key: joins on that key need no shuffle.
+
+    Rebalancing first keeps the number of files near the number of buckets. A bucket is
+    read by one task, so prefer ``materialize`` where a single key may dominate.
+    """
+    df.hint("rebalance", key).write.bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:

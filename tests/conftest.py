@@ -18,6 +18,7 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "8g",
+            "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="tenure-warehouse-"),
             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tenure-test-"),
         },
     )

@@ -87,7 +87,7 @@ def test_classifiers_rank_planted_labels(planted, kind):
     model = {
         "forest": lambda: classifiers.fit_forest(train, features, "y", trees=20, depth=5),
         "mlp": lambda: classifiers.fit_mlp(train, features, "y", hidden=[8], iterations=40),
-        "svc": lambda: classifiers.fit_svc(train, features, "y", iterations=30),
+        "svc": lambda: classifiers.fit_svc(train, features, "y", iterations=10),
     }[kind]()
     scored = classifiers.predict_classifier(model, test)
     assert scored.count() == test.count()

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tenure.plans.activity import action_features, update_growth, weekly_update_features
 from tenure.plans.cohort import subscription_cohort
 from tenure.session import stage, staging_root
+from tenure.sources import files
 from verification import binding as b
 
 SF = "/root/testdata/sf0.01"
@@ -97,3 +98,12 @@ def test_stage_uses_the_configured_folder(spark):
     assert staging_root(spark) == folder
     staged = stage(spark.range(5))
     assert staged.count() == 5 and all(folder in path for path in staged.inputFiles())
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, shuffled_joins):
+    rows = spark.range(2000).select((F.col("id") % 400).alias("user_id"), "id")
+    for name in ("bucketed_left", "bucketed_right"):
+        files.materialize_bucketed(rows, name, "user_id", 8)
+    joined = spark.table("bucketed_left").join(spark.table("bucketed_right"), "user_id")
+    assert joined.count() == 10_000
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
