@@ -95,8 +95,25 @@ def span_counts(wide: DataFrame, columns: Sequence[str], prefix: str = "span_")
     return wide.select(*other, *[c.alias(n) for n, c in totals.items()]).select(*other, *spans)
 
 
-def find_levels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[object]]:
-    return {c: distinct_values(df, c) for c in columns}
+def find_levels(
+    df: DataFrame, columns: Sequence[str], limit: int = 10_000
+) -> dict[str, list[str]]:
+    """Levels of several text columns in one pass, in order, without NULL.
+
+    More than ``limit`` in total is an error: use an indexed category instead.
+    """
+    cells = [F.struct(F.lit(c).alias("name"), F.col(c).alias("level")) for c in columns]
+    found = (
+        df.select(F.inline(F.array(*cells)))
+        .where("level is not null")
+        .distinct()
+        .orderBy("name", "level")
+        .limit(limit + 1)
+        .collect()
+    )
+    if len(found) > limit:
+        raise ValueError(f"{list(columns)} have more than {limit} levels; index them instead")
+    return {c: [row["level"] for row in found if row["name"] == c] for c in columns}
 
 
 def one_hot(df: DataFrame, levels: Levels) -> DataFrame:

@@ -812,10 +812,10 @@ def support_vector_scores(spark, d):
     return classifiers.predict_classifier(model, test).select("subscription_id", "did_churn", "pred")
 
 
-def _export(spark, d, t):
+def _export(spark, d, t, horizon=2):
     """Exported training file: booleans spelled t / f, two text categories."""
     src = b.sources(spark, d)
-    cohort_ = cohort.subscription_cohort(src, t)
+    cohort_ = cohort.subscription_cohort(src, t, horizon=horizon)
     users = accounts.user_features(src["users"], cohort_)
     df = cohort_.join(users, "user_id")
     spelled = {c: F.when(F.col(c), "t").otherwise("f") for c in features.EXPORT_FLAGS}
@@ -836,15 +836,18 @@ def prepared_export(spark, d):
 
 @query
 def export_validation(spark, d):
-    """Support vectors fitted on the earlier export, ranked on the later one."""
-    prepared, later = validation.train_and_validation(
-        stage(_export(spark, d, b.T_EARLIER)), stage(_export(spark, d, b.T))
+    """Support vectors fitted on the earlier export, ranked on the later one.
+
+    A one-year horizon leaves cancellations to learn from at every test scale.
+    """
+    train, later = (
+        columns.clean_names(df)
+        for df in validation.train_and_validation(
+            stage(_export(spark, d, b.T_EARLIER, 12)), stage(_export(spark, d, b.T, 12))
+        )
     )
     label = "churned_in_next_two_months"
-    names = [c for c in prepared.columns if c not in ("subscription_id", label)]
-    model = classifiers.fit_svc(
-        columns.clean_names(prepared), [c for c in columns.clean_names(prepared.select(*[f"`{n}`" for n in names])).columns],
-        label, iterations=20,
-    )
-    scored = stage(classifiers.predict_classifier(model, columns.clean_names(later)).select(label, "pred"))
+    inputs = [c for c in train.columns if c not in ("subscription_id", label)]
+    model = classifiers.fit_svc(train, inputs, label, iterations=10)
+    scored = stage(classifiers.predict_classifier(model, later).select(label, "pred"))
     return validation.validate(scored, "pred", label, 0.0)
