@@ -72,6 +72,14 @@ EXPORT_FLAGS = [
     "is_approved", "is_suspended",
 ]
 
+# Columns of the flat feature file, as the cross-validated forest reads it.
+FLAT_CATEGORIES = [
+    "locale_browser_language", "signup_client_name", "signup_option", "plan_id",
+    "billing_interval", "country", "simplified_plan_name",
+]
+FLAT_DROPPED = ["signup_date", "created_at", "canceled_at", "subscription_id", "estimate"]
+FLAT_FLAGS = ["ios_user", "android_user"]
+
 # Single-variable models.
 SINGLE_CATEGORICAL = [
     "signup_option", "is_mobile_user", "billing_interval", "country", "simplified_plan_name",

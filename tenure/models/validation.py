@@ -15,20 +15,32 @@ from tenure.operators.ranking import auc, threshold_metrics
 from tenure.operators.reshape import Levels, align_columns, find_levels, one_hot
 
 
-def prepare_export(df: DataFrame, levels: Levels | None = None) -> DataFrame:
+def prepare_export(
+    df: DataFrame,
+    levels: Levels | None = None,
+    categories: Sequence[str] = tuple(EXPORT_CATEGORIES),
+    dropped: Sequence[str] = tuple(EXPORT_DROPPED),
+    flags: Sequence[str] = tuple(EXPORT_FLAGS),
+    spelling: tuple[str, str] = ("t", "f"),
+) -> DataFrame:
     """Indicators for the categories, trial flag, real booleans, zeros for missing numbers.
 
-    Pass the training levels when preparing a later file, so both have one layout.
+    Pass the training levels when preparing a later file, so both have one layout. The
+    defaults fit the exported training file; the flat feature file spells its flags
+    ``Yes`` / ``No`` and has its own lists.
     """
+    present = set(df.columns)
     if levels is None:
-        levels = find_levels(df, [c for c in EXPORT_CATEGORIES if c in df.columns])
-    encoded = one_hot(df, levels).withColumn("trialed", F.col("trial_start_at").isNotNull())
-    flags = {
-        c: spelled_flag(F.col(c), "t", "f")
-        for c in EXPORT_FLAGS
-        if c in df.columns and isinstance(df.schema[c].dataType, T.StringType)
+        levels = find_levels(df, [c for c in categories if c in present])
+    encoded = one_hot(df, levels)
+    if "trial_start_at" in present:
+        encoded = encoded.withColumn("trialed", F.col("trial_start_at").isNotNull())
+    read = {
+        c: spelled_flag(F.col(c), *spelling)
+        for c in flags
+        if c in present and isinstance(df.schema[c].dataType, T.StringType)
     }
-    return fill_missing(encoded.withColumns(flags).drop(*EXPORT_DROPPED))
+    return fill_missing(encoded.withColumns(read).drop(*dropped))
 
 
 def train_and_validation(train: DataFrame, validation: DataFrame) -> tuple[DataFrame, DataFrame]:

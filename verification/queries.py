@@ -834,6 +834,17 @@ def prepared_export(spark, d):
     return columns.clean_names(both)
 
 
+@query
+def flat_file_matrix(spark, d):
+    """Flat feature file as the numeric matrix of the cross-validated forest."""
+    file = b.feature_file(spark, d).drop("country", "number_of_profiles")
+    matrix = validation.prepare_export(
+        file, categories=features.FLAT_CATEGORIES, flags=features.FLAT_FLAGS, spelling=("Yes", "No"),
+        dropped=[c for c in features.FLAT_DROPPED if c != "subscription_id"],
+    )
+    return columns.clean_names(matrix)
+
+
 @query
 def export_validation(spark, d):
     """Support vectors fitted on the earlier export, ranked on the later one.
