@@ -28,4 +28,61 @@ select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
 from m group by doc_id
 """
 
-SQL = {"op3_content_sort": CONTENT_SORT, "op5_line_dedup": LINE_DEDUP}
+METRIC_JOIN = f"""
+with recursive w as (
+  select doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+') if x <> ''] as ws
+  from documents
+),
+s as (
+  select doc_id, case when len(ws) = 0 then [] when len(ws) < 4 then [array_to_string(ws, ' ')]
+    else list_distinct([array_to_string(ws[i:i + 3], ' ') for i in range(1, len(ws) - 2)]) end as ss
+  from w
+),
+t as (select doc_id, len(ss) as n, unnest(ss) as shingle from s),
+links as (
+  select a.doc_id as x, b.doc_id as y from t a join t b on a.shingle = b.shingle and a.doc_id < b.doc_id
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))
+),
+steps as (select x, y from links union select y, x from links),
+reach(doc_id, r) as (
+  select doc_id, doc_id from documents
+  union
+  select reach.doc_id, steps.y from reach join steps on reach.r = steps.x
+)
+select s.doc_id, len(s.ss) as n_shingles, min(reach.r) as component_id
+from s join reach on s.doc_id = reach.doc_id group by s.doc_id, len(s.ss)
+"""
+
+WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+DECONTAMINATE = f"""
+with d as (select doc_id, {WORDS} as ws from documents),
+b as (select item_id, {WORDS} as ws from benchmark),
+windows as (
+  select item_id, len(ws) as size, array_to_string(ws, ' ') as win from b where len(ws) between 1 and 9
+  union
+  select item_id, 10, array_to_string(ws[i:i + 9], ' ') from b, unnest(range(1, len(ws) - 8)) as u(i) where len(ws) >= 10
+),
+sizes as (select distinct size from windows),
+grams as (
+  select doc_id, size, i, array_to_string(ws[i:i + size - 1], ' ') as win
+  from d, sizes, unnest(range(1, len(ws) - size + 2)) as u(i) where len(ws) >= size
+),
+hits as (select g.doc_id, g.i, g.size, w.item_id from grams g join windows w on g.size = w.size and g.win = w.win),
+words as (select doc_id, count(distinct p) as n_hit from hits, unnest(range(i, i + size)) as u(p) group by doc_id),
+items as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names
+  from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id
+)
+select d.doc_id, len(d.ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (doc_id) left join items using (doc_id)
+"""
+
+# The other operators learn a model, parse markup or plan bins, which SQL does not express;
+# tests/llm compares them with brute force, round trips or held-out labels.
+SQL = {
+    "op3_content_sort": CONTENT_SORT,
+    "op4_metric_join": METRIC_JOIN,
+    "op5_line_dedup": LINE_DEDUP,
+    "op7_decontaminate": DECONTAMINATE,
+}

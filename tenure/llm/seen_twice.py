@@ -64,14 +64,14 @@ class Collector:
         self.held, self.size = [], 0
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge(batches: Iterator[pa.RecordBatch], second: bool) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by slice; one slice is held at a time."""
     width, now = 2**SLICE_BITS, None
     once, twice = np.zeros(width, bool), np.zeros(width, bool)
 
     def done() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array([now], pa.int32()), pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())],
+            [pa.array([now], pa.int32()), pa.array([np.packbits(twice if second else once, bitorder="little").tobytes()], pa.binary())],
             names=["slice", "bits"],
         )
 
@@ -90,9 +90,9 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def merged(parts: DataFrame, bits: int) -> np.ndarray:
-    """The second filter as packed bits (at most 2^29 / 8 bytes)."""
-    slices = parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(_merge, "slice int, bits binary")
+def merged(parts: DataFrame, bits: int, twice: bool = True) -> np.ndarray:
+    """The second filter, or the first one, as packed bits (at most 2^29 / 8 bytes)."""
+    slices = parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(lambda b: _merge(b, twice), "slice int, bits binary")
     filter_ = np.zeros(2**bits // 8, np.uint8)
     size = 2**SLICE_BITS // 8
     for row in slices.collect():
