@@ -232,8 +232,9 @@ def decontaminate(
     ``find_contamination``; the columns of ``docs`` are returned.
     """
     at = next(i for i, c in enumerate(docs.columns) if c.lower() == text_col.lower())
-    width, out = len(docs.columns), docs
-    schema = extended(docs, docs.columns, "__words long, __cut long")
+    names, out = docs.columns, docs
+    width = len(names)
+    schema = extended(docs, names, "__words long, __cut long")
     for number, automata in enumerate(_passes(benchmark, item_col, item_text_col, window)):
         later = number > 0
 
@@ -259,7 +260,7 @@ def decontaminate(
                         texts[i], words = text, words_of(text)
                 columns = list(batch.columns[:width])
                 columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_cut, pa.int64())], names=[*docs.columns, "__words", "__cut"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_cut, pa.int64())], names=[*names, "__words", "__cut"])
 
         out = (stage(out) if later else out).mapInArrow(cut, schema)
     kept = (F.col("__cut") == 0) | (F.col("__cut") < most_coverage * F.col("__words"))
