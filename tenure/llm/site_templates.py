@@ -1,11 +1,12 @@
 """Main text of web pages by removal of site templates.
 
-Every element subtree of a page is hashed; Spark counts on how many pages of its host
-each subtree occurs. Subtrees that recur across many pages of the host are template and
-are deleted, together with elements that are never content (scripts, styles, menus,
-forms, adverts, comments of readers). Inside the element that a page declares as its
-article or main part nothing is deleted for recurring: a paragraph that several articles
-share is still text.
+Every element subtree of a page is hashed; Spark counts on how many different pages of its
+host each subtree occurs. Subtrees that recur across many pages of the host are template
+and are deleted, together with elements that are never content (scripts, styles, menus,
+forms, adverts, comments of readers). Where a page declares an article or main part, the
+rest of the page goes as well. Inside an article only boxes (divisions, sections, lists,
+tables) are deleted for recurring, and only when most articles of the host have them: a
+paragraph that several articles share is still text. Copies of one article count once.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tenure.llm import seen_twice
 from tenure.llm.common import col, extended, others
 from tenure.session import stage
 
-#: A subtree is template when it occurs on so many pages of its host, and on this share of them.
-LEAST_PAGES, LEAST_SHARE = 5, 0.2
+#: A subtree is template when it occurs on so many different pages of its host, and on this
+#: share of them; a box inside an article on the larger share.
+LEAST_PAGES, LEAST_SHARE, LEAST_SHARE_INSIDE = 5, 0.2, 0.5
 PRODUCED = ("main_text", "n_chars")
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,6 +33,7 @@ RAW = set("script style textarea title noscript template iframe svg math canvas
 SKIP = RAW | set("head nav header footer aside form button select option dialog menu figure-ad".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 MAIN = set("article main".split())
+BOXES = set("div section ul ol dl table figure details".split())
 MAIN_ROLES = set("main article".split())
 SKIP_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 # Whole words of class and id values that mark parts which are not content. LAYOUT words
@@ -164,31 +166,40 @@ def content_root_below(main: Node) -> list[Node]:
     return found or [main]
 
 
-def hash_subtrees(root: Node) -> list[int]:
-    """Hashes of all subtrees with text that lie outside of articles and are not skipped anyway."""
-    found, roots, closed, inside = [], set(map(id, content_root(root))), 0, 0
+def hash_subtrees(root: Node, roots: list[Node]) -> tuple[list[int], list[int], int]:
+    """Hash every subtree. Returns those outside of the articles, the boxes inside, and the content of the page."""
+    outside, boxes, inside = [], [], 0
+    tops = set(map(id, roots))
     for node, after in _in_order(root):
-        own = id(node) in roots
+        top = id(node) in tops
         if not after:
-            closed += node.skipped
-            inside += own
+            inside += top
             continue
-        inside -= own
-        if not closed and not inside and not own:
-            parts = [node.name, *(_WHITE.sub(" ", c) if isinstance(c, str) else f"\x01{c.hash}" for c in node.children)]
-            node.hash = xxhash.xxh3_64_intdigest("\x00".join(parts))
-            if node.name not in ("#root", "html", "body") and any(not isinstance(c, str) or c.strip() for c in node.children):
-                found.append(node.hash)
-        closed -= node.skipped
-    return found
-
-
-def main_text(page: str | None, template: set[int] = frozenset()) -> str:
-    """Blocks of the main part in page order, joined by an empty line."""
+        inside -= top
+        parts = [node.name, *(_WHITE.sub(" ", c) if isinstance(c, str) else f"\x01{c.hash}" for c in node.children)]
+        node.hash = xxhash.xxh3_64_intdigest("\x00".join(parts))
+        filled = any(not isinstance(c, str) or c.strip() for c in node.children)
+        if top or not filled or node.name in ("#root", "html", "head", "body"):
+            continue
+        if not inside:
+            outside.append(node.hash)
+        elif node.name in BOXES:
+            boxes.append(node.hash)
+    content = xxhash.xxh3_64_intdigest(b"".join(n.hash.to_bytes(8, "little") for n in roots or [root]))
+    return outside, boxes, content
+
+
+def main_text(page: str | None, template: set[int] = frozenset(), boxes: set[int] = frozenset()) -> str:
+    """Blocks of the main part in page order, joined by an empty line.
+
+    ``template`` holds the hashes of subtrees to delete outside of articles, ``boxes`` those
+    to delete inside.
+    """
     root = parse(page or "")
     roots = content_root(root)
-    if not roots:
-        hash_subtrees(root)
+    if template or boxes:
+        hash_subtrees(root, roots)
+    gone = boxes if roots else template
     blocks: list[str] = []
     held: list[str] = []
 
@@ -208,8 +219,8 @@ def main_text(page: str | None, template: set[int] = frozenset()) -> str:
                 held.append(part)
             elif part.name == "br":
                 held.append(" ")
-            elif part.skipped and part is not top or not roots and part.hash in template:
-                if part.name not in INLINE:
+            elif part is not top and (part.skipped or part.hash in gone and (not roots or part.name in BOXES)):
+                if part.name not in INLINE and part.name not in RAW:
                     close()
             else:
                 block = part.name not in INLINE
@@ -225,48 +236,58 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "^[^:]*://([^/?#]*)", 1))
 
 
-def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def extract(
+    pages: DataFrame,
+    url_col: str = "url",
+    html_col: str = "html",
+    least_pages: int = LEAST_PAGES,
+    least_share: float = LEAST_SHARE,
+    least_share_inside: float = LEAST_SHARE_INSIDE,
+) -> DataFrame:
     """Add ``main_text`` and its length in code points, ``n_chars``, to every row.
 
     Blocks have one space for each run of white space and are joined by two line ends;
-    character references are decoded. A page without declared article loses the
-    subtrees that occur on at least ``least_pages`` pages and ``least_share`` of the
-    pages of its host. Null or empty html gives ''; a null url is the host ''. Repeated
-    rows count as pages of their own. An empty table gives an empty table. Columns named
-    like a produced one are replaced.
+    character references are decoded. Subtrees that occur on at least ``least_pages``
+    different pages and ``least_share`` of the different pages of their host are deleted
+    (boxes inside an article: ``least_share_inside``). Null or empty html gives ''; a null
+    url is the host ''. Repeated rows and copies of a page count once. An empty table gives
+    an empty table. Columns named like a produced one are replaced.
     """
-    spark = pages.sparkSession
     passed = others(pages, *PRODUCED)
     rows = pages.select(*[col(c) for c in passed], host_of(col(url_col)).alias("__host"))
     at, width = next(i for i, c in enumerate(passed) if c.lower() == html_col.lower()), len(passed)
 
     def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Distinct subtrees of pages without article; one row per host and subtree of a batch, with its pages."""
+        """(host, kind, subtree, content) of each page: kind 0 stands for the page itself, 1 for outside, 2 for boxes."""
         for batch in batches:
-            counts: dict[tuple[str, int], int] = {}
+            found: set[tuple[str, int, int, int]] = set()
             for host, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 root = parse(page or "")
-                if not content_root(root):
-                    for h in set(hash_subtrees(root)):
-                        counts[host, h] = counts.get((host, h), 0) + 1
+                outside, boxes, content = hash_subtrees(root, content_root(root))
+                found.add((host, 0, 0, content))
+                found.update((host, 1, h, content) for h in outside)
+                found.update((host, 2, h, content) for h in boxes)
+            columns = list(zip(*found, strict=True)) if found else [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] - 2**63 for k in counts], pa.int64()), pa.array(list(counts.values()), pa.int64())],
-                names=["host", "subtree", "n"],
+                [pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int8()), *(pa.array([h - 2**63 for h in c], pa.int64()) for c in columns[2:])],
+                names=["host", "kind", "subtree", "content"],
             )
 
-    sizes = rows.groupBy(F.col("__host").alias("host")).agg(F.count(F.lit(1)).alias("n_pages"))
-    counted = rows.select("__host", col(html_col)).mapInArrow(subtrees, "host string, subtree long, n long").groupBy("host", "subtree").agg(F.sum("n").alias("n"))
-    template = counted.where(F.col("n") >= least_pages).join(sizes, "host").where(F.col("n") >= least_share * F.col("n_pages")).select("host", "subtree")
-    lists = template.groupBy("host").agg(F.collect_list("subtree").alias("__template"))
+    met = rows.select("__host", col(html_col)).mapInArrow(subtrees, "host string, kind byte, subtree long, content long").distinct()
+    counted = stage(met.groupBy("host", "kind", "subtree").agg(F.count(F.lit(1)).alias("n")).where((F.col("kind") == 0) | (F.col("n") >= least_pages)))
+    sizes = counted.where("kind = 0").select("host", F.col("n").alias("n_pages"))
+    share = F.when(F.col("kind") == 1, least_share).otherwise(least_share_inside)
+    template = counted.where("kind > 0").join(sizes, "host").where(F.col("n") >= share * F.col("n_pages"))
+    lists = template.groupBy("host").agg(
+        F.collect_list(F.when(F.col("kind") == 1, F.col("subtree"))).alias("__template"), F.collect_list(F.when(F.col("kind") == 2, F.col("subtree"))).alias("__boxes")
+    )
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [
-                main_text(page, {h + 2**63 for h in gone or ()})
-                for page, gone in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist(), strict=True)
-            ]
+            columns = (batch.column(i).to_pylist() for i in (at, width, width + 1))
+            texts = [main_text(page, {h + 2**63 for h in gone or ()}, {h + 2**63 for h in boxes or ()}) for page, gone, boxes in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*passed, *PRODUCED])
 
-    known = stage(lists)
-    joined = rows.join(known.withColumnRenamed("host", "__host"), "__host", "left").select(*[col(c) for c in passed], "__template")
+    known = stage(lists).withColumnRenamed("host", "__host")
+    joined = rows.join(known, "__host", "left").select(*[col(c) for c in passed], "__template", "__boxes")
     return joined.mapInArrow(strip, extended(pages, passed, "main_text string, n_chars long"))
