@@ -66,9 +66,12 @@ def statistics(text: bytes | None) -> list[float]:
     ]
 
 
+def measured(texts: list[bytes | None]) -> np.ndarray:
+    return np.array([statistics(t) for t in texts], np.float64).reshape(-1, len(NAMES))
+
+
 def _rows(column: pa.Array) -> np.ndarray:
-    values = [statistics(t) for t in column.cast(pa.binary()).to_pylist()]
-    return np.array(values, np.float64).reshape(-1, len(NAMES))
+    return measured(column.cast(pa.binary()).to_pylist())
 
 
 @dataclass
@@ -193,7 +196,7 @@ def fit(docs: DataFrame, positives: DataFrame, id_col: str = "doc_id", text_col:
 
     Without positives or documents every score is the prior of one half.
     """
-    measured = docs.select(col(id_col).cast("string").alias("id"), col(text_col).alias("body"))
+    bodies = docs.select(col(id_col).cast("string").alias("id"), col(text_col).alias("body"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,7 +205,7 @@ def fit(docs: DataFrame, positives: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), values], names=["id", "v"])
 
     named = positives.select(col(positives.columns[0]).cast("string").alias("id")).distinct().withColumn("positive", F.lit(True))
-    rows = stage(measured.mapInArrow(measure, "id string, v array<double>").join(named, "id", "left").select("v", F.coalesce("positive", F.lit(False)).alias("positive"), F.xxhash64("id").alias("h")))
+    rows = stage(bodies.mapInArrow(measure, "id string, v array<double>").join(named, "id", "left").select("v", F.coalesce("positive", F.lit(False)).alias("positive"), F.xxhash64("id").alias("h")))
     shares = [k / BINS for k in range(1, BINS)]
     cuts = rows.agg(*[F.percentile_approx(F.element_at("v", j + 1), F.array(*map(F.lit, shares)), 2000).alias(f"c{j}") for j in range(len(NAMES))]).collect()[0]
     edges = [sorted(set(cuts[j] or [])) for j in range(len(NAMES))]
