@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,24 +26,23 @@ def build_session(master: str | None = None, app: str = "tenure", **conf: str) -
     return builder.getOrCreate()
 
 
-_local_root: str | None = None
-
-
 def staging_root(spark: SparkSession) -> str:
-    """Shared folder named by ``spark.checkpoint.dir``.
+    """Folder of this application's staged tables, below ``spark.checkpoint.dir``.
 
-    Only a local session without the setting gets a folder of its own; on a
-    cluster a machine-local folder would be invisible to the other executors.
+    Without that setting they go below the warehouse directory, which all executors
+    share as well; a machine-local temporary folder is never used.
     """
-    global _local_root
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="tenure-stage-")
-    return _local_root
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
+    return f"{shared.rstrip('/')}/tenure-{spark.sparkContext.applicationId}"
+
+
+def release_staging(spark: SparkSession) -> None:
+    """Delete the staged tables of this application; call it when their results are written."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(staging_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -55,6 +53,6 @@ def stage(df: DataFrame) -> DataFrame:
     real size of the result when it picks join strategies.
     """
     spark = df.sparkSession
-    path = f"{staging_root(spark).rstrip('/')}/tenure-{uuid.uuid4().hex}"
+    path = f"{staging_root(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

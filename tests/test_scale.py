@@ -85,21 +85,57 @@ def test_filters_and_columns_reach_the_scans(spark):
     assert "LessThan(l_shipdate,1998-04-01T00:00)" in plan
 
 
-def test_no_query_crosses_rows(spark):
-    from verification.queries import REGISTRY
-
-    for name in ("churn_dataset", "scoring_dataset", "completed_grid", "share_within_label", "deciles_by_label"):
-        plan = final_plan(REGISTRY[name](spark, "/root/testdata/sf0.001"))
-        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
-
-
-def test_stage_uses_the_configured_folder(spark):
+def test_errors_are_joined_before_they_are_counted(spark, shuffled_joins):
+    """No aggregate reads the whole error log: its first exchange only feeds the join."""
+    src, users = b.sources(spark, SF), b.all_users(spark, SF)
+    plan = weekly_update_features(src["updates"], src["update_errors"], users, b.T_USAGE)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    log = max(i for i, line in enumerate(lines) if "event_type" in line and "error" in line)
+    depth = {i: len(line) - len(line.lstrip(" :+-")) for i, line in enumerate(lines)}
+    path, level = [], depth[log]
+    for i in range(log, -1, -1):
+        if depth[i] < level:
+            path.append(lines[i])
+            level = depth[i]
+    first = next(line for line in path if "Aggregate" in line or "Join" in line)
+    assert "Join" in first
+
+
+def test_the_cohort_reads_subscriptions_once(spark):
+    plan = subscription_cohort(b.sources(spark, SF), b.T)._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderdate" not in plan
+
+
+def test_stage_uses_the_configured_folder(spark, monkeypatch):
     folder = spark.conf.get("spark.checkpoint.dir")
-    assert staging_root(spark) == folder
+    assert staging_root(spark).startswith(folder)
     staged = stage(spark.range(5))
     assert staged.count() == 5 and all(folder in path for path in staged.inputFiles())
 
 
+def test_without_the_setting_the_warehouse_is_used_and_released():
+    script = """
+import sys; sys.path.insert(0, {root!r})
+from tenure.session import build_session, release_staging, stage, staging_root
+spark = build_session("local[1]", **{{"spark.sql.warehouse.dir": {warehouse!r}, "spark.ui.enabled": "false"}})
+stage(spark.range(3))
+import os
+print("FOLDER", staging_root(spark), os.path.isdir(staging_root(spark).removeprefix("file:")))
+release_staging(spark)
+print("AFTER", os.path.isdir(staging_root(spark).removeprefix("file:")))
+"""
+    import os
+    import subprocess
+    import sys
+    import tempfile
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    with tempfile.TemporaryDirectory() as warehouse:
+        code = script.format(root=root, warehouse=warehouse)
+        said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, check=True).stdout
+        assert "_staged/tenure-" in said and "True" in said.split("FOLDER")[1].split("AFTER")[0] and "False" in said.split("AFTER")[1]
+
+
 def test_bucketed_tables_join_without_a_shuffle(spark, shuffled_joins):
     rows = spark.range(2000).select((F.col("id") % 400).alias("user_id"), "id")
     for name in ("bucketed_left", "bucketed_right"):
