@@ -49,14 +49,23 @@ def joined_text(*parts: Column) -> Column:
     return _concat(list(parts))
 
 
+# Stand for a missing key and for the border of two keys.
+_MISSING, _BETWEEN = "\u0001", "\u001f"
+
+
+def key_hash(*keys: Column, seed: int) -> Column:
+    """MD5 (as hex) of a row key and a seed. A missing key is a value of its own."""
+    parts = [F.coalesce(k.cast("string"), F.lit(_MISSING)) for k in keys]
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.concat_ws(_BETWEEN, *parts)))
+
+
 def hash_uniform(*keys: Column, seed: int) -> Column:
-    """Repeatable uniform number in [0, 1) for a row key.
+    """Repeatable uniform number in [0, 1) for a row key; never NULL.
 
     Depends only on the key and the seed: the same row always lands on the same
     side of a split, whatever the partitioning, retries or file layout.
     """
-    tagged = [F.lit(f"{seed}:"), *keys]
-    prefix = F.substring(F.md5(_concat(tagged)), 1, 8)
+    prefix = F.substring(key_hash(*keys, seed=seed), 1, 8)
     return F.conv(prefix, 16, 10).cast("double") / F.lit(4294967296.0)
 
 

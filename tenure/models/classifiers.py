@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     LinearSVC, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tenure.functions.values import key_hash
 from tenure.models.design import FEATURES, fit_design, log_stage, training_rows
-from tenure.operators.ranking import auc
-from tenure.operators.sampling import fold_number
+from tenure.operators.ranking import auc, auc_of_tallies
+from tenure.operators.sampling import stratified_folds
+from tenure.session import stage
 
 
 def _forest(label: str, trees: int, depth: int, seed: int, bins: int) -> RandomForestClassifier:
@@ -33,12 +34,17 @@ def _largest_category(df: DataFrame, stages: list) -> int:
 
 def fit_forest(
     train: DataFrame, features: Sequence[str], label: str, trees: int = 100, depth: int = 8,
-    seed: int = 1,
+    seed: int = 1, hashed: Sequence[str] = (),
 ) -> PipelineModel:
-    with training_rows(train, features, label) as rows:
-        stages, _ = fit_design(rows, features, one_hot=False)
-        prepared = PipelineModel(stages).transform(rows).select(FEATURES, label)
-        model = _forest(label, trees, depth, seed, _largest_category(rows, stages)).fit(prepared)
+    """Random forest; ``trees`` and ``depth`` are parameters of the model.
+
+    A tree holds at most 2^depth leaves on the driver, so unlimited depth is not offered.
+    Text columns are split by level; those with very many levels belong in ``hashed``.
+    """
+    rows = training_rows(train, features, label)
+    stages, _ = fit_design(rows, features, one_hot=False, hashed=hashed)
+    prepared = PipelineModel(stages).transform(rows).select(FEATURES, label)
+    model = _forest(label, trees, depth, seed, _largest_category(rows, stages)).fit(prepared)
     return PipelineModel([*stages, model])
 
 
@@ -52,23 +58,30 @@ def importance(model: PipelineModel, features: Sequence[str]) -> DataFrame:
     )
 
 
+def cross_validate(
+    df: DataFrame, features: Sequence[str], label: str, key: str, k: int = 5, trees: int = 100,
+    depth: int = 8, seed: int = 1,
+) -> DataFrame:
+    """Size, positives and exact AUC of each of ``k`` stratified hash folds of a unique key."""
+    rows = training_rows(df, [*features, key], label)
+    dealt = stage(stratified_folds(rows, key, label, k, seed))
+    parts = []
+    for fold in range(k):
+        model = fit_forest(dealt.where(F.col("fold") != fold), features, label, trees, depth, seed)
+        parts.append(predict_classifier(model, dealt.where(F.col("fold") == fold)).select("fold", label, "pred"))
+    scored = stage(reduce(DataFrame.unionByName, parts))
+    sizes = scored.groupBy("fold").agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("positives"))
+    return sizes.join(auc(scored, "pred", label, ["fold"]), "fold")
+
+
 def cross_val_auc(
     df: DataFrame, features: Sequence[str], label: str, key: str, k: int = 5, trees: int = 100,
     depth: int = 8, seed: int = 1,
 ) -> tuple[float, float]:
-    """Mean and spread of the exact AUC over ``k`` hash folds of the key."""
-    with training_rows(df, [*features, key], label) as rows:
-        stages, _ = fit_design(rows, features, one_hot=False)
-        prepared = PipelineModel(stages).transform(rows).select(
-            FEATURES, label, fold_number(F.col(key), k, seed).alias("fold")
-        )
-        cv = CrossValidator(
-            estimator=_forest(label, trees, depth, seed, _largest_category(rows, stages)),
-            estimatorParamMaps=ParamGridBuilder().build(),
-            evaluator=BinaryClassificationEvaluator(labelCol=label, numBins=0),
-            numFolds=k, foldCol="fold", parallelism=4,
-        ).fit(prepared)
-    return float(cv.avgMetrics[0]), float(cv.stdMetrics[0])
+    """Mean and spread of the exact AUC over ``k`` stratified folds."""
+    folds = cross_validate(df, features, label, key, k, trees, depth, seed)
+    mean, spread = folds.agg(F.avg("auc"), F.stddev_pop("auc")).first()
+    return mean, spread
 
 
 def fit_recipe(
@@ -89,16 +102,16 @@ def fit_mlp(
     seed: int = 1,
 ) -> PipelineModel:
     """Feed-forward network on the fitted recipe: sigmoid hidden layers, trained by L-BFGS."""
-    with training_rows(train, features, label) as rows:
-        if zero_based_logs or positive_logs:
-            stages, names = fit_recipe(rows, features, zero_based_logs, positive_logs)
-        else:
-            stages, names = fit_design(rows, features, scale_all=True)
-        prepared = PipelineModel(stages).transform(rows).select(FEATURES, label)
-        model = MultilayerPerceptronClassifier(
-            layers=[len(names), *hidden, 2], labelCol=label, featuresCol=FEATURES,
-            maxIter=iterations, seed=seed, blockSize=256,
-        ).fit(prepared)
+    rows = training_rows(train, features, label)
+    if zero_based_logs or positive_logs:
+        stages, names = fit_recipe(rows, features, zero_based_logs, positive_logs)
+    else:
+        stages, names = fit_design(rows, features, scale_all=True)
+    prepared = PipelineModel(stages).transform(rows).select(FEATURES, label)
+    model = MultilayerPerceptronClassifier(
+        layers=[len(names), *hidden, 2], labelCol=label, featuresCol=FEATURES,
+        maxIter=iterations, seed=seed, blockSize=256,
+    ).fit(prepared)
     return PipelineModel([*stages, model])
 
 
@@ -106,10 +119,10 @@ def fit_svc(
     train: DataFrame, features: Sequence[str], label: str, iterations: int = 100
 ) -> PipelineModel:
     """Linear support vectors; rank with the signed distance, not the hard label."""
-    with training_rows(train, features, label) as rows:
-        stages, _ = fit_design(rows, features)
-        prepared = PipelineModel(stages).transform(rows).select(FEATURES, label)
-        model = LinearSVC(featuresCol=FEATURES, labelCol=label, maxIter=iterations).fit(prepared)
+    rows = training_rows(train, features, label)
+    stages, _ = fit_design(rows, features)
+    prepared = PipelineModel(stages).transform(rows).select(FEATURES, label)
+    model = LinearSVC(featuresCol=FEATURES, labelCol=label, maxIter=iterations).fit(prepared)
     return PipelineModel([*stages, model])
 
 
@@ -125,52 +138,54 @@ def predict_classifier(model: PipelineModel, df: DataFrame, out: str = "pred") -
     )
 
 
+def exchanged_rows(df: DataFrame, columns: Sequence[str], key: str, seed: int = 1) -> DataFrame:
+    """Add ``other``: the listed columns of the next row in hash order of a unique key.
+
+    The last row takes those of the first, so every column keeps its values. The order is
+    cut into range slices; a slice's last row takes the first row of the next slice, and
+    the slices' first rows (one each) are the only ones that meet in one place.
+    """
+    current = F.struct(*[F.col(c) for c in columns])
+    order = F.struct(key_hash(F.col(key), seed=seed).alias("hash"), F.col(key).alias("key"))
+    sliced = stage(
+        df.withColumn("_order", order).repartitionByRange("_order").withColumn("_slice", F.spark_partition_id())
+    )
+    following = Window.partitionBy("_slice").orderBy("_order")
+    firsts = sliced.groupBy("_slice").agg(F.min_by(current, F.col("_order")).alias("_first"))
+    slices = Window.orderBy("_slice")
+    whole = slices.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = firsts.select(
+        F.col("_slice").alias("_of"), F.coalesce(F.lead("_first").over(slices), F.first("_first").over(whole)).alias("_after")
+    )
+    moved = sliced.withColumn("_next", F.lead(current).over(following)).join(after, F.col("_slice") == F.col("_of"))
+    return moved.select(*df.columns, F.coalesce("_next", "_after").alias("other"))
+
+
 def permutation_importance(
     model: PipelineModel, df: DataFrame, features: Sequence[str], label: str, key: str,
-    rows_per_group: int = 100_000, threshold: float = 0.5, seed: int = 1,
+    threshold: float = 0.5, seed: int = 1,
 ) -> DataFrame:
     """Loss of accuracy and AUC when one feature is exchanged between rows.
 
-    Rows are put into random groups of bounded size and every row takes the values
-    of the next row in a random order, with the last one wrapping to the first.
-    One window pass prepares all features; scoring and AUC then run over all
-    variants together.
+    Every variant is scored in turn and kept as counts per score and label, so no copies
+    of the rows are written.
     """
-    from pyspark.sql import Window
-
-    from tenure.functions.values import hash_uniform
-    from tenure.session import stage
-
-    inputs = list(dict.fromkeys([*features]))
-    rows = stage(df.select(key, label, *inputs).dropna())
-    groups = max(1, -(-rows.count() // rows_per_group))
-    ordered = Window.partitionBy("_group").orderBy("_order", key)
-    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    numbered = rows.withColumns(
-        {
-            "_group": F.floor(hash_uniform(F.col(key), seed=seed) * groups),
-            "_order": hash_uniform(F.col(key), seed=seed + 1),
-        }
-    )
-    current = F.struct(*inputs)
-    swapped = numbered.withColumn(
-        "_other", F.coalesce(F.lead(current).over(ordered), F.first(current).over(whole))
-    )
-    variants = [
-        F.struct(
-            F.lit(name).alias("feature"),
-            *[F.col(f"_other.{c}" if c == name else c).alias(c) for c in inputs],
-        )
-        for name in ["", *inputs]
-    ]
-    long = swapped.select(key, label, F.explode(F.array(*variants)).alias("v")).select(
-        key, label, "v.*"
-    )
-    scored = stage(predict_classifier(model, long).select("feature", label, "pred"))
-    hits = scored.groupBy("feature").agg(
-        F.avg(((F.col("pred") >= threshold) == F.col(label).cast("boolean")).cast("double")).alias("accuracy")
+    inputs = list(dict.fromkeys(features))
+    rows = df.select(key, label, *inputs).dropna()
+    swapped = stage(exchanged_rows(rows, inputs, key, seed))
+    parts = []
+    for name in ["", *inputs]:
+        values = [F.col(f"other.{c}" if c == name else c).alias(c) for c in inputs]
+        scored = predict_classifier(model, swapped.select(label, *values))
+        counted = scored.groupBy("pred", F.col(label).cast("int").alias("y")).agg(F.count("*").alias("n"))
+        parts.append(counted.select(F.lit(name).alias("feature"), "pred", "y", "n"))
+    tallies = stage(reduce(DataFrame.unionByName, parts))
+    right = (F.col("pred") >= threshold) == (F.col("y") == 1)
+    hits = tallies.groupBy("feature").agg((F.sum(F.when(right, F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
+    ranked = tallies.where("pred is not null").groupBy("feature", F.col("pred").alias("score")).agg(
+        F.sum(F.col("n") * F.col("y")).alias("pos"), F.sum(F.col("n") * (1 - F.col("y"))).alias("neg")
     )
-    quality = hits.join(auc(scored, "pred", label, ["feature"]), "feature")
+    quality = hits.join(auc_of_tallies(ranked, ["feature"]), "feature")
     whole_model = quality.where("feature = ''").select(F.struct("accuracy", "auc")).scalar()
     return quality.where("feature <> ''").select(
         "feature",

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import (
-    OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler, VectorSlicer,
+    FeatureHasher, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler,
+    VectorSlicer,
 )
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,20 +18,14 @@ from tenure.session import stage
 FEATURES = "features"
 
 
-@contextmanager
-def training_rows(df: DataFrame, columns: Sequence[str], label: str) -> Iterator[DataFrame]:
-    """Complete rows of the model's own columns, computed once for all passes of a fit.
+def training_rows(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
+    """Complete rows of the model's own columns, staged once for all passes of a fit.
 
     Only the listed columns decide completeness: a live subscription has no
     cancellation date and must not be lost for it.
     """
     wanted = [c for c in dict.fromkeys([*columns, label]) if c in df.columns]
-    rows = stage(df.select(*wanted).dropna().withColumn(label, F.col(label).cast("double")))
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield rows
-    finally:
-        rows.unpersist()
+    return stage(df.select(*wanted).dropna().withColumn(label, F.col(label).cast("double")))
 
 
 def _is_text(df: DataFrame, column: str) -> bool:
@@ -45,6 +38,8 @@ def fit_design(
     scaled: Sequence[str] = (),
     scale_all: bool = False,
     one_hot: bool = True,
+    hashed: Sequence[str] = (),
+    hash_slots: int = 256,
 ) -> tuple[list[Transformer], list[str]]:
     """Fitted stages that turn raw columns into a feature vector, and its slot names.
 
@@ -52,11 +47,22 @@ def fit_design(
     not seen in training, or missing, reads as that baseline. With ``one_hot=False``
     they stay category indices, which is what tree models split on. Missing numbers
     become NaN, so such rows keep their place and get no score.
+
+    Levels of text columns are kept on the driver and in the model. Columns with very many
+    levels belong in ``hashed``: they share ``hash_slots`` hashed indicators instead.
     """
     stages: list[Transformer] = []
     names: list[str] = []
     inputs: list[str] = []
-    text = [f for f in features if _is_text(train, f)]
+    text = [f for f in features if _is_text(train, f) and f not in hashed]
+    if hashed:
+        stages.append(FeatureHasher(inputCols=list(hashed), outputCol="__hashed", numFeatures=hash_slots, categoricalCols=list(hashed)))
+        inputs.append("__hashed")
+        names += [f"hashed_{i}" for i in range(hash_slots)]
+    if scaled:
+        together = VectorAssembler(inputCols=list(scaled), outputCol="__scaled_raw", handleInvalid="keep")
+        scaler = StandardScaler(inputCol="__scaled_raw", outputCol="__scaled", withMean=True, withStd=True).fit(together.transform(train))
+        stages += [together, scaler]
     levels: dict[str, list[str]] = {}
     if text:
         indexer = StringIndexer(
@@ -86,15 +92,12 @@ def fit_design(
                 )
                 inputs.append(f"{feature}__slots")
                 names += [f"{feature}_{level}" for level in others]
+        elif feature in hashed:
+            continue
         elif feature in scaled:
-            single = VectorAssembler(
-                inputCols=[feature], outputCol=f"{feature}__raw", handleInvalid="keep"
+            stages.append(
+                VectorSlicer(inputCol="__scaled", outputCol=f"{feature}__scaled", indices=[list(scaled).index(feature)])
             )
-            scaler = StandardScaler(
-                inputCol=f"{feature}__raw", outputCol=f"{feature}__scaled",
-                withMean=True, withStd=True,
-            ).fit(single.transform(train))
-            stages += [single, scaler]
             inputs.append(f"{feature}__scaled")
             names.append(f"scale({feature})")
         else:

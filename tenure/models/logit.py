@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import PipelineModel
+from pyspark.errors.exceptions.captured import UnsupportedOperationException
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tenure.models.design import FEATURES, fit_design, known, training_rows
+from tenure.session import stage
 
 
 class Logit:
@@ -28,7 +30,7 @@ class Logit:
             tests = list(
                 zip(summary.coefficientStandardErrors, summary.tValues, summary.pValues, strict=True)
             )
-        except Exception:  # collinear columns: the solver has no covariance to report
+        except UnsupportedOperationException:  # collinear columns: the solver has no covariance to report
             tests = [(None, None, None)] * len(estimates)
         rows = [
             (term, float(estimate), *test)
@@ -60,13 +62,14 @@ def fit_logit(
     train: DataFrame, features: Sequence[str], label: str, scaled: Sequence[str] = ()
 ) -> Logit:
     """Binomial regression with a logit link, fitted by iterated least squares."""
-    with training_rows(train, features, label) as rows:
-        stages, names = fit_design(rows, features, scaled=scaled)
-        prepared = PipelineModel(stages).transform(rows).select(FEATURES, label)
-        model = GeneralizedLinearRegression(
-            family="binomial", link="logit", featuresCol=FEATURES, labelCol=label,
-            predictionCol="probability", maxIter=25, tol=1e-8,
-        ).fit(prepared)
+    rows = training_rows(train, features, label)
+    stages, names = fit_design(rows, features, scaled=scaled)
+    # The solver reads its rows once for every iteration.
+    prepared = stage(PipelineModel(stages).transform(rows).select(FEATURES, label))
+    model = GeneralizedLinearRegression(
+        family="binomial", link="logit", featuresCol=FEATURES, labelCol=label,
+        predictionCol="probability", maxIter=25, tol=1e-8,
+    ).fit(prepared)
     return Logit(PipelineModel([*stages, model]), names)
 
 

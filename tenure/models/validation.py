@@ -9,29 +9,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenure.functions.values import spelled_flag
-from tenure.models.features import EXPORT_CATEGORIES, EXPORT_DROPPED, EXPORT_FLAGS
+from tenure.models.features import EXPORT_DROPPED, EXPORT_FLAGS
 from tenure.operators.columns import fill_missing
 from tenure.operators.ranking import auc, threshold_metrics
-from tenure.operators.reshape import Levels, align_columns, find_levels, one_hot
+from tenure.operators.reshape import Levels, align_columns, one_hot
 
 
 def prepare_export(
     df: DataFrame,
-    levels: Levels | None = None,
-    categories: Sequence[str] = tuple(EXPORT_CATEGORIES),
+    levels: Levels,
     dropped: Sequence[str] = tuple(EXPORT_DROPPED),
     flags: Sequence[str] = tuple(EXPORT_FLAGS),
     spelling: tuple[str, str] = ("t", "f"),
 ) -> DataFrame:
     """Indicators for the categories, trial flag, real booleans, zeros for missing numbers.
 
-    Pass the training levels when preparing a later file, so both have one layout. The
+    ``levels`` lists the indicators of each category (``find_levels`` and ``level_lists``
+    on the training file); a later file takes the same lists, so both have one layout. The
     defaults fit the exported training file; the flat feature file spells its flags
     ``Yes`` / ``No`` and has its own lists.
     """
     present = set(df.columns)
-    if levels is None:
-        levels = find_levels(df, [c for c in categories if c in present])
     encoded = one_hot(df, levels)
     if "trial_start_at" in present:
         encoded = encoded.withColumn("trialed", F.col("trial_start_at").isNotNull())
@@ -43,9 +41,10 @@ def prepare_export(
     return fill_missing(encoded.withColumns(read).drop(*dropped))
 
 
-def train_and_validation(train: DataFrame, validation: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both files prepared with the training levels and in the training column order."""
-    levels = find_levels(train, [c for c in EXPORT_CATEGORIES if c in train.columns])
+def train_and_validation(
+    train: DataFrame, validation: DataFrame, levels: Levels
+) -> tuple[DataFrame, DataFrame]:
+    """Both files prepared with the same levels and in the training column order."""
     prepared = prepare_export(train, levels)
     return prepared, align_columns(prepare_export(validation, levels), prepared.columns)
 

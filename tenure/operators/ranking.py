@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 from tenure.operators.running import running_totals
 
 
+def is_number(x: Column) -> Column:
+    """Neither NULL nor NaN."""
+    return x.isNotNull() & ~F.isnan(x.cast("double"))
+
+
 def score_tallies(
     df: DataFrame, score: str, label: str, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Positives and negatives per distinct score. Rows without score or label are ignored."""
+    """Positives and negatives per distinct score. Rows without score (NULL or NaN) or label are ignored."""
     positive = F.col(label).cast("int")
     return (
-        df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+        df.where(is_number(F.col(score)) & F.col(label).isNotNull())
         .groupBy(*by, F.col(score).alias("score"))
         .agg(F.sum(positive).alias("pos"), F.sum(1 - positive).alias("neg"))
     )
@@ -35,27 +40,38 @@ def auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFr
 
 
 def roc_curve(df: DataFrame, score: str, label: str) -> DataFrame:
-    """True and false positive rate when everything at or above a score is flagged."""
+    """True and false positive rate when everything at or above a score is flagged.
+
+    The row without a threshold is the start of the curve, where nothing is flagged.
+    """
     ranked = running_totals(score_tallies(df, score, label), "score", ["pos", "neg"])
 
     def rate(name: str) -> Column:
         return F.try_divide(F.col(f"{name}_total") - F.col(f"{name}_before"), F.col(f"{name}_total"))
 
-    return ranked.select(
+    points = ranked.select(
         F.col("score").alias("threshold"), rate("pos").alias("tpr"), rate("neg").alias("fpr")
     )
+    start = df.sparkSession.range(1).select(
+        F.lit(None).cast(points.schema["threshold"].dataType).alias("threshold"),
+        F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr"),
+    )
+    return points.unionByName(start)
 
 
 def confusion(
     df: DataFrame, score: str, label: str, threshold: float, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Counts of the four outcomes when scores of at least ``threshold`` are flagged."""
+    """Counts of the four outcomes when scores of at least ``threshold`` are flagged.
+
+    Rows without a score (NULL or NaN) count nowhere.
+    """
     flagged, actual = F.col(score) >= threshold, F.col(label).cast("boolean")
 
     def cell(condition: Column) -> Column:
         return F.count_if(condition).cast("long")
 
-    return df.groupBy(*by).agg(
+    return df.where(is_number(F.col(score))).groupBy(*by).agg(
         cell(~flagged & ~actual).alias("tn"),
         cell(~flagged & actual).alias("fn"),
         cell(flagged & ~actual).alias("fp"),

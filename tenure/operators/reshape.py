@@ -8,6 +8,9 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tenure.operators.running import running_totals
+from tenure.session import stage
+
 Levels = Mapping[str, Sequence[object]]
 
 
@@ -43,12 +46,12 @@ def _label(value: object) -> str:
     return str(value).replace("-", "m")
 
 
-def distinct_values(df: DataFrame, column: str, limit: int = 10_000) -> list[object]:
-    """Values to use as column names. More than ``limit`` is an error, never a cut."""
-    found = df.select(column).distinct().orderBy(column).limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"{column} has more than {limit} values; pass the list to use")
-    return [row[0] for row in found if row[0] is not None]
+def distinct_values(df: DataFrame, column: str) -> DataFrame:
+    """Distinct values of a column without NULL, as a staged table.
+
+    ``pivot_measures`` takes the values as an explicit list, since each becomes a column.
+    """
+    return stage(df.select(column).where(F.col(column).isNotNull()).distinct())
 
 
 def pivot_measures(
@@ -95,25 +98,43 @@ def span_counts(wide: DataFrame, columns: Sequence[str], prefix: str = "span_")
     return wide.select(*other, *[c.alias(n) for n, c in totals.items()]).select(*other, *spans)
 
 
-def find_levels(
-    df: DataFrame, columns: Sequence[str], limit: int = 10_000
-) -> dict[str, list[str]]:
-    """Levels of several text columns in one pass, in order, without NULL.
+def find_levels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Levels of several text columns as a staged table, however many there are.
 
-    More than ``limit`` in total is an error: use an indexed category instead.
+    Columns ``name``, ``level`` (not NULL) and ``position``, the number of the level in
+    the order of its column, from 0.
     """
     cells = [F.struct(F.lit(c).alias("name"), F.col(c).alias("level")) for c in columns]
-    found = (
-        df.select(F.inline(F.array(*cells)))
-        .where("level is not null")
-        .distinct()
-        .orderBy("name", "level")
-        .limit(limit + 1)
-        .collect()
-    )
-    if len(found) > limit:
-        raise ValueError(f"{list(columns)} have more than {limit} levels; index them instead")
-    return {c: [row["level"] for row in found if row["name"] == c] for c in columns}
+    found = df.select(F.inline(F.array(*cells))).where("level is not null").distinct()
+    counted = running_totals(found.withColumn("one", F.lit(1).cast("long")), "level", ["one"], ["name"])
+    return stage(counted.select("name", "level", F.col("one_before").alias("position")))
+
+
+def level_lists(levels: DataFrame) -> dict[str, list[str]]:
+    """The table of ``find_levels`` as lists for ``one_hot``.
+
+    Every level becomes a column there, so this is for the few columns that are wanted
+    wide; ``encode_levels`` is the form for columns with many levels.
+    """
+    found: dict[str, list[str]] = {}
+    for row in levels.orderBy("name", "position").collect():
+        found.setdefault(row["name"], []).append(row["level"])
+    return found
+
+
+def encode_levels(df: DataFrame, levels: DataFrame, columns: Sequence[str], out: str = "slots") -> DataFrame:
+    """Sparse indicator form: the slots that are 1, one for each column with a known level.
+
+    The slots of the columns follow each other in the given order. Levels are looked up by
+    joins with the staged table, so their number does not matter.
+    """
+    coded, first = df, F.lit(0).cast("long")
+    for i, name in enumerate(columns):
+        own = levels.where(F.col("name") == name).select(F.col("level").alias(f"_level_{i}"), F.col("position").alias(f"_position_{i}"))
+        coded = coded.join(own, F.col(name) == F.col(f"_level_{i}"), "left").withColumn(f"_slot_{i}", F.col(f"_position_{i}") + first)
+        first = first + levels.where(F.col("name") == name).select(F.count("*")).scalar()
+    slots = F.array(*[F.col(f"_slot_{i}") for i in range(len(columns))])
+    return coded.select(*df.columns, F.filter(slots, lambda s: s.isNotNull()).alias(out))
 
 
 def one_hot(df: DataFrame, levels: Levels) -> DataFrame:

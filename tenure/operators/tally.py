@@ -136,10 +136,11 @@ def exact_quantiles(
 
     Values are collapsed to distinct ones with their counts; running totals then
     tell which value holds each needed rank. Nothing is gathered per group beyond
-    the few ranks asked for. ``weight`` says that rows already are counts.
+    the few ranks asked for. ``weight`` says that rows already are counts. NULL and NaN
+    are left out.
     """
     size = F.sum(weight) if weight else F.count("*")
-    tally = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(size.cast("long").alias("n"))
+    tally = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double"))).groupBy(*by, x).agg(size.cast("long").alias("n"))
     steps = running_totals(tally, x, ["n"], by)
 
     def value_at(rank: Column) -> Column:

@@ -4,7 +4,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from tenure.models import classifiers, logit, scoring, validation
-from tenure.operators import ranking, sampling
+from tenure.operators import ranking, reshape, sampling
 from tenure.plans.dataset import clean_scoring_dataset, scoring_dataset
 from verification import binding as b
 
@@ -99,13 +99,30 @@ def test_importance_finds_the_strong_feature(planted):
     model = classifiers.fit_forest(planted, features, "y", trees=20, depth=5)
     impurity = {r["feature"]: r["importance"] for r in classifiers.importance(model, features).collect()}
     assert max(impurity, key=impurity.get) == "x" and sum(impurity.values()) == pytest.approx(1.0)
-    losses = classifiers.permutation_importance(model, planted, features, "y", "id", rows_per_group=500)
+    losses = classifiers.permutation_importance(model, planted, features, "y", "id")
     by_name = {r["feature"]: r for r in losses.collect()}
     assert set(by_name) == set(features)
     assert by_name["x"]["auc_loss"] == max(r["auc_loss"] for r in by_name.values()) > 0.1
     assert by_name["x"]["accuracy_loss"] > 0.03
 
 
+def test_exchange_moves_every_value_to_another_row(planted):
+    out = classifiers.exchanged_rows(planted.select("id", "x", "plan"), ["x", "plan"], "id", seed=2)
+    rows = out.collect()
+    assert len(rows) == N and len({r["id"] for r in rows}) == N
+    assert sorted(r["x"] for r in rows) == sorted(r["other"]["x"] for r in rows)
+    assert sum(r["x"] == r["other"]["x"] for r in rows) < 5
+    alone = classifiers.exchanged_rows(planted.where("id = 3").select("id", "x"), ["x"], "id").first()
+    assert alone["other"]["x"] == alone["x"]
+
+
+def test_hashed_levels_keep_the_model_small(planted):
+    many = planted.withColumn("code", F.concat(F.lit("c"), F.col("id")))
+    model = classifiers.fit_forest(many, ["x", "z", "code"], "y", trees=10, depth=4, hashed=["code"])
+    assert model.stages[-1].getOrDefault("maxBins") == 32
+    assert ranking.auc(classifiers.predict_classifier(model, many), "pred", "y").first()["auc"] > 0.7
+
+
 def test_cross_validated_auc(planted):
     mean, spread = classifiers.cross_val_auc(planted, ["x", "z"], "y", "id", k=3, trees=10, depth=4)
     assert 0.75 < mean < 0.95 and 0 <= spread < 0.1
@@ -128,7 +145,8 @@ def test_validation_file_gets_the_training_layout(spark):
         [(1, "p", "sms", "2017", "t", None, "t", "u"), (2, "q", None, None, "f", 3, "f", "u")], schema
     )
     later = spark.createDataFrame([(3, "r", "sms", None, None, 1, "f", "u")], schema)
-    prepared, aligned = validation.train_and_validation(train, later)
+    found = reshape.level_lists(reshape.find_levels(train, ["plan_id", "twofactor_type"]))
+    prepared, aligned = validation.train_and_validation(train, later, found)
     assert prepared.columns == aligned.columns
     assert {"plan_id_p", "plan_id_q", "twofactor_type_sms", "trialed"} <= set(prepared.columns)
     assert not {"plan_id", "user_id", "trial_start_at"} & set(prepared.columns)

@@ -72,7 +72,7 @@ def test_quantiles_interpolate_linearly(spark, data):
 def test_roc_and_threshold_metrics(spark):
     df = spark.createDataFrame([(0.9, 1), (0.8, 0), (0.4, 1), (0.1, 0), (None, 1)], "s double, y int")
     curve = [(r["threshold"], r["tpr"], r["fpr"]) for r in ranking.roc_curve(df, "s", "y").orderBy("threshold").collect()]
-    assert curve == [(0.1, 1.0, 1.0), (0.4, 1.0, 0.5), (0.8, 0.5, 0.5), (0.9, 0.5, 0.0)]
+    assert curve == [(None, 0.0, 0.0), (0.1, 1.0, 1.0), (0.4, 1.0, 0.5), (0.8, 0.5, 0.5), (0.9, 0.5, 0.0)]
     row = ranking.threshold_metrics(df, "s", "y", 0.8).first()
     assert (row["tn"], row["fn"], row["fp"], row["tp"]) == (1, 1, 1, 1)
     assert (row["precision"], row["recall"], row["enrichment"]) == (0.5, 0.5, 1.0)
@@ -80,6 +80,16 @@ def test_roc_and_threshold_metrics(spark):
     assert nothing["precision"] is None and nothing["recall"] == 0.0
 
 
+def test_scores_that_are_no_numbers_count_nowhere(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(0.9, 1), (0.1, 0), (nan, 1), (nan, 0), (None, 1)], "s double, y int")
+    row = ranking.confusion(df, "s", "y", 0.5).first()
+    assert tuple(row) == (1, 0, 0, 1)
+    assert ranking.auc(df, "s", "y").first()["auc"] == 1.0
+    assert ranking.roc_curve(df, "s", "y").count() == 3
+    assert tally.exact_quantiles(df, "s", [0.0, 1.0]).first()[0] == [0.1, 0.9]
+
+
 def test_rate_table_uses_the_positive_class_and_handles_missing_levels(spark):
     data = [("x", 1), ("x", 0), ("x", 1), ("y", 0), (None, 1), (None, 0)]
     train = spark.createDataFrame(data, "v string, y int")
@@ -128,7 +138,7 @@ def test_report_equals_single_models(spark):
 def test_one_hot_alignment(spark):
     train = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     later = spark.createDataFrame([(3, "b"), (4, "new"), (5, None)], "id int, v string")
-    levels = reshape.find_levels(train, ["v"])
+    levels = reshape.level_lists(reshape.find_levels(train, ["v"]))
     fitted = reshape.one_hot(train, levels)
     aligned = reshape.align_columns(reshape.one_hot(later, levels), fitted.columns)
     assert aligned.columns == ["id", "v_a", "v_b"]
@@ -136,9 +146,17 @@ def test_one_hot_alignment(spark):
     assert reshape.align_columns(later.select("id"), ["x", "id"]).first()[0] == 0
 
 
-def test_too_many_levels_is_an_error_not_a_cut(spark):
-    with pytest.raises(ValueError):
-        reshape.distinct_values(spark.range(20).withColumnRenamed("id", "v"), "v", limit=10)
+def test_many_levels_are_encoded_by_joins(spark):
+    n = 12_000
+    df = spark.range(n).select("id", F.col("id").cast("string").alias("many"), (F.col("id") % 3).cast("string").alias("few"))
+    df = df.unionByName(spark.createDataFrame([(n, None, "1"), (n + 1, None, None)], "id long, many string, few string"))
+    levels = reshape.find_levels(df, ["many", "few"])
+    assert levels.where("name = 'many'").count() == n and reshape.distinct_values(df, "many").count() == n
+    order = {v: i for i, v in enumerate(sorted(str(i) for i in range(n)))}
+    coded = {r["id"]: r["slots"] for r in reshape.encode_levels(df, levels, ["many", "few"]).collect()}
+    assert coded[7] == [order["7"], n + 1] and coded[n] == [n + 1] and coded[n + 1] == []
+    unseen = spark.createDataFrame([(1, "new", "2")], "id long, many string, few string")
+    assert reshape.encode_levels(unseen, levels, ["many", "few"]).first()["slots"] == [n + 2]
 
 
 def test_pivot_grid_and_spans(spark):
@@ -176,6 +194,28 @@ def test_split_is_stable_and_close_to_its_fraction(spark):
     assert {r["f"] for r in folds} == set(range(5))
 
 
+def test_rows_without_a_key_are_in_one_part(spark):
+    df = spark.createDataFrame([(None, 1), (1, 1), (2, 0), (3, 1), (None, 0)], "k long, y int")
+    train, test = sampling.hash_split(df, "k", 0.5, 3)
+    assert train.count() + test.count() == 5
+    assert train.where("k is null").count() in (0, 2)
+    assert df.where(values.hash_uniform(F.col("k"), F.col("y"), seed=1).isNull()).isEmpty()
+    assert sampling.random_baseline(df, df, "k", "y").where("flagged is null").isEmpty()
+    parts = sampling.holdout(df, df, "k").groupBy("k").agg(F.count_distinct("part").alias("n")).where("k is null").first()
+    assert parts["n"] == 2
+    pair = spark.createDataFrame([("a", "bc"), ("ab", "c")], "x string, y string")
+    assert len({r[0] for r in pair.select(values.hash_uniform(F.col("x"), F.col("y"), seed=1)).collect()}) == 2
+
+
+def test_stratified_folds_are_even(spark):
+    df = spark.range(503).select(F.col("id").alias("k"), (F.col("id") % 7 == 0).alias("y"))
+    sizes = sampling.stratified_folds(df, "k", "y", 5).groupBy("y", "fold").count().collect()
+    for label in (True, False):
+        counts = [r["count"] for r in sizes if r["y"] == label]
+        assert len(counts) == 5 and max(counts) - min(counts) <= 1
+    assert sum(r["count"] for r in sizes) == 503
+
+
 def test_number_and_missing_rules(spark):
     df = spark.createDataFrame([("1,234",), ("",), ("abc",), (None,)], "x string")
     assert [r[0] for r in df.select(values.grouped_number(F.col("x"))).collect()] == [1234.0, None, None, None]
@@ -207,6 +247,25 @@ def test_upsert(spark, tmp_path):
         files.require_unique(second.unionByName(new), ["id"])
 
 
+def test_upsert_of_missing_and_repeated_keys(spark):
+    old = spark.createDataFrame([(1, "a", 0), (None, "b", 0)], "id int, v string, n int")
+    batch = spark.createDataFrame([(1, "c", 1), (1, "d", 2), (None, "e", 1)], "id int, v string, n int")
+    with pytest.raises(ValueError):
+        files.upsert(old, batch, ["id"])
+    once = files.upsert(old, batch, ["id"], latest_by="n")
+    assert sorted(map(tuple, once.collect()), key=repr) == [(1, "d", 2), (None, "e", 1)]
+
+
+def test_upsert_rewrites_only_touched_partitions(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(20).select("id", F.lit("old").alias("v"), (F.col("id") % 4).alias("part")).write.partitionBy("part").parquet(path)
+    before = {f for f in spark.read.parquet(path).inputFiles() if "part=2" not in f}
+    batch = spark.createDataFrame([(2, "new", 2), (42, "new", 2)], "id long, v string, part long")
+    out = files.upsert_partitions(spark, path, batch, ["id"], "part")
+    assert out.count() == 21 and out.where("v = 'new'").count() == 2
+    assert before <= set(out.inputFiles())
+
+
 def test_csv_roundtrip_and_inference(spark, tmp_path):
     df = spark.createDataFrame([(1, None, "a,b"), (2, 3.5, None)], "id int, x double, s string")
     files.write_csv(df, str(tmp_path / "f"), compression="bzip2")
