@@ -13,6 +13,8 @@ user.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +48,10 @@ def _bit(position: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), position)
 
 
+# Weeks per bit set; a longer lookback takes several sets.
+WEEKS_PER_SET = 60
+
+
 def action_features(
     actions: DataFrame,
     users: DataFrame,
@@ -58,23 +64,28 @@ def action_features(
 
     Actions shrink to one row per (user, action) before the per-user totals.
     Actions that no feature counts all collapse into one row per user. The distinct
-    weeks are a bit set, since a lookback window has few of them.
+    weeks are bit sets, one for every 60 weeks of the lookback window.
     """
-    if weeks > 60:
-        raise ValueError("the week set holds at most 60 weeks")
     scope, created = F.col("full_scope"), F.col("created_at")
     if match == "prefix":
         billing, analytics = scope.startswith(BILLING_PREFIX), scope.startswith(ANALYTICS_PREFIX)
     else:
         billing, analytics = scope == BILLING_VIEW, scope == ANALYTICS_VIEW
     in_last_week = week_start(created) == F.lit(previous_week(t))
+    offset = week_offset(created, t, weeks)
+    sets = [f"weeks_{i}" for i in range(0, weeks + 2, WEEKS_PER_SET)]
+    week_bits = [
+        F.when(true(billing) & offset.between(i * WEEKS_PER_SET, (i + 1) * WEEKS_PER_SET - 1), _bit(offset - i * WEEKS_PER_SET))
+        .otherwise(0).alias(name)
+        for i, name in enumerate(sets)
+    ]
     flagged = of_users(actions.where(in_lookback(created, t, weeks)), users).select(
         "user_id",
         "id",
         true(billing).alias("billing"),
         true(analytics).alias("analytics"),
         (true(in_last_week) if last_week else F.lit(False)).alias("recent"),
-        F.when(true(billing), _bit(week_offset(created, t, weeks))).otherwise(0).alias("weeks"),
+        *week_bits,
     )
     used = F.col("billing") | F.col("analytics") | F.col("recent")
     per_action = packed_groups(
@@ -83,7 +94,7 @@ def action_features(
         F.max("billing").alias("billing"),
         F.max("analytics").alias("analytics"),
         F.max("recent").alias("recent"),
-        F.bit_or("weeks").alias("weeks"),
+        *[F.bit_or(s).alias(s) for s in sets],
     )
 
     def counted(flag: str) -> Column:
@@ -92,7 +103,7 @@ def action_features(
     features = [
         counted("billing").alias("billing_actions"),
         counted("analytics").alias("analytics_actions"),
-        F.bit_count(F.bit_or("weeks")).cast("long").alias("number_of_weeks_with_actions"),
+        reduce(lambda a, b: a + b, [F.bit_count(F.bit_or(s)) for s in sets]).cast("long").alias("number_of_weeks_with_actions"),
     ]
     if last_week:
         features.append(counted("recent").alias("actions_last_week"))
@@ -110,10 +121,11 @@ def weekly_update_features(
 ) -> DataFrame:
     """Updates, active days, extension updates and errors per user and week.
 
-    Updates become one row per id and errors one row per update before they are
-    joined, so neither side multiplies the other. Active days are a bit set of the
-    seven weekdays. With ``profiles`` the user is the owner of the update's profile,
-    and distinct profiles are counted as well.
+    Counts are distinct ids: an update is one row per (user, week, id), and an error
+    that belongs to several updates of a week counts once. Only errors of updates in the
+    window are read. Active days are a bit set of the seven weekdays. With ``profiles``
+    the user is the owner of the update's profile, distinct profiles are counted as
+    well, and an update under two profiles of one user is one update.
     """
     recent = updates.where(in_lookback(F.col("created_at"), t, weeks))
     if sent_only:
@@ -135,31 +147,23 @@ def weekly_update_features(
         _bit(F.weekday(F.to_date("created_at"))).alias("days"),
         true(F.col("client_type") == EXTENSION).alias("extension"),
     )
-    errors = update_errors.groupBy("update_id").agg(F.count_distinct("id").alias("errors"))
     per_update = packed_groups(
-        tagged,
-        ["user_id", "week", *parts, "update_id"],
-        F.bit_or("days").alias("days"),
-        F.max("extension").alias("extension"),
-    ).join(errors, "update_id", "left")
+        tagged, ["user_id", "week", "update_id"],
+        F.bit_or("days").alias("days"), F.max("extension").alias("extension"),
+    )
     known = F.col("update_id").isNotNull()
-    totals = [
+    weekly = per_update.groupBy("user_id", "week").agg(
         F.count("update_id").alias("updates"),
         F.bit_or("days").alias("days"),
         F.count_if(F.col("extension") & known).alias("extension"),
-        F.sum("errors").alias("errors"),
-    ]
-    if parts:
-        per_profile = per_update.groupBy("user_id", "week", *parts).agg(*totals)
-        totals = [
-            F.sum("updates").alias("updates"),
-            F.bit_or("days").alias("days"),
-            F.sum("extension").alias("extension"),
-            F.sum("errors").alias("errors"),
-            F.count("profile_id").alias("profiles"),
-        ]
-        per_update = per_profile
-    weekly = per_update.groupBy("user_id", "week").agg(*totals)
+    )
+    failed = update_errors.select("update_id", F.col("id").alias("error_id")).join(
+        per_update.select("user_id", "week", "update_id"), "update_id"
+    )
+    errors = packed_distinct(failed.select("user_id", "week", "error_id")).groupBy("user_id", "week").agg(
+        F.count("error_id").alias("errors")
+    )
+    weekly = weekly.join(errors, ["user_id", "week"], "left")
     named = [
         F.col("updates").cast("long").alias("number_of_updates"),
         F.bit_count("days").cast("long").alias("number_of_days_with_updates"),
@@ -167,7 +171,10 @@ def weekly_update_features(
         F.col("extension").cast("long").alias("number_of_extension_updates"),
     ]
     if parts:
-        named.append(F.col("profiles").cast("long").alias("number_of_profiles"))
+        owned = packed_distinct(tagged.select("user_id", "week", "profile_id"))
+        counted = owned.groupBy("user_id", "week").agg(F.count("profile_id").alias("profiles"))
+        weekly = weekly.join(counted, ["user_id", "week"], "left")
+        named.append(F.coalesce("profiles", F.lit(0)).cast("long").alias("number_of_profiles"))
     named.append(F.coalesce("errors", F.lit(0)).cast("long").alias("number_of_update_errors"))
     return weekly.select(
         "user_id", "week", week_number(F.col("week"), t, weeks).alias("week_number"), *named

@@ -100,6 +100,10 @@ def subscription_cohort(
     rather than from the subscription. ``horizon`` is the label window in months.
     """
     eligible = eligible_subscriptions(src["stripe_subscriptions"], t, plans)
+    read = {"id", "customer_id", *attributes, "canceled_at"} - {"user_id", "subscription_id"}
+    owner = [] if via_users else ["metadata_user_id"]
+    # Read by the charge counts and by the description, so it is computed once.
+    eligible = stage(eligible.select(*[c for c in eligible.columns if c in read or c in owner]))
     counts = charge_counts(
         src["stripe_invoices"],
         src["stripe_charges"],

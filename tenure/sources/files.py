@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tenure.session import stage
+
 
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType | None = None, missing: str = "NA"
@@ -30,11 +35,10 @@ def materialize(df: DataFrame, path: str, cluster_by: str, partitions: int | Non
     """Write a table clustered and sorted by a key, so key lookups prune row groups.
 
     Rebalancing (rather than a plain hash repartition) lets adaptive execution
-    cut a key that holds much of the table into several files.
+    cut a key that holds much of the table into several files; ``partitions`` is the
+    number of tasks before that.
     """
-    target = df.hint("rebalance", cluster_by) if partitions is None else df.repartition(
-        partitions, cluster_by
-    )
+    target = df.hint("rebalance", *([partitions] if partitions else []), cluster_by)
     target.sortWithinPartitions(cluster_by).write.parquet(path)
 
 
@@ -47,21 +51,56 @@ def materialize_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> N
     df.hint("rebalance", key).write.bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)
 
 
-def upsert(target: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``updates`` replace rows of ``target`` with the same key; others are added."""
-    kept = target.join(updates.select(*keys).distinct(), keys, "left_anti").select(*target.columns)
-    return kept.unionByName(updates, allowMissingColumns=True)
+def unique_batch(updates: DataFrame, keys: list[str], latest_by: str | None = None) -> DataFrame:
+    """One row per key, a NULL key being a key of its own.
+
+    With ``latest_by`` the row with the largest value of that column stays (values must
+    differ within a key); without it a repeated key is an error.
+    """
+    if latest_by is None:
+        return require_unique(updates, keys)
+    row = F.struct(*updates.columns)
+    return updates.groupBy(*keys).agg(F.max_by(row, F.col(latest_by)).alias("_row")).select("_row.*")
+
+
+def upsert(
+    target: DataFrame, updates: DataFrame, keys: list[str], latest_by: str | None = None
+) -> DataFrame:
+    """Rows of ``updates`` replace rows of ``target`` with the same key; others are added.
+
+    Keys match null-safely and the batch holds one row per key (see ``unique_batch``), so
+    repeating a batch changes nothing.
+    """
+    batch = unique_batch(updates, keys, latest_by)
+    replaced = batch.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return target.join(replaced, same, "left_anti").unionByName(batch, allowMissingColumns=True)
 
 
 def upsert_parquet(
     spark: SparkSession, current: str | None, updates: DataFrame, keys: list[str], target: str
 ) -> DataFrame:
     """Write the upserted table to a new path; readers move over once it is complete."""
-    merged = updates if current is None else upsert(spark.read.parquet(current), updates, keys)
+    merged = unique_batch(updates, keys) if current is None else upsert(spark.read.parquet(current), updates, keys)
     merged.write.parquet(target)
     return spark.read.parquet(target)
 
 
+def upsert_partitions(
+    spark: SparkSession, path: str, updates: DataFrame, keys: list[str], partition_by: str
+) -> DataFrame:
+    """Upsert into a partitioned table, rewriting only the partitions that the batch touches.
+
+    ``partition_by`` must follow from the keys, so that a row never changes its partition.
+    The merged partitions are staged before the old ones are overwritten.
+    """
+    touched = updates.select(partition_by).distinct()
+    merged = stage(upsert(spark.read.parquet(path).join(touched, partition_by, "left_semi"), updates, keys))
+    writer = merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(partition_by).parquet(path)
+    return spark.read.parquet(path)
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 

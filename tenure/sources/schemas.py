@@ -25,9 +25,9 @@ TABLES: dict[str, T.StructType] = {
         billing_interval="s", quantity="l", created_at="t", canceled_at="t",
         trial_start_at="t", trial_end_at="t", successful_charges="l",
     ),
-    "stripe_invoices": _table(id="s", subscription_id="s", paid="b", amount_due="l", date="t"),
+    "stripe_invoices": _table(id="s", subscription_id="s", paid="b", amount_due="d", date="t"),
     "stripe_charges": _table(
-        id="s", invoice="s", amount="l", created="t", captured="b", paid="b", refunded="b"
+        id="s", invoice="s", amount="d", created="t", captured="b", paid="b", refunded="b"
     ),
     "users": _table(
         id="s", created_at="t", billing_stripe_customer_id="s", locale_browser_language="s",
