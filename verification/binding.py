@@ -256,6 +256,16 @@ def feature_file(spark: SparkSession, sf_dir: str) -> DataFrame:
         (key % 5).alias("number_of_failed_charges"),
         (key % 2).alias("number_of_refunded_charges"),
         (1 + key % 3).alias("quantity"),
+        F.col("o_orderpriority").alias("plan_id"),
+        F.col("n_name").alias("locale_browser_language"),
+        (key % 3).alias("number_of_twitter_profiles"),
+        (key % 4).alias("number_of_facebook_personal_profiles"),
+        (cust % 5).alias("number_of_facebook_pages"),
+        (key % 2).alias("number_of_facebook_groups"),
+        (cust % 2).alias("number_of_instagram_personal_profiles"),
+        (key % 7).alias("number_of_instagram_business_profiles"),
+        (key % 13).alias("number_of_successful_charges"),
+        (F.floor(price / 9).cast("long") % 50).cast("double").alias("updates_per_week"),
         (key % 4).alias("billing_actions"),
         (cust % 3).alias("analytics_actions"),
     )

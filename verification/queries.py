@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from tenure.operators import columns, ranking, rates, reshape, sampling, tally
 from tenure.plans import accounts, activity, cohort, dataset, flags, support
 from tenure.session import stage, staging_root
 from tenure.sources import files
+from tenure.sources.tables import load_sources
 from verification import binding as b
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,6 +153,25 @@ def weekly_update_features(spark, d):
     return _weekly(spark, d)
 
 
+@query
+def weekly_updates_shared_errors(spark, d):
+    """One error id on several updates: it counts once for a user and week."""
+    src = b.sources(spark, d)
+    shared = src["update_errors"].withColumn("id", F.floor(F.col("id") / 40))
+    return activity.weekly_update_features(src["updates"], shared, b.all_users(spark, d), b.T_USAGE)
+
+
+@query
+def weekly_updates_two_profiles(spark, d):
+    """Every update under two profiles of its user: it stays one update."""
+    src = b.sources(spark, d)
+    second = F.col("user_id") * 10 + (F.col("profile_id") + 1) % 3
+    twice = src["updates"].unionByName(src["updates"].withColumn("profile_id", second))
+    return activity.weekly_update_features(
+        twice, src["update_errors"], b.all_users(spark, d), b.T_USAGE, profiles=src["profiles"]
+    )
+
+
 @query
 def weekly_updates_via_profiles(spark, d):
     src = b.sources(spark, d)
@@ -178,7 +199,7 @@ def window_span_counts(spark, d):
 
 @query
 def discovered_weeks(spark, d):
-    return _weekly(spark, d).select("week_number").distinct()
+    return reshape.distinct_values(_weekly(spark, d), "week_number")
 
 
 def _weekly_counts(spark, d):
@@ -259,6 +280,16 @@ def churn_dataset(spark, d):
     return dataset.churn_dataset(b.sources(spark, d), b.T, b.T_USAGE)
 
 
+@query
+def loaded_churn_dataset(spark, d):
+    """The dataset from tables written to files and read in their declared types."""
+    root = f"{staging_root(spark)}/tables-{uuid.uuid4().hex}"
+    src = b.sources(spark, d)
+    for name in src:
+        src[name].write.parquet(f"{root}/{name}.parquet")
+    return dataset.churn_dataset(load_sources(spark, root), b.T, b.T_USAGE)
+
+
 @query
 def scoring_dataset(spark, d):
     return _tidied(dataset.scoring_dataset(b.sources(spark, d), b.T, b.T_USAGE, growth=True))
@@ -280,7 +311,7 @@ def feature_file_dataset(spark, d):
     """Flat export with its activity columns rebuilt from the logs."""
     file = b.feature_file(spark, d).drop(
         "days_since_last_update", "weeks_with_updates", "total_updates", "estimate",
-        "billing_actions", "analytics_actions",
+        "billing_actions", "analytics_actions", "updates_per_week",
     )
     return _tidied(
         dataset.feature_file_dataset(
@@ -502,6 +533,21 @@ def hash_split(spark, d):
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
+@query
+def hash_split_missing_keys(spark, d):
+    """Rows without a key are in exactly one part."""
+    key = F.col("o_orderkey")
+    rows = b.table(spark, d, "orders").select(F.when(key % 7 != 0, key).alias("k"), key.alias("row"))
+    train, test = sampling.hash_split(rows, "k", 0.8, 11)
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+@query
+def stratified_folds(spark, d):
+    rows = _labelled(spark, d).select("subscription_id", "did_churn")
+    return sampling.stratified_folds(rows, "subscription_id", "did_churn", 5, 1)
+
+
 @query
 def three_way_holdout(spark, d):
     earlier = _labelled(spark, d, as_of=b.T_EARLIER, churn_until="1998-04-01", created_until="1997-11-01")
@@ -550,10 +596,8 @@ def single_variable_report(spark, d):
     return _tidied(
         rates.single_variable_report(
             rows,
-            ["signup_option", "is_mobile_user", "billing_interval", "country", "simplified_plan_name",
-             "signup_client_name"],
-            ["number_of_profiles", "number_of_failed_charges", "number_of_refunded_charges",
-             "days_since_last_update", "weeks_with_updates", "total_updates", "estimate", "subscription_age"],
+            features.SINGLE_CATEGORICAL,
+            features.SINGLE_NUMERIC,
             "did_churn",
         )
     )
@@ -599,15 +643,24 @@ def threshold_metrics(spark, d):
 
 @query
 def one_hot_aligned(spark, d):
-    """Training levels from one part of the accounts applied to all of them."""
+    """Training levels found in one part of the accounts applied to all of them."""
     users = b.sources(spark, d)["users"].select("id", "timezone", "twofactor_type", "is_approved")
     train = users.where(F.col("timezone") != "MACHINERY")
-    levels = {"timezone": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD"], "twofactor_type": ["sms"]}
+    levels = reshape.level_lists(reshape.find_levels(train, ["timezone", "twofactor_type"]))
     template = [*reshape.one_hot(train, levels).columns, "timezone_MARS"]
     aligned = reshape.align_columns(reshape.one_hot(users, levels), template)
     return aligned.withColumnsRenamed({c: c.lower() for c in aligned.columns})
 
 
+@query
+def sparse_levels(spark, d):
+    """Indicator slots of a column with a level for every row and of one with few levels."""
+    rows = b.table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    names = ["c_name", "c_mktsegment"]
+    coded = reshape.encode_levels(rows, reshape.find_levels(rows, names), names)
+    return coded.select("c_custkey", F.element_at("slots", 1).alias("name_slot"), F.element_at("slots", 2).alias("segment_slot"))
+
+
 @query
 def column_operations(spark, d):
     """Star-except over a join, dropped range, renamed and cleaned names, filled blanks."""
@@ -650,6 +703,30 @@ def upsert_predictions(spark, d):
     return _tidied(files.upsert(old, new, ["id"]))
 
 
+@query
+def upsert_missing_keys(spark, d):
+    """A batch with repeated and missing keys; the larger version of a key stays."""
+    orders, key = b.table(spark, d, "orders"), F.col("o_orderkey")
+    price = F.col("o_totalprice")
+    old = orders.where(key % 3 != 0).select(F.when(key % 50 != 1, key).alias("id"), price.alias("p"), F.lit(0).alias("version"))
+    new = orders.where(key % 4 == 0).select(key.alias("id"), (price * 2).alias("p"), F.lit(1).alias("version"))
+    again = new.withColumns({"p": F.col("p") + 1, "version": F.lit(2)})
+    missing = spark.range(1).select(F.lit(None).cast("long").alias("id"), F.lit(-1.0).alias("p"), F.lit(3).alias("version"))
+    batch = new.unionByName(again).unionByName(missing)
+    return _tidied(files.upsert(old, batch, ["id"], latest_by="version"))
+
+
+@query
+def upsert_touched_partitions(spark, d):
+    """Only the partitions that the batch touches are rewritten; the table stays whole."""
+    orders, key = b.table(spark, d, "orders"), F.col("o_orderkey")
+    rows = orders.select(key.alias("id"), F.col("o_totalprice").alias("p"), (key % 5).cast("int").alias("bucket"))
+    path = f"{staging_root(spark)}/upserts-{uuid.uuid4().hex}"
+    rows.write.partitionBy("bucket").parquet(path)
+    batch = rows.where("bucket = 2").withColumn("p", F.col("p") * 2)
+    return _tidied(files.upsert_partitions(spark, path, batch, ["id"], "bucket"))
+
+
 @query
 def duplicate_keys(spark, d):
     return files.duplicate_keys(b.table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
@@ -672,29 +749,46 @@ def logit_coefficients(spark, d):
 @query
 def logit_fit_statistics(spark, d):
     train, _ = _train_test(spark, d)
-    sets = {"full": features.LOGIT_FULL, "reduced": features.LOGIT_REDUCED, "final": features.LOGIT_FINAL}
     tables = []
-    for name, chosen in sets.items():
+    for name, chosen in LOGITS.items():
         scaled = [] if name == "final" else features.LOGIT_SCALED
         fitted = logit.fit_logit(train, chosen, "did_churn", scaled)
         tables.append(fitted.fit_statistics().withColumn("model", F.lit(name)))
     return tables[0].unionByName(tables[1]).unionByName(tables[2])
 
 
-LOGIT_CHECKED = ["has_failed_charge", "is_idle", "weeks_with_updates", "total_updates", "estimate"]
+LOGITS = {"full": features.LOGIT_FULL, "reduced": features.LOGIT_REDUCED, "final": features.LOGIT_FINAL}
+
+
+def _balance(spark, rows, chosen, scaled, name):
+    """Totals of every term weighted with the fitted probability, over the rows of the fit."""
+    rows = stage(rows.select(*chosen, "did_churn").dropna())
+    scored = logit.predict_logit(logit.fit_logit(rows, chosen, "did_churn", scaled).pipeline, rows)
+    text = [c for c in chosen if dict(rows.dtypes)[c] == "string"]
+    numeric = {c: F.col(c).cast("double") for c in chosen if c not in text}
+    terms = {"intercept": F.lit(1.0), **numeric}
+    totals = scored.agg(*[F.sum(x * F.col("pred")).alias(term) for term, x in terms.items()])
+    parts = [totals.unpivot([], list(terms), "term", "total")]
+    for c in text:
+        parts.append(scored.groupBy(F.concat(F.lit(f"{c} "), F.col(c)).alias("term")).agg(F.sum("pred").alias("total")))
+    every = reduce(DataFrame.unionByName, parts)
+    return every.select(F.lit(name).alias("model"), "term", F.round("total", 1).alias("total"))
 
 
 @query
 def logit_balance_equations(spark, d):
-    """At the optimum the fitted probabilities reproduce every observed feature total."""
+    """At the optimum the fitted probabilities reproduce every observed total, which fixes the coefficients."""
     rows = stage(_modelling(spark, d))
-    model = logit.fit_logit(rows, LOGIT_CHECKED, "did_churn").pipeline
-    scored = logit.predict_logit(model, rows)
-    terms = {"intercept": F.lit(1.0), **{c: F.col(c).cast("double") for c in LOGIT_CHECKED}}
-    totals = scored.agg(*[F.sum(x * F.col("pred")).alias(name) for name, x in terms.items()])
-    return totals.unpivot([], list(terms), "term", "total").select(
-        "term", F.round("total", 1).alias("total")
-    )
+    parts = [
+        _balance(spark, rows, chosen, [] if name == "final" else features.LOGIT_SCALED, name)
+        for name, chosen in LOGITS.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def scoring_balance_equations(spark, d):
+    return _balance(spark, _scoring_data(spark, d), features.LOGIT_SCORING, [], "scoring")
 
 
 @query
@@ -704,9 +798,7 @@ def logit_scores(spark, d):
     return logit.predict_logit(model.pipeline, test).select("subscription_id", "did_churn", "pred")
 
 
-@query
-def out_of_time_validation(spark, d):
-    """Model of the earlier snapshot evaluated on its test rows and on the later one."""
+def _out_of_time(spark, d):
     earlier = stage(_modelling(spark, d, as_of=b.T_EARLIER, churn_until="1998-07-01", created_until="1997-11-01"))
     tagged = sampling.holdout(earlier, _modelling(spark, d), "subscription_id", seed=3)
     train = tagged.where("part = 'train'")
@@ -716,14 +808,75 @@ def out_of_time_validation(spark, d):
 
 
 @query
-def scored_subscriptions(spark, d):
-    """The scoring job's model and output rows."""
+def out_of_time_validation(spark, d):
+    """Model of the earlier snapshot evaluated on its test rows and on the later one."""
+    return _out_of_time(spark, d)
+
+
+def _rows_and_positives(metrics, *by):
+    """What a table of outcomes says about the rows behind it."""
+    return metrics.select(
+        *by, (F.col("tn") + F.col("fn") + F.col("fp") + F.col("tp")).alias("n"), (F.col("fn") + F.col("tp")).alias("positives"),
+        F.col("auc").between(0.0, 1.0).alias("valid_auc"),
+    )
+
+
+@query
+def out_of_time_rows(spark, d):
+    """The validation evaluates every complete row of each part once."""
+    return _rows_and_positives(_out_of_time(spark, d), "part")
+
+
+def _scoring_data(spark, d):
     src = b.sources(spark, d)
-    data = stage(
+    return stage(
         dataset.clean_scoring_dataset(
             dataset.scoring_dataset(src, b.T, b.T_USAGE, fill_recency=True), b.T
         )
     )
+
+
+def _scoring_job(spark, d):
+    """The job twice over the same batch: fitted and saved, then loaded."""
+    root = f"{staging_root(spark)}/job-{uuid.uuid4().hex}"
+    src, run_ts = b.sources(spark, d), "2024-02-01 06:00:00"
+    scoring.run_scoring(
+        spark, src, b.T, run_ts, (None, f"{root}/features1"), (None, f"{root}/predictions1"),
+        save_model_to=f"{root}/model", usage_t=b.T_USAGE,
+    )
+    predictions = scoring.run_scoring(
+        spark, src, b.T, run_ts, (f"{root}/features1", f"{root}/features2"),
+        (f"{root}/predictions1", f"{root}/predictions2"), model_path=f"{root}/model", usage_t=b.T_USAGE,
+    )
+    return spark.read.parquet(f"{root}/features2"), predictions
+
+
+@query
+def scoring_job_features(spark, d):
+    table, _ = _scoring_job(spark, d)
+    return _tidied(
+        table.select(
+            "subscription_id", "user_age", "subscription_age", "has_refunded_charge", "has_failed_charge",
+            "days_since_last_update", "is_idle", "features_created_at",
+        )
+    )
+
+
+@query
+def scoring_job_predictions(spark, d):
+    """One valid prediction for each subscription, with the run's name and time."""
+    _, predictions = _scoring_job(spark, d)
+    p = F.col("churn_probability")
+    return predictions.select(
+        "subscription_id", "created_at", "model_name", "model_version", p.between(0.0, 1.0).alias("valid"),
+        F.col("id").endswith("2024-02-01 06:00:00logistic_regression0.1").alias("named"),
+    )
+
+
+@query
+def scored_subscriptions(spark, d):
+    """The scoring job's model and output rows."""
+    data = _scoring_data(spark, d)
     model = logit.fit_logit(data, features.LOGIT_SCORING, "did_churn").pipeline
     return scoring.score(model, data, "2024-02-01 06:00:00")
 
@@ -731,21 +884,64 @@ def scored_subscriptions(spark, d):
 @query
 def forest_scores(spark, d):
     train, test = _train_test(spark, d)
-    model = classifiers.fit_forest(train, features.FOREST_FULL, "did_churn", trees=20, depth=5)
+    model = classifiers.fit_forest(train, features.FOREST_FULL, "did_churn")
     return classifiers.predict_classifier(model, test).select("subscription_id", "did_churn", "pred")
 
 
+def _in_range(scored, margin=False):
+    """Which rows of a test set have a valid score."""
+    valid = F.col("pred").isNotNull() & (F.lit(margin) | F.col("pred").between(0.0, 1.0))
+    return scored.select("subscription_id", "did_churn", valid.alias("scored"))
+
+
+@query
+def forest_scored_rows(spark, d):
+    return _in_range(forest_scores(spark, d))
+
+
+@query
+def network_scored_rows(spark, d):
+    return _in_range(network_scores(spark, d))
+
+
+@query
+def support_vector_scored_rows(spark, d):
+    return _in_range(support_vector_scores(spark, d), margin=True)
+
+
 @query
 def forest_importance(spark, d):
     train, _ = _train_test(spark, d)
-    model = classifiers.fit_forest(train, features.FOREST_NO_PROFILES, "did_churn", trees=20, depth=5)
+    model = classifiers.fit_forest(train, features.FOREST_NO_PROFILES, "did_churn")
     return classifiers.importance(model, features.FOREST_NO_PROFILES)
 
 
+@query
+def forest_importance_total(spark, d):
+    return forest_importance(spark, d).agg(
+        F.count("feature").alias("n"), F.round(F.sum("importance"), 6).alias("total"), F.min(F.col("importance") >= 0).alias("valid")
+    )
+
+
+@query
+def exchanged_columns(spark, d):
+    """Exchanging a column between rows keeps the number of rows with each of its values."""
+    _, test = _train_test(spark, d)
+    chosen = features.FOREST_RECENCY
+    rows = test.select("subscription_id", *chosen).dropna()
+    other = stage(classifiers.exchanged_rows(rows, chosen, "subscription_id"))
+    text = [c for c in chosen if dict(rows.dtypes)[c] == "string"]
+    cells = [
+        F.struct(F.lit(c).alias("name"), F.col(f"other.{c}").cast("string" if c in text else "long").cast("string").alias("value"))
+        for c in chosen
+    ]
+    return other.select(F.inline(F.array(*cells))).groupBy("name", "value").agg(F.count("*").alias("n"))
+
+
 @query
 def permutation_importance(spark, d):
     train, test = _train_test(spark, d)
-    model = classifiers.fit_forest(train, features.FOREST_RECENCY, "did_churn", trees=20, depth=5)
+    model = classifiers.fit_forest(train, features.FOREST_RECENCY, "did_churn")
     return classifiers.permutation_importance(
         model, test, features.FOREST_RECENCY, "did_churn", "subscription_id"
     )
@@ -760,7 +956,7 @@ def forest_variants_auc(spark, d):
         "full": features.FOREST_FULL, "no_profiles": features.FOREST_NO_PROFILES,
         "recency": features.FOREST_RECENCY, "signup": features.FOREST_SIGNUP,
     }.items():
-        model = classifiers.fit_forest(train, chosen, "did_churn", trees=10, depth=5)
+        model = classifiers.fit_forest(train, chosen, "did_churn")
         scored = classifiers.predict_classifier(model, test)
         parts.append(scored.select(F.lit(name).alias("model"), "did_churn", "pred"))
     every = parts[0]
@@ -769,13 +965,26 @@ def forest_variants_auc(spark, d):
     return ranking.auc(every, "pred", "did_churn", ["model"])
 
 
+def _folds(spark, d):
+    """Five stratified folds of the one-hot flat file."""
+    matrix = stage(_flat_matrix(_labelled_file(spark, d)))
+    inputs = [c for c in matrix.columns if c not in ("id", "subscription_id", "did_churn", "was_active_end_of_year", "was_active_two_months")]
+    return classifiers.cross_validate(matrix, inputs, "did_churn", "subscription_id")
+
+
 @query
 def forest_cross_validation(spark, d):
-    mean, spread = classifiers.cross_val_auc(
-        _modelling(spark, d), features.FOREST_NO_PROFILES, "did_churn", "subscription_id",
-        trees=10, depth=4,
-    )
-    return spark.createDataFrame([(5, mean, spread)], "folds int, mean_auc double, sd_auc double")
+    return _folds(spark, d)
+
+
+@query
+def forest_cross_validation_folds(spark, d):
+    return _folds(spark, d).select("fold", "n", "positives")
+
+
+# Only the number of profiles starts at one.
+POSITIVE_LOGS = ["number_of_profiles"]
+ZERO_BASED_LOGS = [c for c in features.NETWORK_LOG if c not in POSITIVE_LOGS]
 
 
 @query
@@ -784,9 +993,9 @@ def recipe_matrix(spark, d):
     from pyspark.ml import PipelineModel
     from pyspark.ml.functions import vector_to_array
 
-    inputs = ["total_updates", "number_of_profiles", "has_failed_charge", "signup_option"]
+    inputs = features.NETWORK
     rows = stage(_modelling(spark, d).select("subscription_id", *inputs).dropna())
-    stages, names = classifiers.fit_recipe(rows, inputs, ["total_updates"], ["number_of_profiles"])
+    stages, names = classifiers.fit_recipe(rows, inputs, ZERO_BASED_LOGS, POSITIVE_LOGS)
     matrix = PipelineModel(stages).transform(rows).select(
         "subscription_id", vector_to_array(design.FEATURES).alias("x")
     )
@@ -798,22 +1007,19 @@ def recipe_matrix(spark, d):
 @query
 def network_scores(spark, d):
     train, test = _train_test(spark, d)
-    model = classifiers.fit_mlp(
-        train, features.NETWORK, "did_churn", ["total_updates", "days_since_last_update"],
-        ["number_of_profiles"], iterations=20,
-    )
+    model = classifiers.fit_mlp(train, features.NETWORK, "did_churn", ZERO_BASED_LOGS, POSITIVE_LOGS)
     return classifiers.predict_classifier(model, test).select("subscription_id", "did_churn", "pred")
 
 
 @query
 def support_vector_scores(spark, d):
     train, test = _train_test(spark, d)
-    model = classifiers.fit_svc(train, features.LOGIT_REDUCED, "did_churn", iterations=20)
+    model = classifiers.fit_svc(train, features.LOGIT_REDUCED, "did_churn")
     return classifiers.predict_classifier(model, test).select("subscription_id", "did_churn", "pred")
 
 
 def _export(spark, d, t, horizon=2):
-    """Exported training file: booleans spelled t / f, two text categories."""
+    """Exported training file: booleans spelled t / f, five text categories."""
     src = b.sources(spark, d)
     cohort_ = cohort.subscription_cohort(src, t, horizon=horizon)
     users = accounts.user_features(src["users"], cohort_)
@@ -822,43 +1028,60 @@ def _export(spark, d, t, horizon=2):
     return df.withColumns(spelled)
 
 
+def _levels(df, names):
+    return reshape.level_lists(reshape.find_levels(df, names))
+
+
 @query
 def prepared_export(spark, d):
     train, later = stage(_export(spark, d, b.T_EARLIER)), stage(_export(spark, d, b.T))
-    prepared, aligned = validation.train_and_validation(
-        train.drop("locale_browser_language"), later.drop("locale_browser_language")
-    )
+    prepared, aligned = validation.train_and_validation(train, later, _levels(train, features.EXPORT_CATEGORIES))
     both = prepared.withColumn("part", F.lit("train")).unionByName(
         aligned.withColumn("part", F.lit("validation"))
     )
     return columns.clean_names(both)
 
 
-@query
-def flat_file_matrix(spark, d):
+def _labelled_file(spark, d):
+    return cohort.snapshot_label(b.feature_file(spark, d), b.T, "1998-10-01", "1998-02-01")
+
+
+def _flat_matrix(file):
     """Flat feature file as the numeric matrix of the cross-validated forest."""
-    file = b.feature_file(spark, d).drop("country", "number_of_profiles")
+    file = file.withColumn("number_of_profiles", values.grouped_number(F.col("number_of_profiles")))
     matrix = validation.prepare_export(
-        file, categories=features.FLAT_CATEGORIES, flags=features.FLAT_FLAGS, spelling=("Yes", "No"),
+        file, _levels(file, features.FLAT_CATEGORIES), flags=features.FLAT_FLAGS, spelling=("Yes", "No"),
         dropped=[c for c in features.FLAT_DROPPED if c != "subscription_id"],
     )
     return columns.clean_names(matrix)
 
 
+@query
+def flat_file_matrix(spark, d):
+    return _tidied(_flat_matrix(b.feature_file(spark, d)))
+
+
 @query
 def export_validation(spark, d):
     """Support vectors fitted on the earlier export, ranked on the later one.
 
     A one-year horizon leaves cancellations to learn from at every test scale.
     """
+    exported = stage(_export(spark, d, b.T_EARLIER, 12))
     train, later = (
         columns.clean_names(df)
         for df in validation.train_and_validation(
-            stage(_export(spark, d, b.T_EARLIER, 12)), stage(_export(spark, d, b.T, 12))
+            exported, stage(_export(spark, d, b.T, 12)), _levels(exported, features.EXPORT_CATEGORIES)
         )
     )
     label = "churned_in_next_two_months"
     inputs = [c for c in train.columns if c not in ("subscription_id", label)]
-    model = classifiers.fit_svc(train, inputs, label, iterations=10)
+    model = classifiers.fit_svc(train, inputs, label)
     scored = stage(classifiers.predict_classifier(model, later).select(label, "pred"))
     return validation.validate(scored, "pred", label, 0.0)
+
+
+@query
+def export_validation_rows(spark, d):
+    """The later export is evaluated row by row."""
+    return _rows_and_positives(export_validation(spark, d))
