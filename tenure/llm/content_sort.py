@@ -21,6 +21,7 @@ from tenure.session import stage
 SAMPLE_ROWS, HITS = 20_000, 10
 #: A frequent text gets one run for so many rows of the table.
 ROWS_PER_RUN = 20_000
+SPLITTER_CHARS = 32
 PRODUCED = ("keep_id", "group_size", "kept", "text_sha256")
 
 
@@ -52,15 +53,18 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         salt = F.when(F.xxhash64("content").isin(frequent), F.pmod(F.xxhash64("id"), F.lit(runs)).cast("int")).otherwise(F.lit(0))
     # A struct as minimum makes the aggregate sort-based: neighbours are compared, and a run never sits in memory.
     smallest = F.min(F.struct(F.col("id").isNull().alias("missing"), F.col("id")))
-    placed = content.withColumn("salt", salt).repartitionByRange("content", "salt")
-    runs_ = placed.groupBy("content", "salt").agg(smallest.alias("least"), F.count(F.lit(1)).alias("n")).select(F.sha2("content", 256).alias("sha"), "least", "n")
-    groups = stage(runs_.groupBy("sha").agg(F.min("least").alias("least"), F.sum("n").alias("group_size")))
+    # Splitters come to the driver, so they are taken from the first characters and a hash, not from whole texts.
+    range_key = [F.substring("content", 1, SPLITTER_CHARS).alias("head"), F.xxhash64("content").alias("tail")]
+    placed = content.select("id", "content", salt.alias("salt"), *range_key).repartitionByRange("head", "tail", "salt")
+    runs_ = placed.groupBy("head", "tail", "salt", "content").agg(smallest.alias("least"), F.count(F.lit(1)).alias("n"))
+    runs_ = runs_.select(F.sha2("content", 256).alias("sha"), "least", "n")
+    groups = stage(runs_.groupBy(F.col("sha").alias("text_sha256")).agg(F.min("least").alias("__least"), F.sum("n").alias("group_size")))
     marked = docs.select(*[col(c) for c in passed], F.sha2(normalised(col(text_col)), 256).alias("text_sha256"))
-    return marked.join(groups.withColumnRenamed("sha", "text_sha256"), "text_sha256").select(
+    return marked.join(groups, "text_sha256", "left").select(
         *[col(c) for c in passed],
-        F.col("least.id").alias("keep_id"),
+        F.col("__least.id").alias("keep_id"),
         "group_size",
-        col(id_col).eqNullSafe(F.col("least.id")).alias("kept"),
+        col(id_col).eqNullSafe(F.col("__least.id")).alias("kept"),
         "text_sha256",
     )
 
