@@ -1,10 +1,15 @@
 """Plans and results when one key holds a large part of the rows."""
 
+import os
+import subprocess
+import sys
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 from tenure.plans.activity import action_features, update_growth, weekly_update_features
-from tenure.plans.cohort import subscription_cohort
+from tenure.plans.cohort import eligible_subscriptions, subscription_cohort
 from tenure.session import stage, staging_root
 from tenure.sources import files
 from verification import binding as b
@@ -78,11 +83,15 @@ def test_growth_reads_the_updates_once(spark, shuffled_joins):
     assert "ReusedExchange" in plan and scans <= 1
 
 
+def explained(spark, df):
+    return spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
 def test_filters_and_columns_reach_the_scans(spark):
-    execution = subscription_cohort(b.sources(spark, SF), b.T)._jdf.queryExecution()
-    plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(execution, "formatted")
-    assert "GreaterThanOrEqual(o_orderdate,1997-04-01T00:00)" in plan
-    assert "LessThan(l_shipdate,1998-04-01T00:00)" in plan
+    src = b.sources(spark, SF)
+    eligible = explained(spark, eligible_subscriptions(src["stripe_subscriptions"], b.T))
+    assert "GreaterThanOrEqual(o_orderdate,1997-04-01T00:00)" in eligible
+    assert "LessThan(l_shipdate,1998-04-01T00:00)" in explained(spark, subscription_cohort(src, b.T))
 
 
 def test_errors_are_joined_before_they_are_counted(spark, shuffled_joins):
@@ -113,27 +122,30 @@ def test_stage_uses_the_configured_folder(spark, monkeypatch):
     assert staged.count() == 5 and all(folder in path for path in staged.inputFiles())
 
 
-def test_without_the_setting_the_warehouse_is_used_and_released():
+def test_without_the_setting_the_warehouse_is_used():
+    settings = {"spark.sql.warehouse.dir": "/shared/warehouse/"}
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: settings.get(key, default)),
+                              sparkContext=SimpleNamespace(applicationId="app-1"))
+    assert staging_root(session) == "/shared/warehouse/_staged/tenure-app-1"
+    settings["spark.checkpoint.dir"] = "hdfs:/checkpoints"
+    assert staging_root(session) == "hdfs:/checkpoints/tenure-app-1"
+
+
+def test_a_run_releases_its_own_folder(tmp_path):
     script = """
-import sys; sys.path.insert(0, {root!r})
+import os, sys
+sys.path.insert(0, sys.argv[1])
 from tenure.session import build_session, release_staging, stage, staging_root
-spark = build_session("local[1]", **{{"spark.sql.warehouse.dir": {warehouse!r}, "spark.ui.enabled": "false"}})
+spark = build_session("local[1]", **{"spark.checkpoint.dir": sys.argv[2], "spark.ui.enabled": "false"})
 stage(spark.range(3))
-import os
-print("FOLDER", staging_root(spark), os.path.isdir(staging_root(spark).removeprefix("file:")))
+folder = staging_root(spark)
+print("BEFORE", os.path.isdir(folder))
 release_staging(spark)
-print("AFTER", os.path.isdir(staging_root(spark).removeprefix("file:")))
+print("AFTER", os.path.isdir(folder), os.path.isdir(sys.argv[2]))
 """
-    import os
-    import subprocess
-    import sys
-    import tempfile
-
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    with tempfile.TemporaryDirectory() as warehouse:
-        code = script.format(root=root, warehouse=warehouse)
-        said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, check=True).stdout
-        assert "_staged/tenure-" in said and "True" in said.split("FOLDER")[1].split("AFTER")[0] and "False" in said.split("AFTER")[1]
+    run = subprocess.run([sys.executable, "-c", script, root, str(tmp_path)], capture_output=True, text=True, timeout=120, check=True)
+    assert "BEFORE True" in run.stdout and "AFTER False True" in run.stdout
 
 
 def test_bucketed_tables_join_without_a_shuffle(spark, shuffled_joins):
