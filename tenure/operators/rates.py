@@ -86,29 +86,25 @@ PARTS = ("train", "test")
 COUNTS = [f"{part}_{count}" for part in PARTS for count in ("pos", "n")]
 
 
-def _long_tallies(
-    df: DataFrame, categorical: Sequence[str], numeric: Sequence[str], label: str, is_train: str
-) -> DataFrame:
-    """Class counts per variable and value, for training and testing rows in one pass."""
-    cells = [
-        F.struct(F.lit(v).alias("variable"), F.col(v).cast("string").alias("text"),
-                 F.lit(None).cast("double").alias("number"))
-        for v in categorical
-    ] + [
-        F.struct(F.lit(v).alias("variable"), F.lit(None).cast("string").alias("text"),
-                 F.col(v).cast("double").alias("number"))
-        for v in numeric
-    ]
-    long = df.select(
-        F.col(label).cast("int").alias("y"), F.col(is_train).alias("train"),
-        F.inline(F.array(*cells)),
-    )
-    of_part = {"train": F.col("train"), "test": ~F.col("train")}
+def _long_tallies(df: DataFrame, variables: Sequence[str], kind: str, label: str, is_train: str) -> DataFrame:
+    """Class counts per variable and value, for training and testing rows in one pass.
+
+    Categories are counted for their combinations first, so that few rows are copied once
+    for each variable; numbers, whose combinations hardly repeat, are copied directly.
+    """
+    y, train = F.col(label).cast("int").alias("_y"), F.col(is_train).alias("_train")
+    if kind == "string":
+        rows = df.select(y, train, *variables).groupBy("_y", "_train", *variables).agg(F.count("*").alias("_n"))
+    else:
+        rows = df.select(y, train, *variables, F.lit(1).cast("long").alias("_n"))
+    cells = [F.struct(F.lit(v).alias("variable"), F.col(v).cast(kind).alias("value")) for v in variables]
+    long = rows.select("_y", "_train", "_n", F.inline(F.array(*cells)))
+    of_part = {"train": F.col("_train"), "test": ~F.col("_train")}
     counts = []
     for part, belongs in of_part.items():
-        counts.append(F.coalesce(F.sum(F.when(belongs, F.col("y"))), F.lit(0)).alias(f"{part}_pos"))
-        counts.append(F.count(F.when(belongs, F.lit(1))).alias(f"{part}_n"))
-    return long.groupBy("variable", "text", "number").agg(*counts)
+        counts.append(F.coalesce(F.sum(F.when(belongs, F.col("_y") * F.col("_n"))), F.lit(0)).alias(f"{part}_pos"))
+        counts.append(F.coalesce(F.sum(F.when(belongs, F.col("_n"))), F.lit(0)).alias(f"{part}_n"))
+    return stage(long.groupBy("variable", "value").agg(*counts))
 
 
 def _aucs(levels: DataFrame, prior: Column) -> DataFrame:
@@ -140,32 +136,30 @@ def single_variable_report(
 ) -> DataFrame:
     """Train and test AUC of the one-variable model of every listed column.
 
-    Rows are unpivoted and collapsed to counts per (variable, value) once. Cut
-    points, rates and AUC are then all computed from those counts, for all
-    variables together, instead of one model and two scoring passes per variable.
+    Rows are collapsed to counts per (variable, value) once. Cut points, rates and AUC are
+    then all computed from those counts, for all variables together, instead of one
+    model and two scoring passes per variable.
     """
-    tallies = stage(_long_tallies(df, categorical, numeric, label, is_train))
-    one = [*categorical, *numeric][0]
-    prior = tallies.where(F.col("variable") == one).select(
-        F.sum("train_pos") / F.sum("train_n")
-    ).scalar()
-    parts = []
+    parts, one = [], None
     if categorical:
-        texts = tallies.where(F.col("variable").isin(list(categorical)))
-        parts.append(texts.select("variable", F.col("text").alias("value"), *COUNTS))
+        one = _long_tallies(df, categorical, "string", label, is_train)
+        parts.append(one.select("variable", "value", *COUNTS))
     if numeric:
-        numbers = tallies.where(F.col("variable").isin(list(numeric)))
+        numbers = _long_tallies(df, numeric, "double", label, is_train)
+        one = one if one is not None else numbers
         cuts = exact_quantiles(
-            numbers.where("train_n > 0"), "number", DECILES, ["variable"], "train_n"
+            numbers.where("train_n > 0"), "value", DECILES, ["variable"], "train_n"
         ).select(F.col("variable").alias("_variable"), _cuts(F.col("quantiles")).alias("cuts"))
         # One row per variable, so the broadcast is bounded by the number of columns.
         bins = (
             numbers.join(F.broadcast(cuts), F.col("variable") == F.col("_variable"), "left")
-            .withColumn("value", right_closed_bin_of(F.col("number"), F.col("cuts")).cast("string"))
+            .select("variable", right_closed_bin_of(F.col("value"), F.col("cuts")).cast("string").alias("value"), *COUNTS)
             .groupBy("variable", "value")
             .agg(*[F.sum(c).alias(c) for c in COUNTS])
         )
         parts.append(bins.select("variable", "value", *COUNTS))
+    first = [*categorical, *numeric][0]
+    prior = one.where(F.col("variable") == first).select(F.sum("train_pos") / F.sum("train_n")).scalar()
     levels = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return _aucs(levels, prior).groupBy("variable").agg(
         *[F.max(F.when(F.col("part") == p, F.col("auc"))).alias(f"{p}_auc") for p in PARTS]
