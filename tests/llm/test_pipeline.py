@@ -86,6 +86,26 @@ def test_each_stage_equals_brute_force_on_its_input(spark, folder, tmp_path):
         docs = out
 
 
+def test_near_copies_of_five_words_and_80_percent_go(spark, frame):
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(96)]
+
+    def edited(*places):
+        return [f"e{p}" if p in places else w for p, w in enumerate(base)]
+
+    # Two edits: 82 of 102 shingles of 5 words shared (0.80), 85 of 101 of 4 words (0.84). Three edits: 77 of 107 (0.72).
+    texts = [base, edited(30, 60), edited(20, 50, 80), base, [f"v{rng.random()}" for _ in range(96)]]
+    docs = frame(SCHEMA, [(i, " ".join(t), "en", "s", len(" ".join(t))) for i, t in enumerate(texts)])
+
+    def similarity(a, b, size):
+        x, y = ({tuple(t[i : i + size]) for i in range(len(t) - size + 1)} for t in (a, b))
+        return len(x & y) / len(x | y)
+
+    assert similarity(base, texts[1], 5) >= 0.8 and similarity(base, texts[1], 4) < 0.85 and similarity(base, texts[2], 5) < 0.8
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns and [i for i, _ in rows_of(out)] == [0, 2, 4]
+
+
 def test_run_returns_the_last_stage(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert {"doc_id", "text", "piece", "bin_id", "bin_offset", "bin_capacity"} <= set(out.columns)
