@@ -1,7 +1,7 @@
 """Secret scan: candidates by form, and a random forest that removes false positives.
 
-Candidates are runs of token characters with a digit. The forest sees their length,
-character transitions, how far words of the corpus cover them, the path of the document and
+Candidates are runs of token characters with a digit, and whatever is assigned to a name of
+credentials. The forest sees their length, character transitions, how far words of the corpus cover them, the path of the document and
 the words before and after. It learns from labelled findings; the dictionary of corpus
 words is counted over all documents.
 """
@@ -36,7 +36,15 @@ FINDING = "finding string, start long, before string, after string, path string,
 
 _CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
 _WORD = re.compile(rb"[A-Za-z]+")
-_HINTS = [b"token", b"key", b"secret", b"password", b"passwd", b"auth", b"credential", b"bearer", b"private"]
+_HINTS = [b"token", b"key", b"secret", b"password", b"passwd", b"auth", b"credential", b"bearer", b"private", b"pwd", b"passphrase"]
+# A name that holds one of the hints, and what is assigned to it: quoted, or up to white space
+# (without a comma or semicolon at its end). A quoted value is looked at only, as it may
+# hold another name; an author is no name of credentials.
+_ASSIGNED = re.compile(
+    rb"(?i:%s)[\w.-]{0,64}[\"'`\]]{0,2}[ \t]*(?::[ \t]*[a-zA-Z_][\w.\[\]]{0,64}[ \t]*=|=>|:=|={1,3}|:)(?:\s*(?i:bearer|basic|token)[ \t]+)?"
+    rb"(?:(?=\s*\"(?P<double>(?:\\.|[^\"\\\r\n])+)\")|(?=\s*'(?P<single>(?:\\.|[^'\\\r\n])+)')|(?=\s*`(?P<back>[^`\r\n]+)`)"
+    rb"|[ \t]*[\"'`]?(?P<bare>[^\s\"'`]\S*))" % b"|".join(_HINTS).replace(b"auth", b"auth(?!or(?!i))")
+)
 _DOUBTS = [b"example", b"sample", b"test", b"dummy", b"hash", b"sha", b"md", b"uuid", b"id", b"commit", b"phone", b"card", b"account", b"order", b"number"]
 _PATHS = [b"test", b"example", b"doc", b"config", b"env", b"src"]
 FEATURES = [
@@ -87,6 +95,13 @@ def describe(value: bytes, before: bytes, after: bytes, path: bytes, dictionary:
     ]
 
 
+def candidate_spans(text: bytes) -> list[tuple[int, int]]:
+    """Places of all candidates in order; a run may hold an assigned value or lie in one."""
+    runs = {m.span() for m in _CANDIDATE.finditer(text) if any(48 <= c <= 57 for c in m[0])}
+    assigned = {(m.start(k), m.start(k) + len(m[k].rstrip(b",;") if k == "bare" else m[k])) for m in _ASSIGNED.finditer(text) for k in (m.lastgroup,)}
+    return sorted(span for span in runs | assigned if span[0] < span[1])
+
+
 def corpus_words(docs: DataFrame, text_col: str = "text", words: int = DICTIONARY_WORDS) -> list[str]:
     """The most frequent words of letters over all documents (ties by the word)."""
 
@@ -122,15 +137,12 @@ def find_candidates(docs: DataFrame, dictionary: list[str], id_col: str = "doc_i
             at, out = [], []
             for i, (text, path) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 points, seen = 0, 0
-                for m in _CANDIDATE.finditer(text or b""):
-                    value = m[0]
-                    if not any(48 <= c <= 57 for c in value):
-                        continue
-                    before, after = text[max(0, m.start() - CONTEXT) : m.start()], text[m.end() : m.end() + CONTEXT]
-                    points += len(text[seen : m.start()].decode("utf-8", "ignore"))
-                    seen = m.start()
+                for start, end in candidate_spans(text or b""):
+                    value, before, after = text[start:end], text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
+                    points += len(text[seen:start].decode("utf-8", "ignore"))
+                    seen = start
                     at.append(i)
-                    out.append((value.decode(), points, before.decode("utf-8", "ignore"), after.decode("utf-8", "ignore"), path, describe(value, before, after, path.encode(), known.value)))
+                    out.append((value.decode("utf-8", "replace"), points, before.decode("utf-8", "ignore"), after.decode("utf-8", "ignore"), path, describe(value, before, after, path.encode(), known.value)))
             columns = list(zip(*out, strict=True)) if out else [()] * 6
             types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays(

@@ -33,6 +33,28 @@ def test_candidates_and_places(frame, long_text):
         assert len(r["features"]) == len(s.FEATURES)
 
 
+def test_values_of_credential_names_are_candidates():
+    def found(text):
+        return [text.encode()[a:b].decode() for a, b in s.candidate_spans(text.encode())]
+
+    assert found('x password = "Winter2024!" y') == ["Winter2024!"]
+    assert found("DB_PASSWORD=p@ss.w%rd$x;\nnext") == ["p@ss.w%rd$x"]
+    assert found('{"client_secret": "correct horse", "Token": \'ab\'}') == ["correct horse", "ab"]
+    assert found('api_key: str = "onlylettersinthiskey"') == ["onlylettersinthiskey"]
+    assert found("Authorization: Bearer abcdefghij.klm") == ["abcdefghij.klm"]
+    assert found('private_key = "pÄß=wörd"') == ["pÄß=wörd"]
+    assert found("token: \"password=in'side\"") == ["password=in'side", "in'side\""]
+    assert found('secret = "0123456789abcdef0" 0123456789abcdef1') == ["0123456789abcdef0", "0123456789abcdef1"]
+    assert found('password = "" and author: Jane, the key of it') == []
+
+
+def test_short_values_are_found_and_kept(frame):
+    rows = corpus(160) + [(5000 + i, f'é login password = "Winter{i}!" and house', "src/app") for i in range(40)]
+    out = [r for r in s.scan(frame("doc_id long, text string, source string", rows)).collect() if r["doc_id"] >= 5000]
+    assert sorted(r["finding"] for r in out) == sorted(f"Winter{i}!" for i in range(40))
+    assert all(r["start"] == 20 and r["is_secret"] for r in out)
+
+
 def test_features_by_hand():
     f = dict(zip(s.FEATURES, s.describe(b"house1garden2X", b'my token = "', b'" x', b"src/test", frozenset([b"house", b"garden"])), strict=True))
     assert f["length"] == 14 and f["digits"] == pytest.approx(2 / 14) and f["dictionary"] == pytest.approx(11 / 14)
