@@ -37,8 +37,11 @@ BOXES = set("div section ul ol dl table figure details".split())
 MAIN_ROLES = set("main article".split())
 SKIP_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 # Whole words of class and id values that mark parts which are not content. LAYOUT words
-# also stand on wrappers ("with-sidebar"): a wrapper that holds an article is kept.
+# also stand on wrappers ("with-sidebar"): a wrapper that holds an article is kept. So do NEVER
+# words as part of a longer name ("no-ads", "comments-enabled"); a name of such words and PARTS
+# only ("comment-list") says that the element itself is a list of comments or an advert.
 NEVER_WORDS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments reply replies respond disqus".split())
+PARTS = set("list lists area section wrap wrapper container box block slot unit item items body content thread threads form post posts inner outer top bottom left right text main".split())
 LAYOUT_WORDS = set(
     "banner nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent gdpr notice notices "
     "notification alert popup modal overlay newsletter subscribe signup login search share sharing social related recommended pagination pager toolbar skip".split()
@@ -50,17 +53,31 @@ SCOPE = set("table ul ol dl html body article section div main".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[a-z0-9]+")
+_NUMBER = re.compile(r"[0-9]+")
 _WHITE = re.compile(r"\s+")
 
 
+def is_aside(names: str) -> bool:
+    """Whether one of the names of an element is that of a comment list or an advert."""
+    for name in names.split():
+        words = _WORDS.findall(name)
+        if not NEVER_WORDS.isdisjoint(words) and all(w in NEVER_WORDS or w in PARTS or _NUMBER.fullmatch(w) for w in words):
+            return True
+    return False
+
+
 class Node:
-    """Element: name, attributes, whether it is never content, and children (nodes or text)."""
+    """Element: name, attributes, whether it is never content, and children (nodes or text).
+
+    A class or id does not skip an article or main part; ``aside`` says that it has the name of a
+    comment or advert, which counts inside another article.
+    """
 
-    __slots__ = ("name", "skipped", "layout", "main", "children", "hash")
+    __slots__ = ("name", "skipped", "layout", "main", "aside", "children", "hash")
 
     def __init__(self, name: str, attributes: str = "") -> None:
         self.name, self.children, self.hash = name, [], 0
-        self.main, self.skipped, self.layout = name in MAIN, name in SKIP, False
+        self.main, self.skipped, self.layout, self.aside = name in MAIN, name in SKIP, False, False
         if attributes.strip(" /"):
             found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)}
             role = found.get("role", "")
@@ -68,8 +85,10 @@ class Node:
             hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
             self.main = self.main or role in MAIN_ROLES
             if name not in ("html", "body"):
-                self.skipped = self.skipped or hidden or role in SKIP_ROLES or bool(marks & NEVER_WORDS)
-                self.layout = not self.skipped and not self.main and bool(marks & LAYOUT_WORDS)
+                never = bool(marks & NEVER_WORDS) and is_aside(found.get("class", "") + " " + found.get("id", ""))
+                self.aside = never and self.main and name != "main"
+                self.skipped = self.skipped or hidden or role in SKIP_ROLES or never and not self.main
+                self.layout = not self.skipped and not self.main and bool(marks & (LAYOUT_WORDS | NEVER_WORDS))
                 self.skipped = self.skipped or self.layout
 
 
@@ -111,7 +130,8 @@ def parse(page: str) -> Node:
                 break
         node = Node(name, m[3] or "")
         stack[-1].children.append(node)
-        for outer in stack if node.main and not node.skipped else ():
+        node.skipped = node.skipped or node.aside and any(outer.name == "article" for outer in stack)
+        for outer in stack if node.main and not node.skipped and not any(o.skipped and not o.layout for o in stack) else ():
             if outer.layout:
                 outer.skipped = False
         if name in VOID or (m[3] or "").endswith("/") and name in RAW:

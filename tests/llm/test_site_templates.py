@@ -31,6 +31,15 @@ def test_wrappers_with_layout_names_are_kept():
     assert s.main_text("<main><p>a</p><aside>x</aside></main>") == "a"
 
 
+def test_a_word_in_a_name_does_not_drop_the_page():
+    assert s.main_text('<article class="hentry comments-enabled"><p>kept</p></article>') == "kept"
+    assert s.main_text('<div class="page no-ads"><div class="ad">x</div><article>kept</article></div>') == "kept"
+    assert s.main_text('<main id="ad-free"><p>kept</p></main>') == "kept"
+    assert s.main_text('<article class="sponsored"><p>kept</p><article class="comment">x</article><div class="ad-slot-2">x</div></article>') == "kept"
+    assert s.main_text('<article>kept</article><div class="sidebar"><ol class="comment-list"><li><article class="comment">x</article></ol></div>') == "kept"
+    assert s.main_text('<section id="comments"><article>x</article></section><p>kept</p>') == "kept"
+
+
 def pages(host, n, body):
     return [f"<body><div><p>Shared intro of {host}</p><span>Contact us</span></div><div>{body(i)}</div><section><p>About {host}</p></section></body>" for i in range(n)]
 
