@@ -4,7 +4,7 @@ Every element subtree of a page is hashed; Spark counts on how many different pa
 host each subtree occurs. Subtrees that recur across many pages of the host are template
 and are deleted, together with elements that are never content (scripts, styles, menus,
 forms, adverts, comments of readers). Where a page declares an article or main part, the
-rest of the page goes as well. Inside an article only boxes (divisions, sections, lists,
+rest of the page goes as well (all articles and main parts are kept, also beside each other). Inside an article only boxes (divisions, sections, lists,
 tables) are deleted for recurring, and only when most articles of the host have them: a
 paragraph that several articles share is still text. Copies of one article count once.
 """
@@ -29,9 +29,14 @@ LEAST_PAGES, LEAST_SHARE, LEAST_SHARE_INSIDE = 5, 0.2, 0.5
 PRODUCED = ("main_text", "n_chars")
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe svg math canvas object".split())
-SKIP = RAW | set("head nav header footer aside form button select option dialog menu figure-ad".split())
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = set("script style textarea title noscript template iframe canvas".split())
+SKIP = RAW | set("svg head nav header footer aside form button select option dialog menu figure-ad".split())
+INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr object svg".split())
+INLINE |= set(
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup "
+    "mtable mtd mtext mtr munder munderover none semantics annotation annotation-xml".split()
+)
+FOREIGN = {"svg", "math"}
 MAIN = set("article main".split())
 BOXES = set("div section ul ol dl table figure details".split())
 MAIN_ROLES = set("main article".split())
@@ -134,7 +139,7 @@ def parse(page: str) -> Node:
         for outer in stack if node.main and not node.skipped and not any(o.skipped and not o.layout for o in stack) else ():
             if outer.layout:
                 outer.skipped = False
-        if name in VOID or (m[3] or "").endswith("/") and name in RAW:
+        if name in VOID or (m[3] or "").endswith("/") and (name in RAW or name in FOREIGN or any(outer.name in FOREIGN for outer in stack)):
             continue
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -156,7 +161,11 @@ def _in_order(root: Node) -> Iterator[tuple[Node, bool]]:
 
 
 def content_root(root: Node) -> list[Node]:
-    """Outermost elements declared as article or main part, outside of skipped ones."""
+    """Outermost elements declared as article or main part, outside of skipped ones.
+
+    A main part is kept whole, with one exception: where it holds articles, a section beside
+    them without an article is marked as skipped.
+    """
     found, closed = [], 0
     inside = 0
     for node, after in _in_order(root):
@@ -166,24 +175,32 @@ def content_root(root: Node) -> list[Node]:
             if not after and not inside:
                 found.append(node)
             inside += -1 if after else 1
-    articles = [n for n in found if n.name == "main"]
-    inner = [n for m in articles for n in content_root_below(m)]
-    return inner or found
+    for node in found:
+        if node.name == "main":
+            skip_sections(node)
+    return found
 
 
-def content_root_below(main: Node) -> list[Node]:
-    """Articles inside a main part; without any, the main part itself."""
-    found, closed, inside = [], 0, 0
+def skip_sections(main: Node) -> None:
+    """Mark the sections of a main part that stand beside its articles and hold none."""
+    beside: list[Node] = []
+    open_sections: list[tuple[Node, int]] = []
+    closed = articles = inside = 0
     for node, after in _in_order(main):
-        if node is main:
-            continue
         if node.skipped:
             closed += -1 if after else 1
-        elif node.name == "article" and not closed:
-            if not after and not inside:
-                found.append(node)
+        elif closed:
+            continue
+        elif node.name == "article":
+            articles += not after
             inside += -1 if after else 1
-    return found or [main]
+        elif node.name == "section" and not inside:
+            if not after:
+                open_sections.append((node, articles))
+            elif open_sections.pop()[1] == articles:
+                beside.append(node)
+    for node in beside if articles else ():
+        node.skipped = True
 
 
 def hash_subtrees(root: Node, roots: list[Node]) -> tuple[list[int], list[int], int]:

@@ -40,6 +40,24 @@ def test_a_word_in_a_name_does_not_drop_the_page():
     assert s.main_text('<section id="comments"><article>x</article></section><p>kept</p>') == "kept"
 
 
+def test_main_parts_are_kept_whole():
+    page = "<main><h1>Head</h1><p>Lead</p><nav>x</nav><div><article>card</article><p>between</p></div><ul><li>one</ul></main><article>beside</article><p>x</p>"
+    assert s.main_text(page) == "Head\n\nLead\n\ncard\n\nbetween\n\none\n\nbeside"
+    assert s.main_text("<main><section><h2>Part</h2><article>a</article></section></main>") == "Part\n\na"
+    assert s.main_text("<main><section>a</section><section>b</section></main>") == "a\n\nb"
+
+
+def test_formulas_and_fallback_text_are_kept():
+    assert s.main_text("<article><p>If <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then</p></article>") == "If x=1 then"
+    assert s.main_text("<article><math><mspace/><mi>x</mi><p>rest</p></article>") == "x\n\nrest"
+    assert s.main_text('<article><object data="a.pdf"><p>Read it here</p></object></article>') == "Read it here"
+    assert s.main_text("<article><object><p>rest</p></article><article>more</article>") == "rest\n\nmore"
+
+
+def test_an_unclosed_drawing_ends_with_its_parent():
+    assert s.main_text('<article><p>a</p><div><svg><path d="M0"/><text>x</text></div><p>b</p><span><svg><g></svg></span>c</article>') == "a\n\nb\n\nc"
+
+
 def pages(host, n, body):
     return [f"<body><div><p>Shared intro of {host}</p><span>Contact us</span></div><div>{body(i)}</div><section><p>About {host}</p></section></body>" for i in range(n)]
 
