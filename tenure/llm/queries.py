@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_templates.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+    return url_templates.judge_urls(pages, depth=None).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
 
 
 def op2_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

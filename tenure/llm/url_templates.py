@@ -13,6 +13,7 @@ joins that adaptive execution can split.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from tenure.llm.common import LOWER, UPPER, col, others
 from tenure.session import stage
 
-#: Segments of a template; the rest of longer paths is one tail wildcard.
+#: Segments of a template; the rest of longer paths is one tail wildcard. None takes all.
 DEPTH = 5
 #: A node is variable when it has at least so many children and at most so many urls for each.
 MANY_CHILDREN, URLS_PER_CHILD = 20, 3.0
@@ -70,13 +71,17 @@ def _form(segment: Column) -> Column:
     return F.coalesce(F.concat(wildcard, extension), segment)
 
 
-def _templates(paths: DataFrame, depth: int) -> DataFrame:
-    """Distinct (host, path) with counts ``n``, ``n_labelled``, ``n_bad`` and the template of each."""
+def _templates(paths: DataFrame, depth: int | None, by_rules: bool) -> DataFrame:
+    """Distinct (host, path) with counts ``n``, ``n_labelled``, ``n_bad`` and the template of each.
+
+    Labels ``by_rules`` cover whole branches and say nothing about the siblings of a branch
+    that they decide: it is not generalised together with undecided ones.
+    """
     steps = F.filter(F.split("path", "/"), lambda s: s != "")
     tree = stage(
-        paths.select("*", F.transform(F.slice(steps, 1, depth), _form).alias("steps"), (F.size(steps) > depth).alias("deeper"), F.lit("").alias("template"))
+        paths.select("*", F.transform(steps if depth is None else F.slice(steps, 1, depth), _form).alias("steps"), (F.lit(False) if depth is None else F.size(steps) > depth).alias("deeper"), F.lit("").alias("template"))
     )
-    for level in range(1, depth + 1):
+    for level in count(1) if depth is None else range(1, depth + 1):
         step = F.get("steps", F.lit(level - 1))
         if tree.where(step.isNotNull()).isEmpty():
             break
@@ -93,10 +98,11 @@ def _templates(paths: DataFrame, depth: int) -> DataFrame:
         gap = F.abs(F.col("n_bad") / own - (F.col("all_bad") - F.col("n_bad")) / rest)
         similar = F.when((own == 0) | (rest == 0), F.lit(False)).otherwise(gap <= SIMILAR * F.sqrt(pooled * (1 - pooled) * (1 / own + 1 / rest)))
         variable = (F.col("n_children") >= MANY_CHILDREN) & (F.col("all_n") <= URLS_PER_CHILD * F.col("n_children"))
+        decided = F.lit(by_rules) & (own == F.col("n")) & (F.col("all_labelled") < F.col("all_n"))
         branches = stage(
             children.join(parents, ["host", "template"]).select(
                 "host", "template", "step",
-                F.when(F.col("step").startswith("{"), F.col("step")).when(variable, F.lit("{any}")).when(similar, F.lit("{similar}")).otherwise(F.col("step")).alias("branch"),
+                F.when(F.col("step").startswith("{"), F.col("step")).when(variable & ~decided, F.lit("{any}")).when(similar, F.lit("{similar}")).otherwise(F.col("step")).alias("branch"),
             )
         )
         tree = stage(
@@ -113,7 +119,7 @@ def judge_urls(
     labels: DataFrame | None = None,
     url_col: str = "url",
     rules: Sequence[tuple[str, str, str]] = RULES,
-    depth: int = DEPTH,
+    depth: int | None = DEPTH,
     prior: float = PRIOR,
     weight: float = PRIOR_WEIGHT,
     purity: float = PURITY,
@@ -122,7 +128,8 @@ def judge_urls(
 
     A fitting rule decides; else a url is blocked when its template has a smoothed purity
     of at least ``purity``. ``labels`` has columns ``url`` and ``unwanted`` (boolean);
-    without it the verdicts of the rules are the labelled urls. Null urls and urls
+    without it the verdicts of the rules are the labelled urls, and a template without one
+    keeps the prior. Null urls and urls
     without '://' have an empty host and path and are allowed like any template without
     labels. Repeated rows count as often as they occur, repeated or null labels count
     as given or not at all. An empty table gives an empty table. Columns named like a
@@ -139,7 +146,7 @@ def judge_urls(
         known = labels.where("unwanted is not null").select(host.alias("host"), path.alias("path"), F.col("unwanted").cast("long").alias("bad"))
         known = known.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n_labelled"), F.sum("bad").alias("n_bad"))
         counted = counted.drop("n_labelled", "n_bad").join(known, ["host", "path"], "left").fillna(0, ["n_labelled", "n_bad"])
-    tree = _templates(counted, depth)
+    tree = _templates(counted, depth, labels is None)
     smoothed = (F.sum("n_bad") + prior * weight) / (F.sum("n_labelled") + weight)
     judged = tree.groupBy("host", "template").agg(smoothed.alias("purity"))
     by_path = stage(tree.select("host", "path", "template").join(judged, ["host", "template"]))

@@ -77,6 +77,21 @@ def test_branches_with_equal_labels_share_a_template(frame):
     assert {r["template"] for r in out} == {"/{similar}/{number}"}
 
 
+def test_branches_below_the_fifth_segment_are_told_apart(frame):
+    urls = [f"http://h.com/a/b/c/d/e/{k}/{i}/x/y" for k in ("spam", "good") for i in range(20)]
+    labels = frame("url string, unwanted boolean", [(url, "spam" in url) for url in urls[::2]])
+    out = u.judge_urls(frame("page_id long, url string", list(enumerate(urls))), labels, rules=[], depth=None).collect()
+    assert {("spam" in r["url"], r["verdict"], r["template"]) for r in out} == {
+        (True, "block", "/a/b/c/d/e/spam/{number}/x/y"), (False, "allow", "/a/b/c/d/e/good/{number}/x/y"),
+    }
+
+
+def test_a_branch_of_a_rule_does_not_block_its_siblings(frame):
+    urls = [f"http://example.com/de/{i}" for i in range(6)] + [f"http://example.com/s-{chr(97 + i)}/{i}" for i in range(26)]
+    out = u.judge_urls(frame("page_id long, url string", list(enumerate(urls)))).collect()
+    assert {("/de/" in r["url"], r["verdict"], r["template"]) for r in out} == {(True, "block", "/de/{number}"), (False, "allow", "/{any}/{number}")}
+
+
 def test_empty_table_and_clashing_columns(frame):
     assert u.judge_urls(frame("page_id long, url string", [])).count() == 0
     out = u.judge_urls(frame("page_id long, url string, HOST int, n int, step int, steps int", [(1, "http://a.net/x", 1, 2, 3, 4)] * 2))
