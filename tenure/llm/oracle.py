@@ -78,6 +78,23 @@ select d.doc_id, len(d.ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_i
 from d left join words using (doc_id) left join items using (doc_id)
 """
 
+COSINE_CELLS = """
+with recursive v as (select vec_id, cast(embedding as double[]) as e from embeddings),
+u as (select * from v where e is not null and len(e) > 0 and len(list_filter(e, x -> x is null or not isfinite(x))) = 0 and list_max(list_transform(e, x -> abs(x))) > 0),
+links as (
+  select a.vec_id as x, b.vec_id as y from u a join u b on a.vec_id < b.vec_id and len(a.e) = len(b.e)
+  where list_cosine_similarity(a.e, b.e) >= 0.9
+),
+steps as (select x, y from links union all select y, x from links),
+reach(vec_id, r) as (
+  select vec_id, vec_id from embeddings
+  union
+  select reach.vec_id, steps.y from reach join steps on reach.r = steps.x
+)
+select v.vec_id, (select count(*) from steps where steps.x = v.vec_id) as n_links, min(reach.r) as component_id, v.vec_id = min(reach.r) as kept
+from v join reach on v.vec_id = reach.vec_id group by v.vec_id
+"""
+
 # The other operators learn a model, parse markup or plan bins, which SQL does not express;
 # tests/llm compares them with brute force, round trips or held-out labels.
 SQL = {
@@ -85,4 +102,5 @@ SQL = {
     "op4_metric_join": METRIC_JOIN,
     "op5_line_dedup": LINE_DEDUP,
     "op7_decontaminate": DECONTAMINATE,
+    "op11_cosine_cells": COSINE_CELLS,
 }

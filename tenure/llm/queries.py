@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import content_sort, decontaminate, line_dedup, metric_join, packing, pu_quality, secret_forest, site_templates, token_counts, url_templates
+from tenure.llm import content_sort, cosine_cells, decontaminate, line_dedup, metric_join, packing, pu_quality, secret_forest, site_templates, token_counts, url_templates
 from tenure.llm.common import fold_is_held_out
 
 
@@ -72,10 +72,16 @@ def op10_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.select("doc_id", "start", "finding", "path", F.round("score", 6).alias("score"), "is_secret")
 
 
+def op11_cosine_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return cosine_cells.link_vectors(vectors).select("vec_id", "n_links", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_templates, op2_pu_quality, op3_content_sort, op4_metric_join, op5_line_dedup,
         op6_packing, op7_decontaminate, op8_token_counts, op9_site_templates, op10_secret_forest,
+        op11_cosine_cells,
     )
 }
