@@ -95,6 +95,26 @@ select v.vec_id, (select count(*) from steps where steps.x = v.vec_id) as n_link
 from v join reach on v.vec_id = reach.vec_id group by v.vec_id
 """
 
+TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+BALL_SEARCH = f"""
+with d as (select doc_id, unnest({TERMS}) as term from documents),
+sizes as (select doc_id, count(*) as n from d group by doc_id),
+corpus as (select count(*) as docs, sum(n)::bigint as words from sizes),
+tfs as (select doc_id, term, count(*) as tf from d group by doc_id, term),
+q as (select item_id, term, count(*) as times from (select item_id, unnest({TERMS}) as term from benchmark) group by item_id, term),
+weights as (
+  select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+  from tfs, corpus where term in (select term from q) group by term, docs
+),
+scores as (
+  select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::bigint as score
+  from q join weights using (term) join tfs using (term) join sizes using (doc_id), corpus
+  group by item_id, doc_id
+)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score
+from scores where score > 0 qualify rank <= 20
+"""
+
 # The other operators learn a model, parse markup or plan bins, which SQL does not express;
 # tests/llm compares them with brute force, round trips or held-out labels.
 SQL = {
@@ -103,4 +123,5 @@ SQL = {
     "op5_line_dedup": LINE_DEDUP,
     "op7_decontaminate": DECONTAMINATE,
     "op11_cosine_cells": COSINE_CELLS,
+    "op12_ball_search": BALL_SEARCH,
 }
