@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tenure.llm import ball_search, content_sort, cosine_cells, decontaminate, line_dedup, metric_join, packing, pu_quality, secret_forest, site_templates, token_counts, url_templates
+from tenure.llm import ball_search, content_sort, cosine_cells, decontaminate, line_dedup, metric_join, packing, pu_quality, secret_forest, site_templates, spelling_variants, token_counts, url_templates
 from tenure.llm.common import fold_is_held_out
 
 
@@ -82,11 +82,16 @@ def op12_ball_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ball_search.search(docs, benchmark).select("item_id", "rank", "doc_id", "score")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling_variants.group_variants(docs).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_url_templates, op2_pu_quality, op3_content_sort, op4_metric_join, op5_line_dedup,
         op6_packing, op7_decontaminate, op8_token_counts, op9_site_templates, op10_secret_forest,
-        op11_cosine_cells, op12_ball_search,
+        op11_cosine_cells, op12_ball_search, op13_spelling_variants,
     )
 }
