@@ -37,7 +37,7 @@ MOST_CENTRE_BYTES = 32 * 2**20
 MOST_LENGTHS = 8
 #: Centres nearer than this are one.
 MERGED = 0.7
-MARGIN = 2.5
+MARGIN = 1.5
 SAFE = 1e-9
 CORE, REST, VISITOR = 0, 1, 2
 PRODUCED = ("n_links", "component_id", "kept")
