@@ -42,14 +42,3 @@ def fill_missing(df: DataFrame, columns: Iterable[str] | None = None) -> DataFra
         if f.name in chosen and isinstance(f.dataType, T.NumericType | T.BooleanType)
     }
     return df.fillna(dict(fills)) if fills else df
-
-
-def flags_to_numbers(df: DataFrame) -> DataFrame:
-    return df.select(
-        *[
-            F.col(f.name).cast("double").alias(f.name)
-            if isinstance(f.dataType, T.BooleanType)
-            else F.col(f.name)
-            for f in df.schema.fields
-        ]
-    )

@@ -92,10 +92,17 @@ def upsert_partitions(
     """Upsert into a partitioned table, rewriting only the partitions that the batch touches.
 
     ``partition_by`` must follow from the keys, so that a row never changes its partition.
-    The merged partitions are staged before the old ones are overwritten.
+    NULL is a partition like any other; an empty text is stored in it, since a folder
+    name cannot tell the two apart. The merged partitions are staged before the old ones are
+    overwritten in place: a failed job can be run again, but a reader must wait until the
+    call returns (``upsert_parquet`` writes a new path instead).
     """
-    touched = updates.select(partition_by).distinct()
-    merged = stage(upsert(spark.read.parquet(path).join(touched, partition_by, "left_semi"), updates, keys))
+    if isinstance(updates.schema[partition_by].dataType, T.StringType):
+        updates = updates.withColumn(partition_by, F.nullif(F.col(partition_by), F.lit("")))
+    target = spark.read.parquet(path)
+    touched = updates.select(F.col(partition_by).cast(target.schema[partition_by].dataType).alias("_touched")).distinct()
+    affected = target.join(touched, F.col(partition_by).eqNullSafe(F.col("_touched")), "left_semi")
+    merged = stage(upsert(affected, updates, keys))
     writer = merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(partition_by).parquet(path)
     return spark.read.parquet(path)

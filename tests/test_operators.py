@@ -266,6 +266,19 @@ def test_upsert_rewrites_only_touched_partitions(spark, tmp_path):
     assert before <= set(out.inputFiles())
 
 
+def test_upsert_keeps_the_rows_of_a_missing_partition(spark, tmp_path):
+    path = str(tmp_path / "t")
+    old = spark.createDataFrame([(1, "a"), (2, None), (3, None), (9, "b")], "id long, part string")
+    old.write.partitionBy("part").parquet(path)
+    batch = spark.createDataFrame([(4, None), (5, ""), (9, "b")], "id long, part string")
+    out = files.upsert_partitions(spark, path, batch, ["id"], "part")
+    assert sorted(map(tuple, out.collect())) == [(1, "a"), (2, None), (3, None), (4, None), (5, None), (9, "b")]
+    untyped = spark.createDataFrame([(1, "7"), (2, None)], "id long, part string")
+    untyped.write.partitionBy("part").parquet(str(tmp_path / "u"))
+    again = files.upsert_partitions(spark, str(tmp_path / "u"), spark.createDataFrame([(3, "7")], "id long, part string"), ["id"], "part")
+    assert sorted(r["id"] for r in again.collect()) == [1, 2, 3]
+
+
 def test_csv_roundtrip_and_inference(spark, tmp_path):
     df = spark.createDataFrame([(1, None, "a,b"), (2, 3.5, None)], "id int, x double, s string")
     files.write_csv(df, str(tmp_path / "f"), compression="bzip2")

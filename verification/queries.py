@@ -727,6 +727,18 @@ def upsert_touched_partitions(spark, d):
     return _tidied(files.upsert_partitions(spark, path, batch, ["id"], "bucket"))
 
 
+@query
+def upsert_missing_partition(spark, d):
+    """A batch for the partition of rows without a bucket leaves their other rows alone."""
+    orders, key = b.table(spark, d, "orders"), F.col("o_orderkey")
+    bucket = F.when(key % 5 != 3, (key % 5).cast("int")).alias("bucket")
+    rows = orders.select(key.alias("id"), F.col("o_totalprice").alias("p"), bucket)
+    path = f"{staging_root(spark)}/upserts-{uuid.uuid4().hex}"
+    rows.write.partitionBy("bucket").parquet(path)
+    batch = rows.where("bucket is null and id % 2 = 0").withColumn("p", F.col("p") * 2)
+    return _tidied(files.upsert_partitions(spark, path, batch, ["id"], "bucket"))
+
+
 @query
 def duplicate_keys(spark, d):
     return files.duplicate_keys(b.table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"])
