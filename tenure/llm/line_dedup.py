@@ -60,9 +60,12 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A null or empty text is one empty line and comes back as ''. Rows that repeat an id
     are one document. Rows without an id form one document that sorts last. An empty
-    table gives an empty table. Columns named like a produced one are replaced.
+    table gives an empty table. Columns named like a produced one are replaced. Ids are whole
+    numbers; the names of the id and text columns are compared without case, and the text
+    column keeps its name and place.
     """
     spark = docs.sparkSession
+    text_col = next(c for c in docs.columns if c.lower() == text_col.lower())
     passed = others(docs, text_col, *PRODUCED)
     lines = docs.select(F.coalesce(col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), col(text_col).cast("binary").alias("body"))
     bits = seen_twice.bits_for(docs.count(), LINES_EXPECTED)

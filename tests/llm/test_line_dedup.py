@@ -70,3 +70,10 @@ def test_empty_table_and_clashing_columns(frame):
     out = line_dedup.drop_repeated_lines(df)
     assert out.columns == ["doc_id", "text", "id", "line_key", "n_lines", "n_dropped"]
     assert sorted((r["doc_id"], r["text"], r["n_dropped"], r["id"]) for r in out.collect()) == [(1, "same line here", 0, 7), (2, "", 1, 7)]
+
+
+def test_text_column_in_another_case(frame):
+    df = frame("Doc_ID long, Text string, lang string", [(1, "a line of text\nown words here", "x"), (2, "A line of text ", "y")])
+    out = line_dedup.drop_repeated_lines(df)
+    assert out.columns == ["Doc_ID", "Text", "lang", "n_lines", "n_dropped"]
+    assert sorted(map(tuple, out.collect())) == [(1, "a line of text\nown words here", "x", 2, 0), (2, "", "y", 1, 1)]
