@@ -4,16 +4,19 @@ Every element subtree of a page is hashed; Spark counts on how many different pa
 host each subtree occurs. Subtrees that recur across many pages of the host are template
 and are deleted, together with elements that are never content (scripts, styles, menus,
 forms, adverts, comments of readers). Where a page declares an article or main part, the
-rest of the page goes as well (all articles and main parts are kept, also beside each other). Inside an article only boxes (divisions, sections, lists,
-tables) are deleted for recurring, and only when most articles of the host have them: a
-paragraph that several articles share is still text. Copies of one article count once.
+rest of the page goes as well (all articles and main parts are kept, also beside each other).
+Inside an article, the words of class names decide nothing but whether a box is a list of
+comments or an advert; only boxes (divisions, sections, lists, tables) are deleted for
+recurring, and only when most articles of the host have them: a paragraph that several
+articles share is still text. Copies of one article count once.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Container, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -39,6 +42,9 @@ INLINE |= set(
 FOREIGN = {"svg", "math"}
 MAIN = set("article main".split())
 BOXES = set("div section ul ol dl table figure details".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Elements whose class names can mark a part of a declared main part.
+NAMED = BOXES | {"li", "center", "article"}
 MAIN_ROLES = set("main article".split())
 SKIP_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 # Whole words of class and id values that mark parts which are not content. LAYOUT words
@@ -55,7 +61,8 @@ CLOSES_P = set("address article aside blockquote div dl fieldset footer form h1
 SAME_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = set("table ul ol dl html body article section div main".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_QUOTED = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[a-z0-9]+")
 _NUMBER = re.compile(r"[0-9]+")
@@ -74,78 +81,175 @@ def is_aside(names: str) -> bool:
 class Node:
     """Element: name, attributes, whether it is never content, and children (nodes or text).
 
-    A class or id does not skip an article or main part; ``aside`` says that it has the name of a
-    comment or advert, which counts inside another article.
+    ``layout`` marks what is skipped for the moment: a wrapper with a layout name that may hold
+    an article, or the header of an article that may hold its heading. What is known from the
+    elements around: ``article``, an article is one of them; ``declared``, an article or main part
+    is; ``closed``, one of them or the element itself is never content; ``foreign``, a drawing or
+    formula is one of them or the element itself.
     """
 
-    __slots__ = ("name", "skipped", "layout", "main", "aside", "children", "hash")
+    __slots__ = ("name", "skipped", "layout", "main", "article", "declared", "closed", "foreign", "children", "hash")
 
-    def __init__(self, name: str, attributes: str = "") -> None:
+    def __init__(self, name: str, attributes: str = "", outer: Node | None = None) -> None:
         self.name, self.children, self.hash = name, [], 0
-        self.main, self.skipped, self.layout, self.aside = name in MAIN, name in SKIP, False, False
+        self.main, self.skipped, self.layout = name in MAIN, name in SKIP, False
+        self.article = outer is not None and (outer.article or outer.name == "article")
+        self.declared = outer is not None and (outer.declared or outer.main)
+        self.foreign = name in FOREIGN or outer is not None and outer.foreign
+        if name == "header" and self.declared:
+            self.layout = True
         if attributes.strip(" /"):
             found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)}
             role = found.get("role", "")
-            marks = set(_WORDS.findall(found.get("class", "") + " " + found.get("id", "")))
+            names = found.get("class", "") + " " + found.get("id", "")
             hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
             self.main = self.main or role in MAIN_ROLES
-            if name not in ("html", "body"):
-                never = bool(marks & NEVER_WORDS) and is_aside(found.get("class", "") + " " + found.get("id", ""))
-                self.aside = never and self.main and name != "main"
-                self.skipped = self.skipped or hidden or role in SKIP_ROLES or never and not self.main
-                self.layout = not self.skipped and not self.main and bool(marks & (LAYOUT_WORDS | NEVER_WORDS))
-                self.skipped = self.skipped or self.layout
+            if hidden or role in SKIP_ROLES:
+                self.skipped, self.layout = True, False
+            elif not self.skipped and name not in ("html", "body") and (name in NAMED or not self.declared):
+                self._judge(names, set(_WORDS.findall(names)))
+        self.closed = self.skipped and not self.layout or outer is not None and outer.closed
+
+    def _judge(self, names: str, words: set[str]) -> None:
+        aside = bool(words & NEVER_WORDS) and is_aside(names)
+        if self.main:  # an article is skipped only as a comment or advert inside another one
+            self.skipped = aside and self.article and self.name != "main"
+        elif aside:
+            self.skipped = True
+        elif not self.article and words & (LAYOUT_WORDS | NEVER_WORDS):
+            self.skipped = self.layout = True
+
+
+class Scanner:
+    """Markup of a page from left to right; every search that once found nothing is not tried again."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.missing, self.quotes = page, set(), True
+
+    def find(self, token: str, at: int) -> int:
+        if token in self.missing:
+            return -1
+        place = self.page.find(token, at)
+        if place < 0:
+            self.missing.add(token)
+        return place
+
+    def tag_end(self, at: int) -> int:
+        """Place behind the tag whose name ends at ``at``, or -1; a ``>`` in quotes does not end it.
+
+        Once a quote stays open to the end of the page, quotes are ignored from there on.
+        """
+        begin = at
+        while self.quotes:
+            m = _QUOTED.search(self.page, at)
+            if m is None:
+                break
+            if m[0] == ">":
+                return m.end()
+            at = self.find(m[0], m.end()) + 1
+            if at == 0:
+                break
+        self.quotes = False
+        return self.find(">", begin) + 1 or -1
+
+    def tokens(self) -> Iterator[tuple[str, str, str, int]]:
+        """(kind, name or text, attributes, end) of texts, start tags and end tags; ``jump`` moves on."""
+        page, self.at, size = self.page, 0, len(self.page)
+        begin = 0
+        while True:
+            place = page.find("<", max(self.at, begin))
+            if place < 0:
+                break
+            m = _TAG.match(page, place)
+            if page.startswith("<!--", place):
+                end, kind = self.find("-->", place + 4) + 3, "comment"
+                end = size if end < 3 else end
+            elif page.startswith("<![CDATA[", place) and (end := self.find("]]>", place) + 3) > 2:
+                kind = "data"
+            elif page.startswith(("<!", "<?"), place):
+                end, kind = self.find(">", place) + 1, "comment"
+            else:
+                end, kind = self.tag_end(m.end()) if m else -1, "tag"
+            if end <= 0:  # text; a tag without an end is text, and so is all that follows it
+                begin = place + 1 if m is None else size
+                continue
+            if place > self.at:
+                yield "text", page[self.at : place], "", place
+            self.at = begin = end
+            if kind == "data":
+                yield "text", html.escape(page[place + 9 : end - 3]), "", end
+            elif kind == "tag":
+                yield "end" if m[1] else "start", m[2].lower(), page[m.end() : end - 1], end
+            begin = self.at
+        if self.at < size:
+            yield "text", page[self.at :], "", size
+
+    def jump(self, name: str) -> None:
+        """Move behind the end tag of an element whose content is not markup."""
+        end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(self.page, self.at)
+        self.at = end.end() if end else len(self.page)
+
+
+class _Open:
+    """Open elements from the outermost on, and how many there are of each name."""
+
+    def __init__(self, root: Node) -> None:
+        self.stack, self.names = [root], Counter()
+
+    def push(self, node: Node) -> None:
+        self.stack.append(node)
+        self.names[node.name] += 1
+
+    def close(self, wanted: Container[str], through: Callable[[str], bool]) -> None:
+        """Close the innermost element with a wanted name, if ``through`` holds for all inside it."""
+        stack = self.stack
+        if not any(self.names[name] for name in wanted):
+            return
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].name in wanted:
+                self.names.subtract(node.name for node in stack[i:])
+                del stack[i:]
+                return
+            if not through(stack[i].name):
+                return
 
 
 def parse(page: str) -> Node:
-    """Tree of a page; missing end tags are closed as browsers do in the common cases."""
+    """Tree of a page; missing end tags are closed as browsers do in the common cases.
+
+    The time grows with the length of the page, whatever its tags.
+    """
     root = Node("#root")
-    stack, at, size = [root], 0, len(page)
-    while at < size:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            stack[-1].children.append(page[at:])
-            break
-        if m.start() > at:
-            stack[-1].children.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                stack[-1].children.append(html.escape(m[0][9:-3]))
+    scanner, opened = Scanner(page), _Open(root)
+    waiting: list[Node] = []  # layout elements around that are skipped so far
+    for kind, name, attributes, _ in scanner.tokens():
+        if kind == "text":
+            opened.stack[-1].children.append(name)
             continue
-        name = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
+        if kind == "end":
+            opened.close((name,), lambda _: True)
             continue
         if name in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == "p":
-                    del stack[i:]
-                    break
-                if stack[i].name not in INLINE:
-                    break
-        for i in range(len(stack) - 1, 0, -1) if name in SAME_CLOSES else ():
-            if stack[i].name in SAME_CLOSES[name]:
-                del stack[i:]
-                break
-            if stack[i].name in SCOPE:
-                break
-        node = Node(name, m[3] or "")
-        stack[-1].children.append(node)
-        node.skipped = node.skipped or node.aside and any(outer.name == "article" for outer in stack)
-        for outer in stack if node.main and not node.skipped and not any(o.skipped and not o.layout for o in stack) else ():
-            if outer.layout:
-                outer.skipped = False
-        if name in VOID or (m[3] or "").endswith("/") and (name in RAW or name in FOREIGN or any(outer.name in FOREIGN for outer in stack)):
+            opened.close(("p",), INLINE.__contains__)
+        if name in SAME_CLOSES:
+            opened.close(SAME_CLOSES[name], lambda other: other not in SCOPE)
+        outer = opened.stack[-1]
+        node = Node(name, attributes, outer)
+        outer.children.append(node)
+        if (node.main and not node.skipped or name in HEADINGS) and not outer.closed:
+            around = set(map(id, opened.stack)) if waiting else ()
+            for held in waiting:
+                if id(held) in around and (held.name == "header" and held.declared) == (not node.main):
+                    held.skipped = False
+            waiting = [held for held in waiting if id(held) in around and held.skipped]
+        if name in VOID or attributes.endswith("/") and (name in RAW or node.foreign):
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else size
+            scanner.jump(name)
             continue
-        stack.append(node)
+        if node.skipped and node.layout:
+            waiting.append(node)
+        opened.push(node)
     return root
 
 
@@ -161,11 +265,7 @@ def _in_order(root: Node) -> Iterator[tuple[Node, bool]]:
 
 
 def content_root(root: Node) -> list[Node]:
-    """Outermost elements declared as article or main part, outside of skipped ones.
-
-    A main part is kept whole, with one exception: where it holds articles, a section beside
-    them without an article is marked as skipped.
-    """
+    """Outermost elements declared as article or main part, outside of skipped ones; each is kept whole."""
     found, closed = [], 0
     inside = 0
     for node, after in _in_order(root):
@@ -175,34 +275,9 @@ def content_root(root: Node) -> list[Node]:
             if not after and not inside:
                 found.append(node)
             inside += -1 if after else 1
-    for node in found:
-        if node.name == "main":
-            skip_sections(node)
     return found
 
 
-def skip_sections(main: Node) -> None:
-    """Mark the sections of a main part that stand beside its articles and hold none."""
-    beside: list[Node] = []
-    open_sections: list[tuple[Node, int]] = []
-    closed = articles = inside = 0
-    for node, after in _in_order(main):
-        if node.skipped:
-            closed += -1 if after else 1
-        elif closed:
-            continue
-        elif node.name == "article":
-            articles += not after
-            inside += -1 if after else 1
-        elif node.name == "section" and not inside:
-            if not after:
-                open_sections.append((node, articles))
-            elif open_sections.pop()[1] == articles:
-                beside.append(node)
-    for node in beside if articles else ():
-        node.skipped = True
-
-
 def hash_subtrees(root: Node, roots: list[Node]) -> tuple[list[int], list[int], int]:
     """Hash every subtree. Returns those outside of the articles, the boxes inside, and the content of the page."""
     outside, boxes, inside = [], [], 0

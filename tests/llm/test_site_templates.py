@@ -27,7 +27,8 @@ def test_broken_markup():
 
 def test_wrappers_with_layout_names_are_kept():
     assert s.main_text('<div class="page with-sidebar"><div class="sidebar">x</div><article>kept</article></div>') == "kept"
-    assert s.main_text("<main><nav>x</nav><article>a</article><section>rest</section></main>") == "a"
+    assert s.main_text("<main><nav>x</nav><article>a</article><section>rest</section></main>") == "a\n\nrest"
+    assert s.main_text('<main><article>a</article><section class="related">x</section><div class="ads">x</div></main>') == "a"
     assert s.main_text("<main><p>a</p><aside>x</aside></main>") == "a"
 
 
@@ -47,6 +48,31 @@ def test_main_parts_are_kept_whole():
     assert s.main_text("<main><section>a</section><section>b</section></main>") == "a\n\nb"
 
 
+def test_sections_beside_an_article_stay():
+    page = "<main><h1>T</h1><p>Lead</p><section><p>Intro section text</p></section><article><p>Body</p></article></main>"
+    assert s.main_text(page) == "T\n\nLead\n\nIntro section text\n\nBody"
+
+
+def test_class_names_inside_an_article_decide_nothing():
+    page = '<article><header><h1>Head</h1><p>By X</p></header><p class="notice">n</p><p class="related">r</p><p class="header">h</p>'
+    page += '<div class="search-results"><p>found</p></div><p class="ad">kept</p><header>site</header><div class="comments"><p>x</p></div></article>'
+    assert s.main_text(page) == "Head\n\nBy X\n\nn\n\nr\n\nh\n\nfound\n\nkept"
+    assert s.main_text('<main><p class="notice">kept</p><div class="sidebar">x</div></main>') == "kept"
+
+
+def test_time_grows_with_the_length():
+    import time
+
+    broken = ["<p ", "<p a=\"", "</x>", "<b>", "<article>", "<li>", "<p><b>", "<!-- ", "<![CDATA[", "<div class='", "<svg/", "<header><h1>", "<div class=footer>"]
+    for part in broken:
+        for page in (part * (400_000 // len(part)), "<b>" * 50_000 + part * (100_000 // len(part))):
+            began = time.process_time()
+            s.main_text(page)
+            assert time.process_time() - began < 15, part
+    assert s.main_text("<article><p>a</p>tail <p b") == "a\n\ntail <p b"
+    assert s.main_text('<article><p title="x>a</p><p>b</p></article><p>') == "a\n\nb"
+
+
 def test_formulas_and_fallback_text_are_kept():
     assert s.main_text("<article><p>If <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then</p></article>") == "If x=1 then"
     assert s.main_text("<article><math><mspace/><mi>x</mi><p>rest</p></article>") == "x\n\nrest"
