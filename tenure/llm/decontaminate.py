@@ -2,14 +2,17 @@
 
 The automaton holds every word sequence that occurs inside one item. Training words are
 streamed through it; the longest match that ends at each word tells which words lie in a
-window of an item. Items are taken in blocks of bounded size, so that what a task holds
-does not grow with the benchmark; more blocks mean more passes over the documents.
+window of an item. Items are dealt to blocks of bounded size by a hash, so that what a task
+holds does not grow with the benchmark; more blocks mean more passes over the documents. The
+automaton of a block is built in a task and staged as plain data.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +23,8 @@ from tenure.llm.common import col, extended, others
 from tenure.session import stage
 
 WINDOW = 10
-#: Words of items in one automaton, and automata held by a task at a time.
+#: Words of items in one automaton (in expectation; one item is never divided), and automata
+#: held by a task at a time.
 BLOCK_WORDS, BLOCKS_AT_ONCE = 200_000, 2
 #: Documents with this share of hit words are dropped instead of cut.
 MOST_COVERAGE = 0.5
@@ -70,6 +74,16 @@ class Automaton:
             self.has_short[state] = state in self.short or (state > 0 and self.has_short[self.link[state]])
         self.shortest = min([window, *(len(n) for _, n in numbered)])
 
+    def to_bytes(self) -> bytes:
+        """Plain lists and dictionaries, which any Python process can read."""
+        return pickle.dumps(self.__dict__)
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Automaton:
+        automaton = cls.__new__(cls)
+        automaton.__dict__.update(pickle.loads(data))
+        return automaton
+
     def _new(self, length: int, link: int, moves: dict[int, int]) -> int:
         self.length.append(length)
         self.link.append(link)
@@ -137,28 +151,52 @@ def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> Iterator[Automaton]:
-    held, size = [], 0
-    for row in benchmark.select(col(item_col).cast("string").alias("name"), F.coalesce(col(text_col), F.lit("")).cast("binary").alias("body")).toLocalIterator():
-        words = words_of(bytes(row["body"]))
-        held.append((row["name"], words))
-        size += len(words)
-        if size >= BLOCK_WORDS:
-            yield Automaton(held, window)
-            held, size = [], 0
-    yield Automaton(held, window)
+def _automata(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """(block, automaton): one automaton for each block of items, built in a task."""
+    items = benchmark.select(col(item_col).cast("string").alias("name"), F.coalesce(col(text_col), F.lit("")).cast("binary").alias("body"))
+
+    def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(words_of(body)) for body in batch.column(0).to_pylist()], pa.int64())], names=["n"])
+
+    total = items.select("body").mapInArrow(size, "n long").agg(F.sum("n")).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK_WORDS))
+
+    def build(rows: pa.Table) -> pa.Table:
+        held = sorted(zip(rows["name"].to_pylist(), rows["body"].to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or "", r[1]))
+        automaton = Automaton([(name, words_of(body)) for name, body in held], window)
+        return pa.table({"block": rows["block"][:1], "automaton": pa.array([automaton.to_bytes()], pa.large_binary()).cast(pa.binary())})
+
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("name", "body"), F.lit(blocks)).cast("int"))
+    return stage(dealt.groupBy("block").applyInArrow(build, "block int, automaton binary"))
+
+
+class _Held:
+    """Automata of one pass, rebuilt from broadcast bytes where they are used."""
+
+    def __init__(self, parts: list) -> None:
+        self.parts = parts
+
+    def open(self) -> list[Automaton]:
+        return [Automaton.from_bytes(part.value) for part in self.parts]
 
+    def release(self) -> None:
+        for part in self.parts:
+            part.unpersist()
 
-def _passes(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> Iterator[list]:
-    """Broadcast automata, a bounded number at a time."""
-    context, held = benchmark.sparkSession.sparkContext, []
-    for automaton in _blocks(benchmark, item_col, text_col, window):
-        held.append(context.broadcast(automaton))
-        if len(held) == BLOCKS_AT_ONCE:
-            yield held
-            held = []
-    if held:
-        yield held
+
+def _passes(automata: DataFrame) -> Iterator[_Held]:
+    """Broadcast bytes of the automata, a bounded number for each pass; read one block at a time."""
+    context = automata.sparkSession.sparkContext
+    numbers = sorted(r["block"] for r in automata.select("block").collect())
+
+    def of(number: int):
+        return context.broadcast(bytes(automata.where(F.col("block") == number).first()["automaton"]))
+
+    if not numbers:
+        yield _Held([])
+    for i in range(0, len(numbers), BLOCKS_AT_ONCE):
+        yield _Held([of(number) for number in numbers[i : i + BLOCKS_AT_ONCE]])
 
 
 def find_contamination(
@@ -182,10 +220,11 @@ def find_contamination(
     span_type = pa.list_(pa.struct([(n, pa.int64()) for n in ("first_word", "last_word", "start", "end")]))
     at = passed.index(next(c for c in passed if c.lower() == text_col.lower()))
     out = docs.select(*[col(c) for c in passed])
-    for number, automata in enumerate(_passes(benchmark, item_col, item_text_col, window)):
+    for number, held in enumerate(_passes(_automata(benchmark, item_col, item_text_col, window))):
         later = number > 0
 
-        def scan(batches: Iterator[pa.RecordBatch], automata: list = automata, later: bool = later) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], held: _Held = held, later: bool = later) -> Iterator[pa.RecordBatch]:
+            automata = held.open()
             for batch in batches:
                 n_words, n_hit, names, spans = [], [], [], []
                 before = zip(*(batch.column(len(passed) + i).to_pylist() for i in (2, 3)), strict=True) if later else None
@@ -193,7 +232,7 @@ def find_contamination(
                     words = words_of(text or b"")
                     hit, found = np.zeros(len(words), bool), set()
                     for automaton in automata:
-                        automaton.value.scan(words, hit, found)
+                        automaton.scan(words, hit, found)
                     if before is not None:
                         known, runs = next(before)
                         found.update(known)
@@ -227,42 +266,56 @@ def decontaminate(
 ) -> DataFrame:
     """Cut the hit spans out of every text; drop rows of which at least ``most_coverage`` of the words is hit.
 
-    A cut text is scanned again until nothing is hit, since a cut can bring the two ends
-    of a window together. Other rows come back as they are. Edge cases are those of
-    ``find_contamination``; the columns of ``docs`` are returned.
+    A cut text is scanned again until nothing is hit, since a cut can bring the two ends of a
+    window together; with several passes, texts that a round has cut take part in another
+    one. Other rows come back as they are. Edge cases are those of ``find_contamination``; the
+    columns of ``docs`` are returned.
     """
     at = next(i for i, c in enumerate(docs.columns) if c.lower() == text_col.lower())
-    names, out = docs.columns, docs
-    width = len(names)
-    schema = extended(docs, names, "__words long, __cut long")
-    for number, automata in enumerate(_passes(benchmark, item_col, item_text_col, window)):
-        later = number > 0
-
-        def cut(batches: Iterator[pa.RecordBatch], automata: list = automata, later: bool = later) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = batch.column(at).cast(pa.binary()).to_pylist()
-                n_words = batch.column(width).to_pylist() if later else [0] * len(texts)
-                n_cut = batch.column(width + 1).to_pylist() if later else [0] * len(texts)
-                for i, text in enumerate(texts):
-                    words = words_of(text or b"")
-                    if not later:
-                        n_words[i] = len(words)
-                    while words:
-                        hit = np.zeros(len(words), bool)
-                        for automaton in automata:
-                            automaton.value.scan(words, hit, set())
-                        if not hit.any():
-                            break
-                        n_cut[i] += int(hit.sum())
-                        places = [m.span() for m in _WORD.finditer(text.translate(_TABLE))]
-                        for a, b in reversed(_runs(hit)):
-                            text = text[: places[a][0]] + text[places[b - 1][1] :]
-                        texts[i], words = text, words_of(text)
-                columns = list(batch.columns[:width])
-                columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_cut, pa.int64())], names=[*names, "__words", "__cut"])
-
-        out = (stage(out) if later else out).mapInArrow(cut, schema)
+    names, width = docs.columns, len(docs.columns)
+    schema = extended(docs, names, "__words long, __cut long, __before long")
+    automata = _automata(benchmark, item_col, item_text_col, window)
+    several = automata.count() > BLOCKS_AT_ONCE
     kept = (F.col("__cut") == 0) | (F.col("__cut") < most_coverage * F.col("__words"))
-    return out.where(kept).select(*[col(c) for c in docs.columns])
-
+    out = docs.select(*[col(c) for c in names], F.lit(-1).cast("long").alias("__words"), *[F.lit(0).cast("long").alias(c) for c in ("__cut", "__before")])
+    settled: list[DataFrame] = []
+    while True:
+        for held in _passes(automata):
+
+            def cut(batches: Iterator[pa.RecordBatch], held: _Held = held) -> Iterator[pa.RecordBatch]:
+                opened = held.open()
+                for batch in batches:
+                    texts = batch.column(at).cast(pa.binary()).to_pylist()
+                    n_words, n_cut = batch.column(width).to_pylist(), batch.column(width + 1).to_pylist()
+                    for i, text in enumerate(texts):
+                        words = words_of(text or b"")
+                        if n_words[i] < 0:
+                            n_words[i] = len(words)
+                        while words:
+                            hit = np.zeros(len(words), bool)
+                            for automaton in opened:
+                                automaton.scan(words, hit, set())
+                            if not hit.any():
+                                break
+                            n_cut[i] += int(hit.sum())
+                            places = [m.span() for m in _WORD.finditer(text.translate(_TABLE))]
+                            for a, b in reversed(_runs(hit)):
+                                text = text[: places[a][0]] + text[places[b - 1][1] :]
+                            texts[i], words = text, words_of(text)
+                    columns = list(batch.columns)
+                    columns[at : at + 1] = [pa.array(texts, pa.binary()).cast(pa.string())]
+                    columns[width : width + 2] = [pa.array(n_words, pa.int64()), pa.array(n_cut, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*names, "__words", "__cut", "__before"])
+
+            out = out.mapInArrow(cut, schema)
+            if several:
+                out = stage(out)
+                held.release()
+        if not several:
+            settled.append(out)
+            break
+        settled.append(out.where("__cut = __before"))
+        out = out.where("__cut > __before").withColumn("__before", F.col("__cut"))
+        if out.isEmpty():
+            break
+    return reduce(DataFrame.unionAll, settled).where(kept).select(*[col(c) for c in docs.columns])

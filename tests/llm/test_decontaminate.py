@@ -112,3 +112,47 @@ def test_empty_tables(frame):
     assert decontaminate.find_contamination(df.limit(0), items).count() == 0
     assert decontaminate.find_contamination(df, items.limit(0)).collect()[0]["n_hit"] == 0
     assert decontaminate.decontaminate(df, items.limit(0)).collect()[0]["text"] == "a b"
+
+
+def test_cuts_of_several_blocks_join_no_window(frame, monkeypatch):
+    """Items inside each other: every cut brings the ends of another item's window together."""
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 10)
+    monkeypatch.setattr(decontaminate, "BLOCKS_AT_ONCE", 1)
+    items = [(i, " ".join(f"{name}{k}" for k in range(10))) for i, name in enumerate("abcdef")]
+    nested = ""
+    for _, text in items:
+        ws = text.split()
+        nested = " ".join([*ws[:5], nested, *ws[5:]])
+    other = " ".join(f"clean{i}" for i in range(200))
+    rows = [(1, f"{nested} {other}"), (2, other), (3, items[2][1] + " " + other), (4, nested.replace("a9", "z") + " " + other)]
+    out = decontaminate.decontaminate(frame("doc_id long, text string", rows), frame("item_id long, text string", items))
+    got = {r["doc_id"]: words(r["text"]) for r in out.collect()}
+    assert got[1] == got[2] == got[3] == words(other)
+    assert got[4] == words(rows[3][1])  # an unfinished window inside keeps the outer ones apart
+    for doc in got.values():
+        assert not any(brute([(i, words(t)) for i, t in items], doc, 10)[0])
+
+
+def test_automata_are_plain_data(tmp_path):
+    """What is broadcast, and the code that reads it, needs no copy of this package."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    automaton = Automaton([("1", [b"one", b"two"])], 10)
+    assert b"tenure" not in automaton.to_bytes()
+
+    class Part:
+        value = automaton.to_bytes()
+
+    held = decontaminate._Held([Part])
+
+    def found():
+        names = set()
+        held.open()[0].scan([b"one", b"two"], np.zeros(2, bool), names)
+        return names
+
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(found))
+    code = "import sys, pickle; f = pickle.load(open(sys.argv[1], 'rb')); assert f() == {'1'}; assert 'tenure' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code, str(tmp_path / "f")], cwd=tmp_path, check=True, env={"PATH": ""})
