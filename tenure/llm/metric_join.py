@@ -73,7 +73,9 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _bodies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("binary").alias("body"))
+    """(id, name, body): ``id`` stands for a row by a hash of its name and text, so that rows that repeat a name stay apart."""
+    rows = docs.select(col(id_col).cast("long").alias("name"), col(text_col).cast("binary").alias("body"))
+    return rows.select(F.xxhash64("name", "body").alias("id"), "name", "body")
 
 
 def _count_table(bodies: DataFrame, size: int, rows: int) -> tuple[np.ndarray, int]:
@@ -123,7 +125,7 @@ def _count_table(bodies: DataFrame, size: int, rows: int) -> tuple[np.ndarray, i
 
 
 def _profiles(bodies: DataFrame, size: int, percent: int, rows: int) -> DataFrame:
-    """(id, n, digest, prefix): size of the set, digest of the whole set, and its first pivots in order."""
+    """(id, name, n, digest, prefix): size of the set, digest of the whole set, and its first pivots in order."""
     table, bits = _count_table(bodies, size, rows)
     counts = bodies.sparkSession.sparkContext.broadcast(table)
     shift = np.uint64(56 - bits)
@@ -132,7 +134,7 @@ def _profiles(bodies: DataFrame, size: int, percent: int, rows: int) -> DataFram
         hashes, rank = WordHashes(), counts.value
         for batch in batches:
             sizes, digests, ends, tokens = [], [], [0], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 found = shingles(text, hashes, size)
                 n = len(found)
                 sizes.append(n)
@@ -146,9 +148,9 @@ def _profiles(bodies: DataFrame, size: int, percent: int, rows: int) -> DataFram
                 ends.append(ends[-1] + (len(tokens[-1]) if n else 0))
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
             prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), prefix], names=["id", "n", "digest", "prefix"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), prefix], names=["id", "name", "n", "digest", "prefix"])
 
-    return stage(bodies.mapInArrow(profile, "id long, n int, digest binary, prefix array<long>"))
+    return stage(bodies.mapInArrow(profile, "id long, name long, n int, digest binary, prefix array<long>"))
 
 
 def _regions(reps: DataFrame, rows: int) -> DataFrame:
@@ -214,7 +216,7 @@ def _measured(pairs: DataFrame, bodies: DataFrame, size: int, percent: int, rows
             ids = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             yield batch.filter(pa.array(seen_twice.maybe_twice(ids, wanted.value, bits)))
 
-    texts = stage(bodies.where("id is not null").mapInArrow(asked, "id long, body binary")).dropDuplicates(["id"])
+    texts = stage(bodies.where("name is not null").select("id", "body").mapInArrow(asked, "id long, body binary")).dropDuplicates(["id"])
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,23 +285,26 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Null, empty and blank texts have no shingles and are linked with nothing. A row without
     an id has a null component and links nothing. Rows that repeat an id are judged each
-    by its own text. An empty table gives an empty table. Other columns of ``docs``, whatever
+    by its own text. Ids are whole numbers. An empty table gives an empty table. Other columns of ``docs``, whatever
     their names, are not read.
     """
     bodies, rows = _bodies(docs, id_col, text_col), docs.count()
     profiles = _profiles(bodies, size, percent, rows)
-    # Identical sets are one class; only its smallest id is joined.
-    classes = profiles.where("n > 0 and id is not null").groupBy("digest")
-    reps = stage(classes.agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    # Identical sets are one class; only one of its rows is joined.
+    classes = profiles.where("n > 0 and name is not null").groupBy("digest")
+    first = classes.agg(F.min(F.struct("name", "id")).alias("row"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    reps = stage(first.select("digest", F.col("row.name").alias("name"), F.col("row.id").alias("id"), "n", "prefix"))
     regions = _regions(reps, rows)
     near = _measured(_to_pivots(regions, percent), bodies, size, percent, rows)
     rest = _measured(_left_over(regions, near, percent), bodies, size, percent, rows)
     links = near.where("linked").select("a", "b").union(rest.where("linked").select("a", "b"))
-    labels = stage(components(links))
-    owners = stage(reps.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component")))
-    judged = profiles.select("id", F.col("n").cast("long").alias("n_shingles"), "digest").join(owners, "digest", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return judged.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"))
+    labels = reps.select("digest", "name", "id").join(components(links), "id", "left")
+    owners = stage(labels.select("digest", "name", F.coalesce("component", "id").alias("root")))
+    least = owners.groupBy("root").agg(F.min("name").alias("component"))
+    owners = stage(owners.join(least, "root").select("digest", "component"))
+    judged = profiles.select("name", F.col("n").cast("long").alias("n_shingles"), "digest").join(owners, "digest", "left")
+    component = F.when(F.col("name").isNotNull(), F.coalesce("component", "name"))
+    return judged.select(F.col("name").alias(id_col), "n_shingles", component.alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, percent: int = PERCENT) -> DataFrame:

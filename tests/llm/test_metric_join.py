@@ -125,3 +125,11 @@ def test_components_of_long_paths_and_hubs(frame):
     found = {r["id"]: r["component"] for r in components(frame("a long, b long", links)).collect()}
     assert all(found[i] == 0 for i in range(61)) and all(found[i] == 100 for i in [*range(100, 160), 500])
     assert found[700] == found[701] == 700
+
+
+def test_rows_that_repeat_an_id_are_judged_by_their_own_text(frame):
+    rng = random.Random(12)
+    a, b = ([f"{x}{rng.randrange(10**6)}" for _ in range(60)] for x in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "z"])), (3, " ".join([*b, "z"])), (3, " ".join(b)), (4, "other words of a text"), (4, " ".join(a))]
+    got = sorted(tuple(r) for r in metric_join.link_documents(frame("doc_id long, text string", rows)).collect())
+    assert got == sorted([(1, 57, 1), (1, 57, 1), (2, 58, 1), (3, 58, 1), (3, 57, 1), (4, 2, 4), (4, 57, 1)])
