@@ -62,6 +62,12 @@ def _monday(day: date) -> date:
     return day - timedelta(days=day.weekday())
 
 
+def week_zero(t: Instant, weeks: int = 8) -> date:
+    """The Sunday that ``week_number`` counts from."""
+    start = as_datetime(t).date() - timedelta(weeks=weeks)
+    return start - timedelta(days=(start.weekday() + 1) % 7)
+
+
 def week_numbers(t: Instant, weeks: int = 8) -> list[int]:
     """Every value ``week_number`` can take in the lookback window of ``t``.
 

@@ -13,6 +13,10 @@ from tenure.sources.tables import Sources
 T = "1998-04-01"
 T_EARLIER = "1998-01-01"
 T_USAGE = "2024-01-31"
+#: Snapshots of the panel and the cut-offs of their activity logs.
+PANEL = [f"1997-{month:02d}-15" for month in range(1, 13)]
+PANEL_USAGE = ["2024-01-04", "2024-01-07", "2024-01-10 12:30:00", "2024-01-14", "2024-01-19", "2024-01-24",
+               "2024-01-31", "2024-02-11", "2024-02-29", "2024-03-05", "2024-03-14 06:00:00", "2024-03-24"]
 
 
 # Declared schemas spare a schema-reading job per scan.

@@ -18,7 +18,7 @@ from tenure.functions import dates, values
 from tenure.functions.values import tidy
 from tenure.models import classifiers, design, features, logit, scoring, validation
 from tenure.operators import columns, ranking, rates, reshape, sampling, tally
-from tenure.plans import accounts, activity, cohort, dataset, flags, support
+from tenure.plans import accounts, activity, cohort, dataset, flags, panel, support
 from tenure.session import stage, staging_root
 from tenure.sources import files
 from tenure.sources.tables import load_sources
@@ -331,6 +331,23 @@ def train_and_validation_snapshots(spark, d):
     )
 
 
+@query
+def snapshot_panel(spark, d):
+    """Twelve overlapping snapshots, Sundays among them, from one pass over each source."""
+    return panel.churn_panel(b.sources(spark, d), b.PANEL, b.PANEL_USAGE)
+
+
+@query
+def cohort_panel(spark, d):
+    """Cohorts of three years by month; every subscription is seen at many dates."""
+    months = [f"{year}-{month:02d}-01" for year in (1995, 1996, 1997) for month in range(1, 13)]
+    found = panel.cohort_panel(b.sources(spark, d), months)
+    return found.groupBy("snapshot").agg(
+        F.count("*").alias("subscriptions"), F.count_distinct("user_id").alias("users"),
+        *[F.sum(c).alias(c) for c in cohort.CHARGE_COUNTS], F.count_if("churned_in_next_two_months").alias("churned"),
+    )
+
+
 # --- scalar functions ---------------------------------------------------------
 
 
