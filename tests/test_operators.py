@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tenure.functions import values
-from tenure.operators import columns, ranking, rates, reshape, sampling, tally
+from tenure.operators import columns, ranking, rates, reshape, running, sampling, tally
 from tenure.operators.running import running_totals
 from tenure.sources import files
 
@@ -61,6 +61,49 @@ def test_running_totals_over_many_slices(spark):
     assert len(merged) == n and (merged["v_before"] == merged["expected"]).all()
 
 
+@pytest.mark.parametrize("slice_rows", [250_000, 300])
+def test_running_totals_of_both_kinds_of_numbers(spark, monkeypatch, slice_rows):
+    """Groups over several slices and batches, a NULL group and NULL values, whole and broken numbers."""
+    monkeypatch.setattr(running, "SLICE_ROWS", slice_rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, F.concat(F.lit("g"), (F.col("id") % 3).cast("string"))).alias("g"),
+        F.hash("id").alias("x"), F.when(F.col("id") % 11 > 0, F.col("id") % 7).cast("int").alias("v"),
+        F.when(F.col("id") % 2 > 0, 1e9).otherwise(0.25).alias("w"),
+    )
+    try:
+        found = {(r["g"], r["x"]): r for r in running_totals(df, "x", ["v", "w"], ["g"]).collect()}
+        plain = {r["x"]: r for r in running_totals(df, "x", ["v"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == len(plain) == 3000
+    before = {}
+    total = 0
+    for r in sorted(df.collect(), key=lambda r: r["x"]):
+        v, w = before.get(r["g"], (0, 0.0))
+        got = found[r["g"], r["x"]]
+        assert got["v_before"] == v and got["w_before"] == pytest.approx(w, rel=1e-12)
+        assert plain[r["x"]]["v_before"] == total
+        before[r["g"]] = (v + (r["v"] or 0), w + r["w"])
+        total += r["v"] or 0
+    assert all(r["v_total"] == before[r["g"]][0] for r in found.values())
+    assert running_totals(df.limit(0), "x", ["v"], ["g"]).count() == 0
+
+
+def test_running_totals_exchange_rows_once(spark, monkeypatch):
+    """One range exchange of the rows; a slice does not grow with the data."""
+    monkeypatch.setattr(running, "SLICE_ROWS", 1000)
+    staged, real = [], running.stage
+    monkeypatch.setattr(running, "stage", lambda df: staged.append(df) or real(df))
+    for n in (4000, 16_000):
+        staged.clear()
+        running_totals(spark.range(n).select("id", F.hash("id").alias("x"), F.lit(1).alias("v")), "x", ["v"]).collect()
+        plan = staged[1]._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "rangepartitioning" in plan
+        sizes = [r["n"] for r in staged[1].groupBy("_slice").agg(F.count("*").alias("n")).collect()]
+        assert len(sizes) == n / 1000 and max(sizes) < 2500
+
+
 @FEW
 @given(st.lists(st.integers(-5, 12), min_size=1, max_size=30))
 def test_quantiles_interpolate_linearly(spark, data):
