@@ -75,9 +75,28 @@ def test_scoring_keeps_rows_with_unseen_levels_and_missing_inputs(spark, planted
     assert len(rows) == 4 and rows[4]["id"].startswith("4NA")
 
 
-def test_collinear_features_give_a_table_without_errors(planted):
-    fitted = logit.fit_logit(planted.withColumn("copy", F.col("x")), ["x", "copy"], "y")
-    assert fitted.coefficients().count() == 3
+def test_dependent_features_have_no_coefficient(planted):
+    """A copy, a sum of earlier columns and a constant are left out; the others keep their tests."""
+    rows = planted.withColumns({"copy": 3 * F.col("x") - 1, "sum": F.col("x") + 2 * F.col("z"), "one": F.lit(7.0)})
+    plain = {r["term"]: r for r in logit.fit_logit(planted, ["x", "z"], "y").coefficients().collect()}
+    fitted = logit.fit_logit(rows, ["x", "copy", "z", "one", "sum"], "y")
+    found = {r["term"]: r for r in fitted.coefficients().collect()}
+    assert list(found) == ["x", "copy", "z", "one", "sum", "(Intercept)"]
+    for term in ("copy", "one", "sum"):
+        assert found[term]["estimate"] is found[term]["std_error"] is found[term]["p_value"] is None
+    for term in ("x", "z", "(Intercept)"):
+        assert found[term]["estimate"] == pytest.approx(plain[term]["estimate"]) and found[term]["std_error"] == pytest.approx(plain[term]["std_error"])
+    scores = logit.predict_logit(fitted.pipeline, rows).where("pred is not null")
+    assert scores.count() == rows.count()
+
+
+def test_independent_terms_of_a_correlation_matrix():
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(2, 500))
+    x = np.stack([a, b, a + b, np.ones(500), a * b, 2 * b - a + 5], axis=1)
+    with np.errstate(invalid="ignore"):
+        assert logit.independent_terms(np.corrcoef(x, rowvar=False)) == [0, 1, 4]
+    assert logit.independent_terms(np.array([[np.nan]])) == []
 
 
 @pytest.mark.parametrize("kind", ["forest", "mlp", "svc"])
