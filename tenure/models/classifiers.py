@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tenure.functions.values import key_hash
 from tenure.models.design import FEATURES, fit_design, log_stage, training_rows
+from tenure.models.together import together
 from tenure.operators.ranking import auc, auc_of_tallies
 from tenure.operators.sampling import stratified_folds
 from tenure.session import stage
@@ -27,7 +28,7 @@ def _forest(label: str, trees: int, depth: int, seed: int, bins: int) -> RandomF
     )
 
 
-def _largest_category(df: DataFrame, stages: list) -> int:
+def largest_category(df: DataFrame, stages: list) -> int:
     """Most levels of any indexed column, which tree models need as bins."""
     return max((len(x) + 1 for s in stages if hasattr(s, "labelsArray") for x in s.labelsArray), default=0)
 
@@ -44,7 +45,7 @@ def fit_forest(
     rows = training_rows(train, features, label)
     stages, _ = fit_design(rows, features, one_hot=False, hashed=hashed)
     prepared = PipelineModel(stages).transform(rows).select(FEATURES, label)
-    model = _forest(label, trees, depth, seed, _largest_category(rows, stages)).fit(prepared)
+    model = _forest(label, trees, depth, seed, largest_category(rows, stages)).fit(prepared)
     return PipelineModel([*stages, model])
 
 
@@ -60,16 +61,25 @@ def importance(model: PipelineModel, features: Sequence[str]) -> DataFrame:
 
 def cross_validate(
     df: DataFrame, features: Sequence[str], label: str, key: str, k: int = 5, trees: int = 100,
-    depth: int = 8, seed: int = 1,
+    depth: int = 8, seed: int = 1, parallel: int = 5,
 ) -> DataFrame:
-    """Size, positives and exact AUC of each of ``k`` stratified hash folds of a unique key."""
+    """Size, positives and exact AUC of each of ``k`` stratified hash folds of a unique key.
+
+    The folds read one staged table and are fitted at the same time, as many as ``parallel``.
+    """
     rows = training_rows(df, [*features, key], label)
     dealt = stage(stratified_folds(rows, key, label, k, seed))
-    parts = []
-    for fold in range(k):
-        model = fit_forest(dealt.where(F.col("fold") != fold), features, label, trees, depth, seed)
-        parts.append(predict_classifier(model, dealt.where(F.col("fold") == fold)).select("fold", label, "pred"))
-    scored = stage(reduce(DataFrame.unionByName, parts))
+
+    def held_out(fold: int) -> DataFrame:
+        own = dealt.where(F.col("fold") != fold)
+        stages, _ = fit_design(own, features, one_hot=False)
+        prepared = stage(PipelineModel(stages).transform(own).select(FEATURES, label))
+        forest = _forest(label, trees, depth, seed, largest_category(own, stages)).fit(prepared)
+        model = PipelineModel([*stages, forest])
+        return stage(predict_classifier(model, dealt.where(F.col("fold") == fold)).select("fold", label, "pred"))
+
+    parts = together(df.sparkSession, [partial(held_out, fold) for fold in range(k)], parallel)
+    scored = reduce(DataFrame.unionByName, parts)
     sizes = scored.groupBy("fold").agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("positives"))
     return sizes.join(auc(scored, "pred", label, ["fold"]), "fold")
 
