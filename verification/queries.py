@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tenure.functions import dates, values
 from tenure.functions.values import tidy
-from tenure.models import classifiers, design, features, logit, scoring, validation
+from tenure.models import bagging, classifiers, design, features, logit, scoring, target_stats, validation
 from tenure.operators import columns, ranking, rates, reshape, sampling, tally
 from tenure.plans import accounts, activity, cohort, dataset, flags, panel, support
 from tenure.session import stage, staging_root
@@ -827,13 +827,16 @@ def logit_scores(spark, d):
     return logit.predict_logit(model.pipeline, test).select("subscription_id", "did_churn", "pred")
 
 
-def _out_of_time(spark, d):
+def _out_of_time_scores(spark, d):
     earlier = stage(_modelling(spark, d, as_of=b.T_EARLIER, churn_until="1998-07-01", created_until="1997-11-01"))
     tagged = sampling.holdout(earlier, _modelling(spark, d), "subscription_id", seed=3)
     train = tagged.where("part = 'train'")
     model = logit.fit_logit(train, features.LOGIT_REDUCED, "did_churn", features.LOGIT_SCALED)
-    scored = stage(logit.predict_logit(model.pipeline, tagged).select("part", "did_churn", "pred"))
-    return validation.validate(scored, "pred", "did_churn", 0.15, ["part"])
+    return stage(logit.predict_logit(model.pipeline, tagged).select("part", "did_churn", "pred"))
+
+
+def _out_of_time(spark, d):
+    return validation.validate(_out_of_time_scores(spark, d), "pred", "did_churn", 0.15, ["part"])
 
 
 @query
@@ -1114,3 +1117,117 @@ def export_validation(spark, d):
 def export_validation_rows(spark, d):
     """The later export is evaluated row by row."""
     return _rows_and_positives(export_validation(spark, d))
+
+
+# --- what follows from fitted models, computed a second time --------------------
+
+
+def _agree(scored, label, threshold, by):
+    """The library's metrics of staged scores next to the same ones from a plain SQL text.
+
+    The second area is that of mean ranks. What the models decide themselves cannot be
+    known here; sizes and positives are those of the rows, and the flags say that both agree.
+    """
+    spark, name = scored.sparkSession, f"scored_{uuid.uuid4().hex}"
+    found = validation.validate(scored, "pred", label, threshold, [by])
+    scored.createOrReplaceTempView(name)
+    again = spark.sql(f"""
+        with ranked as (
+          select *, cast({label} as int) as y,
+                 rank() over (partition by {by} order by pred) + (count(*) over (partition by {by}, pred) - 1) / 2.0D as place
+          from {name} where pred is not null),
+        counted as (
+          select {by}, count(*) as rows, sum(y) as positives, sum(if(y = 1, place, 0)) as places,
+                 count_if(pred >= {threshold} and y = 1) as hits, count_if(pred >= {threshold}) as flagged
+          from ranked group by {by})
+        select *, try_divide(places - positives * (positives + 1) / 2.0D, cast(positives as double) * (rows - positives)) as area from counted""")
+    both = found.join(again, by)
+
+    def near(x, y):
+        return F.coalesce(F.abs(F.col(x) - y) < 1e-9, F.col(x).isNull() & y.isNull())
+
+    return both.select(
+        by, F.col("rows").alias("n"), "positives", near("auc", F.col("area")).alias("same_auc"),
+        ((F.col("tp") == F.col("hits")) & (F.col("tp") + F.col("fp") == F.col("flagged")) & (F.col("tn") + F.col("fn") == F.col("rows") - F.col("flagged"))).alias("same_counts"),
+        near("precision", F.try_divide("hits", "flagged")).alias("same_precision"), near("recall", F.try_divide("hits", "positives")).alias("same_recall"),
+    )
+
+
+@query
+def classifier_metrics_agree(spark, d):
+    """Forest, network and support vectors on the test rows."""
+    parts = [
+        _agree(stage(run(spark, d).withColumn("model", F.lit(name))), "did_churn", threshold, "model")
+        for name, run, threshold in (("forest", forest_scores, 0.3), ("network", network_scores, 0.3), ("support vectors", support_vector_scores, 0.0))
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def out_of_time_metrics_agree(spark, d):
+    return _agree(_out_of_time_scores(spark, d), "did_churn", 0.15, "part")
+
+
+def _bagged(spark, d):
+    train, _ = _train_test(spark, d)
+    return bagging.fit_bagged(train, features.FOREST_RECENCY, "did_churn", "subscription_id", trees=BAGGED_TREES, depth=6)
+
+
+BAGGED_TREES = 10
+
+
+@query
+def forest_bags(spark, d):
+    """How often each row is in the bags of ten trees, and of how many it is out."""
+    rows = _modelling(spark, d).select("subscription_id")
+    bags = [bagging.bag_count(F.col("subscription_id"), t) for t in range(BAGGED_TREES)]
+    return rows.select(
+        "subscription_id", reduce(lambda x, y: x + y, bags).cast("long").alias("times"),
+        reduce(lambda x, y: x + y, [(n == 0).cast("long") for n in bags]).alias("trees_out"),
+    )
+
+
+@query
+def out_of_bag_votes(spark, d):
+    """Every training row is judged by the trees that have not seen it, and by no others."""
+    votes = _bagged(spark, d).out_of_bag_votes()
+    return votes.select("subscription_id", F.col("did_churn").cast("int").alias("did_churn"), "trees_out", F.col("votes").between(0, F.col("trees_out")).alias("valid"))
+
+
+@query
+def out_of_bag_importance(spark, d):
+    """Mean decrease in accuracy when a feature is exchanged among out-of-bag rows."""
+    return _bagged(spark, d).importance()
+
+
+def _rate_rows(spark, d):
+    orders, key = b.table(spark, d, "orders"), F.col("o_orderkey")
+    rows = orders.select(key.alias("id"), F.when(key % 17 != 0, F.col("o_custkey")).alias("who"), (F.col("o_orderstatus") == "F").alias("done"), "o_orderpriority")
+    return rows.where("id % 4 <> 0"), rows.where("id % 4 = 0")
+
+
+@query
+def target_rates(spark, d):
+    """Rates of a column with a level for every customer and of one with few, for fitted and for later rows."""
+    train, later = _rate_rows(spark, d)
+    stats = target_stats.fit_target_stats(train, ["who", "o_orderpriority"], "done", "id")
+    return _tidied(stats.encode(train, training=True).unionByName(stats.encode(later)))
+
+
+def _with_dependent(spark, d):
+    return _modelling(spark, d).withColumns({"twice": 2 * F.col("weeks_with_updates"), "together": F.col("subscription_age") + F.col("estimate")})
+
+
+DEPENDENT = ["weeks_with_updates", "twice", "subscription_age", "estimate", "together", "total_updates"]
+
+
+@query
+def logit_dependent_balance(spark, d):
+    """Terms that depend on earlier ones do not disturb the fit: all totals are reproduced, theirs as well."""
+    return _balance(spark, _with_dependent(spark, d), DEPENDENT, [], "dependent")
+
+
+@query
+def logit_dependent_terms(spark, d):
+    fitted = logit.fit_logit(_with_dependent(spark, d), DEPENDENT, "did_churn").coefficients()
+    return fitted.select("term", F.col("estimate").isNotNull().alias("fitted"), F.col("p_value").between(0, 1).alias("tested"))
