@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tenure.functions.values import right_closed_bin, right_closed_bin_of
 from tenure.operators.ranking import auc_of_tallies
-from tenure.operators.tally import exact_quantiles
+from tenure.operators.tally import exact_quantiles, quantile_sketches, sketched_quantiles
 from tenure.session import stage
 
 # Smoothing weight, decile steps, and the extra lowest cut point.
@@ -107,6 +109,39 @@ def _long_tallies(df: DataFrame, variables: Sequence[str], kind: str, label: str
     return stage(long.groupBy("variable", "value").agg(*counts))
 
 
+def _sketched_bins(df: DataFrame, variables: Sequence[str], label: str, is_train: str) -> DataFrame:
+    """Class counts per variable and bin, with cuts from sketches: two passes that copy and shuffle no row.
+
+    A task counts the bins of all variables in arrays and sends a few rows for each variable.
+    """
+    train = df.where(is_train)
+    deciles = sketched_quantiles(quantile_sketches(train, variables), DECILES).select("variable", _cuts(F.col("quantiles")).alias("cuts"))
+    cuts = {r["variable"]: np.array(r["cuts"] or [LOWEST_CUT]) for r in deciles.collect()}  # at most 12 numbers for each variable
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # By variable, bin (0: none), part and class.
+        totals = np.zeros((len(variables), len(DECILES) + 2, 2, 2), np.int64)
+        for batch in batches:
+            y, part = (batch.column(i).to_numpy() for i in range(2))
+            for k, variable in enumerate(variables):
+                x = batch.column(k + 2).to_numpy(zero_copy_only=False)
+                bins = np.searchsorted(cuts[variable], x, side="left")
+                bins[~((x > cuts[variable][0]) & (x <= cuts[variable][-1]))] = 0
+                np.add.at(totals[k], (bins, part, y), 1)
+        k, bins, part, y = np.nonzero(totals)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([variables[i] for i in k], pa.string()), pa.array(bins), pa.array(part), pa.array(y), pa.array(totals[k, bins, part, y])],
+            names=["variable", "bin", "part", "y", "n"],
+        )
+
+    x = [F.col(v).cast("double").alias(f"x{i}") for i, v in enumerate(variables)]
+    rows = df.where(F.col(label).isNotNull() & F.col(is_train).isNotNull()).select(F.col(label).cast("int").alias("y"), F.col(is_train).cast("int").alias("part"), *x)
+    counted = rows.mapInArrow(count, "variable string, bin long, part long, y long, n long")
+    of = {f"{part}_{what}": (F.col("part") == i) & ((F.col("y") == 1) if what == "pos" else F.lit(True)) for i, part in ((1, "train"), (0, "test")) for what in ("pos", "n")}
+    value = F.when(F.col("bin") > 0, F.col("bin")).cast("string").alias("value")
+    return stage(counted.groupBy("variable", value).agg(*[F.coalesce(F.sum(F.when(of[c], F.col("n"))), F.lit(0)).alias(c) for c in COUNTS]))
+
+
 def _aucs(levels: DataFrame, prior: Column) -> DataFrame:
     """Train and test AUC per variable from level tallies; each level is one score."""
     rate = _rate(F.col("value"), F.col("train_pos"), F.col("train_n"), prior)
@@ -133,18 +168,24 @@ def single_variable_report(
     numeric: Sequence[str],
     label: str,
     is_train: str = "is_train",
+    exact: bool = True,
 ) -> DataFrame:
     """Train and test AUC of the one-variable model of every listed column.
 
     Rows are collapsed to counts per (variable, value) once. Cut points, rates and AUC are
     then all computed from those counts, for all variables together, instead of one
-    model and two scoring passes per variable.
+    model and two scoring passes per variable. With ``exact=False`` the cut points of numbers
+    come from quantile sketches, which spares a copy of every row for each variable.
     """
     parts, one = [], None
     if categorical:
         one = _long_tallies(df, categorical, "string", label, is_train)
         parts.append(one.select("variable", "value", *COUNTS))
-    if numeric:
+    if numeric and not exact:
+        bins = _sketched_bins(df, list(numeric), label, is_train)
+        one = one if one is not None else bins
+        parts.append(bins.select("variable", "value", *COUNTS))
+    elif numeric:
         numbers = _long_tallies(df, numeric, "double", label, is_train)
         one = one if one is not None else numbers
         cuts = exact_quantiles(

@@ -334,3 +334,40 @@ def test_materialize_keeps_all_rows_sorted(spark, tmp_path):
     df = spark.range(100).select((F.col("id") % 3).alias("user_id"), "id")
     files.materialize(df, str(tmp_path / "t"), "user_id")
     assert spark.read.parquet(str(tmp_path / "t")).count() == 100
+
+
+def test_sketched_quantiles_merge_and_stay_close(spark):
+    """Sketches of parts, merged: the rank of each estimate is near the wanted one."""
+    df = spark.range(60_000).select(
+        (F.col("id") % 3).alias("g"), F.spark_partition_id().alias("part"),
+        F.when(F.col("id") % 10 > 0, F.pmod(F.hash("id"), F.lit(5000)).cast("double")).otherwise(F.when(F.col("id") % 20 == 0, float("nan"))).alias("x"),
+        F.lit(None).cast("int").alias("none"),
+    )
+    parts = tally.quantile_sketches(df, ["x", "none"], ["g", "part"])
+    found = tally.sketched_quantiles(parts, [0.0, 0.1, 0.5, 0.9, 1.0], ["g"]).collect()
+    for r in found:
+        if r["variable"] == "none":
+            assert r["n"] == 0 and r["quantiles"] is None
+            continue
+        own = np.sort([v["x"] for v in df.where((F.col("g") == r["g"]) & F.col("x").isNotNull() & ~F.isnan("x")).select("x").collect()])
+        assert r["n"] == len(own)
+        for p, q in zip([0.0, 0.1, 0.5, 0.9, 1.0], r["quantiles"], strict=True):
+            assert np.searchsorted(own, q, "left") / len(own) - 0.01 <= p <= np.searchsorted(own, q, "right") / len(own) + 0.01
+    plan = tally.quantile_sketches(df, ["x"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Aggregate")  # only the sketches are unpacked
+
+
+def test_report_from_sketches_is_close_to_the_exact_one(spark):
+    df = spark.range(20_000).select(
+        (F.pmod(F.hash("id"), F.lit(1000)) / 10).alias("x"), F.when(F.col("id") % 7 > 0, F.col("id") % 50).alias("few"),
+        F.lit(None).cast("double").alias("none"), F.concat(F.lit("l"), (F.col("id") % 3).cast("string")).alias("level"),
+        (F.col("id") % 5 > 0).alias("is_train"),
+        ((F.pmod(F.hash("id"), F.lit(1000)) > 700) | (F.col("id") % 50 > 40) | (F.col("id") % 17 == 0)).alias("y"),
+    )
+    exact, sketched = (
+        {r["variable"]: r for r in rates.single_variable_report(df, ["level"], ["x", "few", "none"], "y", exact=e).collect()} for e in (True, False)
+    )
+    assert exact.keys() == sketched.keys()
+    for name, r in exact.items():
+        for part in ("train_auc", "test_auc"):
+            assert sketched[name][part] == pytest.approx(r[part], abs=0.01), name
