@@ -18,9 +18,14 @@ def empty_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
-def json_text(document: Column, key: str) -> Column:
-    """Text under ``key``; a missing key, bad JSON or NULL document gives ''."""
-    return F.coalesce(F.get_json_object(document, f"$.{key}"), F.lit(""))
+def parsed(document: Column) -> Column:
+    """JSON text as a VARIANT, read once for all of its fields; text that is not JSON is NULL."""
+    return F.try_parse_json(document)
+
+
+def variant_text(document: Column, key: str) -> Column:
+    """Text under ``key`` of a parsed document; a missing key or document, or a value that is no text or number, gives ''."""
+    return F.coalesce(F.try_variant_get(document, f"$.{key}", "string"), F.lit(""))
 
 
 def spelled_flag(text: Column, yes: str, no: str) -> Column:
