@@ -620,6 +620,44 @@ def single_variable_report(spark, d):
     )
 
 
+@query
+def sketched_deciles(spark, d):
+    """Deciles from merged sketches of parts: values below and up to each estimate enclose the wanted rank."""
+    rows = stage(b.table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice"))
+    names = ["l_quantity", "l_extendedprice"]
+    parts = tally.quantile_sketches(rows, names, ["l_returnflag", "l_linestatus"])
+    found = tally.sketched_quantiles(parts, rates.DECILES, ["l_returnflag"])
+    # One row for each flag, variable and decile, so the broadcast is bounded.
+    points = found.select("l_returnflag", "variable", "n", F.posexplode("quantiles").alias("i", "q"))
+    values = rows.select("l_returnflag", F.inline(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("x")) for c in names])))
+    ranked = values.join(F.broadcast(points), ["l_returnflag", "variable"]).groupBy("l_returnflag", "variable", "i", "n").agg(
+        F.count_if(F.col("x") < F.col("q")).alias("below"), F.count_if(F.col("x") <= F.col("q")).alias("up_to")
+    )
+    p = F.col("i") / 10
+    close = (F.col("below") / F.col("n") <= p + 0.01) & (F.col("up_to") / F.col("n") >= p - 0.01)
+    return ranked.select("l_returnflag", "variable", p.alias("p"), "n", close.alias("close"))
+
+
+@query
+def sketched_report(spark, d):
+    """One-variable models whose cuts come from sketches rank like the exact ones."""
+    rows = stage(_labelled(spark, d).withColumn("is_train", values.hash_uniform(F.col("subscription_id"), seed=4) <= 0.8))
+    exact, near = (
+        rates.single_variable_report(rows, features.SINGLE_CATEGORICAL, features.SINGLE_NUMERIC, "did_churn", exact=e) for e in (True, False)
+    )
+    both = exact.join(near.select("variable", F.col("train_auc").alias("train"), F.col("test_auc").alias("test")), "variable")
+    return both.select("variable", (F.abs(F.col("train_auc") - F.col("train")) < 0.01).alias("same_train"), (F.abs(F.col("test_auc") - F.col("test")) < 0.03).alias("same_test"))
+
+
+@query
+def support_emails_malformed(spark, d):
+    """Documents that are cut off, empty, of another shape or missing have no fields."""
+    talks = b.sources(spark, d)["helpscout_conversations"]
+    broken = {c: F.when(F.col("id") % 6 == i, F.substring(c, 1, 9)).when(F.col("id") % 12 == i + 6, F.lit('[1, "x"]')).when(F.col("id") % 24 == 5, F.lit(None)).otherwise(F.col(c))
+              for i, c in enumerate(("mailbox", "createdby", "customer"))}
+    return support.support_emails(talks.withColumns(broken))
+
+
 @query
 def auc(spark, d):
     return _tidied(ranking.auc(_split(spark, d), "n_chars", "bad"))
