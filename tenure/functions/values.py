@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from functools import reduce
 
@@ -64,6 +65,11 @@ def key_hash(*keys: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.concat_ws(_BETWEEN, *parts)))
 
 
+def hash_of_text(text: str) -> str:
+    """The hash of ``key_hash`` for a text that already holds seed and key."""
+    return hashlib.md5(text.encode()).hexdigest()
+
+
 def hash_uniform(*keys: Column, seed: int) -> Column:
     """Repeatable uniform number in [0, 1) for a row key; never NULL.
 

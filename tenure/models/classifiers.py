@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tenure.functions.values import key_hash
 from tenure.models.design import FEATURES, fit_design, log_stage, training_rows
+from tenure.models.kernel import RandomFourier
 from tenure.models.together import together
 from tenure.operators.ranking import auc, auc_of_tallies
 from tenure.operators.sampling import stratified_folds
@@ -126,13 +127,25 @@ def fit_mlp(
 
 
 def fit_svc(
-    train: DataFrame, features: Sequence[str], label: str, iterations: int = 100
+    train: DataFrame, features: Sequence[str], label: str, iterations: int = 100, kernel: str = "linear",
+    gamma: float | None = None, components: int = 256, seed: int = 1,
 ) -> PipelineModel:
-    """Linear support vectors; rank with the signed distance, not the hard label."""
+    """Support vectors; rank with the signed distance, not the hard label.
+
+    The ``radial`` kernel exp(-gamma |x - y|^2) works on standardised inputs and is estimated by
+    ``components`` random Fourier features; ``gamma`` defaults to one over the number of inputs.
+    """
+    if kernel not in ("linear", "radial"):
+        raise ValueError(f"no kernel {kernel}")
     rows = training_rows(train, features, label)
-    stages, _ = fit_design(rows, features)
-    prepared = PipelineModel(stages).transform(rows).select(FEATURES, label)
-    model = LinearSVC(featuresCol=FEATURES, labelCol=label, maxIter=iterations).fit(prepared)
+    stages, names = fit_design(rows, features, scale_all=kernel == "radial")
+    inputs = FEATURES
+    if kernel == "radial":
+        inputs = "__fourier"
+        stages.append(RandomFourier(inputCol=FEATURES, outputCol=inputs, size=components, inputs=len(names), gamma=gamma or 1 / len(names), seed=seed))
+    # The solver reads its rows once for every iteration.
+    prepared = stage(PipelineModel(stages).transform(rows).select(inputs, label))
+    model = LinearSVC(featuresCol=inputs, labelCol=label, maxIter=iterations).fit(prepared)
     return PipelineModel([*stages, model])
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tenure.functions import dates, values
 from tenure.functions.values import tidy
-from tenure.models import bagging, classifiers, design, features, logit, scoring, target_stats, validation
+from tenure.models import bagging, classifiers, design, features, kernel, logit, network, scoring, target_stats, validation
 from tenure.operators import columns, ranking, rates, reshape, sampling, tally
 from tenure.plans import accounts, activity, cohort, dataset, flags, panel, support
 from tenure.session import stage, staging_root
@@ -1269,3 +1269,43 @@ def logit_dependent_balance(spark, d):
 def logit_dependent_terms(spark, d):
     fitted = logit.fit_logit(_with_dependent(spark, d), DEPENDENT, "did_churn").coefficients()
     return fitted.select("term", F.col("estimate").isNotNull().alias("fitted"), F.col("p_value").between(0, 1).alias("tested"))
+
+
+FOURIER = {"size": 6, "gamma": 0.5, "seed": 4}
+
+
+@query
+def fourier_features(spark, d):
+    """Random Fourier features of two columns; directions and phases follow from hashes of the seed."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = b.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_quantity") / 50).alias("u"), F.col("l_discount").alias("v"))
+    joined = VectorAssembler(inputCols=["u", "v"], outputCol="x").transform(rows)
+    made = kernel.RandomFourier(inputCol="x", outputCol="z", inputs=2, **FOURIER).transform(joined)
+    z = vector_to_array("z")
+    return made.select("l_orderkey", "l_linenumber", *[tidy(z[j]).alias(f"z{j}") for j in range(FOURIER["size"])])
+
+
+@query
+def radial_support_vector_scores(spark, d):
+    train, test = _train_test(spark, d)
+    model = classifiers.fit_svc(train, features.LOGIT_REDUCED, "did_churn", 30, kernel="radial", components=64)
+    return classifiers.predict_classifier(model, test).select("subscription_id", "did_churn", "pred")
+
+
+@query
+def rectified_network_scores(spark, d):
+    train, test = _train_test(spark, d)
+    fitted = network.fit_network(train, features.NETWORK, "did_churn", "subscription_id", ZERO_BASED_LOGS, POSITIVE_LOGS, epochs=5, batches=4)
+    return fitted.predict(test).select("subscription_id", "did_churn", "pred")
+
+
+@query
+def later_classifier_metrics_agree(spark, d):
+    """Radial support vectors and the network with dropout on the test rows."""
+    parts = [
+        _agree(stage(run(spark, d).withColumn("model", F.lit(name))), "did_churn", threshold, "model")
+        for name, run, threshold in (("radial", radial_support_vector_scores, 0.0), ("rectified", rectified_network_scores, 0.3))
+    ]
+    return reduce(DataFrame.unionByName, parts)
