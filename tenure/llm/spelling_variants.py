@@ -2,10 +2,10 @@
 
 The multiset of a word's letters is a binary vector with one dimension for the i-th
 occurrence of a letter. One edit changes at most two dimensions, so of ``PARTS`` parts of the
-dimensions at least ``PARTS - 2`` agree. Every choice of that many parts is a signature;
-words that share one are joined on it, and a pair is judged only at the first signature
-that both have. Signatures of many words are joined on half a word as well: the edit leaves
-either the first or the second half of the shorter word as it is.
+dimensions at least ``PARTS - 2`` agree. Every choice of that many parts is a signature, and
+a pair is judged only at the first signature that both words have. Letters alone make large
+groups, so signatures are joined together with half a word: the edit leaves either the first
+or the last half of the shorter word as it is.
 """
 
 from __future__ import annotations
@@ -27,13 +27,13 @@ from tenure.session import stage
 SHORTEST, LEAST_COUNT, FORM_TIMES = 7, 2, 10
 #: A run loses a letter when its hash is divisible by this; 0 leaves all runs as they are.
 DROP_EVERY = 31
-PARTS, DISTANCE = 7, 2
-#: Words of a signature that are joined on it alone.
-BUCKET_WORDS = 128
+#: Parts of the dimensions, each hashed to so many bits; all parts of a word are one number.
+PARTS, PART_BITS, DISTANCE = 4, 16, 2
 #: Distinct words that a task holds before it sends their counts on.
 HELD_WORDS = 200_000
 
-SUBSETS = list(combinations(range(PARTS), PARTS - DISTANCE))
+PART = (1 << PART_BITS) - 1
+SUBSETS = [sum(1 << i for i in parts) for parts in combinations(range(PARTS), PARTS - DISTANCE)]
 
 # Letters of runs, A-Z lower-cased, as single bytes of Latin-1; all other bytes become a space.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 192 else 32 for c in range(256))
@@ -89,7 +89,7 @@ class _Dimensions(dict):
 
 
 def part_hashes(words: list[str]) -> np.ndarray:
-    """One hash for each part of the letter multiset of each word."""
+    """The hashes of all parts of the letter multiset of each word, in one number."""
     dimensions, out = _Dimensions(), []
     for word in words:
         parts, seen = [0] * PARTS, {}
@@ -98,70 +98,73 @@ def part_hashes(words: list[str]) -> np.ndarray:
             part, value = dimensions[letter, i]
             parts[part] += value
         out.append([p & 0xFFFFFFFFFFFFFFFF for p in parts])
-    hashed = np.array(out, np.uint64).reshape(len(words), PARTS)
-    return (mix(hashed) >> np.uint64(33)).astype(np.int32)
+    hashed = mix(np.array(out, np.uint64).reshape(len(words), PARTS)) >> np.uint64(64 - PART_BITS)
+    return (hashed << (np.arange(PARTS, dtype=np.uint64) * np.uint64(PART_BITS))).sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
-def _signatures(words: DataFrame) -> DataFrame:
-    """A row for each word and signature: ``sig``, its parts as bits of ``mask``, all parts of the word."""
-    names = ["sig", "mask", *(f"p{i}" for i in range(PARTS)), "word", "n"]
+def _parts(words: DataFrame) -> DataFrame:
+    """(word, n, parts, size) of each word."""
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            parts = part_hashes(batch.column(0).to_pylist())
-            columns = [pa.array(parts[:, i]) for i in range(PARTS)]
-            for k, subset in enumerate(SUBSETS):
-                h = np.full(len(parts), k + 1, np.uint64)
-                for i in subset:
-                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + parts[:, i].astype(np.uint64))
-                mask = np.full(len(parts), sum(1 << i for i in subset), np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(mask), *columns, *batch.columns], names=names)
+            found = batch.column(0).to_pylist()
+            columns = [*batch.columns, pa.array(part_hashes(found)), pa.array([len(w) for w in found], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "n", "parts", "size"])
 
-    schema = "sig long, mask int, " + ", ".join(f"p{i} int" for i in range(PARTS)) + ", word string, n long"
-    return words.select("word", "n").mapInArrow(sign, schema)
+    return words.select("word", "n").mapInArrow(hashed, "word string, n long, parts long, size int")
+
+
+def _bits(subset: int) -> int:
+    """The bits of the parts of a subset, as a signed number of 64 bits."""
+    bits = sum(PART << (PART_BITS * i) for i in range(PARTS) if subset >> i & 1)
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def _signatures(parts: DataFrame) -> DataFrame:
+    """A row for each word, signature and half; words with the same ``key`` and ``tag`` are candidates.
+
+    A word meets those of its length and of one more on one size of half, those of a length
+    less on another; of an odd length both sizes are the same.
+    """
+    size = F.col("size")
+    halves = F.array_distinct(F.array(F.floor(size / 2).cast("int"), F.floor((size - 1) / 2).cast("int")))
+    halved = parts.select("*", F.explode(halves).alias("half"))
+    pieces = F.array(F.substring("word", F.lit(1), F.col("half")), F.substring("word", -F.col("half"), F.col("half")))
+    sided = halved.select("*", F.posexplode(pieces).alias("side", "piece"))
+    subsets = F.explode(F.array(*[F.struct(F.lit(s).alias("subset"), F.lit(_bits(s)).alias("bits")) for s in SUBSETS])).alias("s")
+    signed = sided.select("*", subsets)
+    tag = F.col("s.subset") + F.lit(1 << PARTS) * F.col("side") + F.lit(2 << PARTS) * F.col("half")
+    return signed.select(
+        F.xxhash64(F.col("parts").bitwiseAND(F.col("s.bits")), tag, "piece").alias("key"), tag.alias("tag"), "parts", "size", "half", "side", "word", "n"
+    )
 
 
 def _first_shared() -> Column:
     """No part outside of the signature, but before its last one, agrees: earlier signatures are not shared."""
+    differ, subset = F.col("x.parts").bitwiseXOR(F.col("y.parts")), F.col("x.tag").bitwiseAND(F.lit((1 << PARTS) - 1))
     found = F.lit(True)
     for i in range(PARTS):
-        inside = F.col("x.mask").bitwiseAND(F.lit(1 << i)) != 0
-        behind = F.col("x.mask") < F.lit(1 << i)
-        found = found & (inside | behind | (F.col(f"x.p{i}") != F.col(f"y.p{i}")))
+        inside = subset.bitwiseAND(F.lit(1 << i)) != 0
+        behind = subset < F.lit(1 << i)
+        found = found & (inside | behind | (differ.bitwiseAND(F.lit(_bits(1 << i))) != 0))
     return found
 
 
-def _one_edit() -> Column:
-    sizes = F.abs(F.length("x.word") - F.length("y.word")) <= 1
-    return (F.col("x.word") < F.col("y.word")) & sizes & _first_shared() & (F.levenshtein("x.word", "y.word", 1) == 1)
-
-
-def _halves(rows: DataFrame) -> DataFrame:
-    """Each row under both halves, for a partner of its length or one more, and for one of a length less."""
-    size = F.length("word")
-    shorter = F.array_distinct(F.array(F.floor(size / 2).cast("int"), F.floor((size - 1) / 2).cast("int")))
-    sized = rows.withColumn("half", F.explode(shorter))
-    both = F.array(F.substring("word", F.lit(1), F.col("half")), F.substring("word", -F.col("half"), F.col("half")))
-    return sized.select("*", F.posexplode(both).alias("side", "piece"))
-
-
 def _pairs(words: DataFrame) -> DataFrame:
-    """(word, n, near, near_n), once for each pair of words one edit apart."""
-    signed = stage(_signatures(words))
-    many = stage(signed.groupBy("sig").count().where(F.col("count") > BUCKET_WORDS).select("sig"))
-    few = signed.join(many, "sig", "left_anti")
-    alone = few.alias("x").join(few.alias("y"), (F.col("x.sig") == F.col("y.sig")) & (F.col("x.mask") == F.col("y.mask")) & _one_edit())
-    halved = _halves(signed.join(many, "sig", "left_semi"))
-    x, y = halved.alias("x"), halved.alias("y")
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("sig", "mask", "half", "side", "piece")]
-    of_shorter = F.col("x.half") == F.floor(F.least(F.length("x.word"), F.length("y.word")) / 2)
+    """(word, n, near, near_n), once for each pair of words one edit apart.
+
+    The join compares the words of a key one by one and returns only pairs that are one edit
+    apart; adaptive execution splits a key of many words.
+    """
+    signed = _signatures(stage(_parts(words)))
+    x, y = signed.alias("x"), signed.alias("y")
+    alike = (F.col("x.key") == F.col("y.key")) & (F.col("x.tag") == F.col("y.tag"))
+    sizes = (F.abs(F.col("x.size") - F.col("y.size")) <= 1) & (F.col("x.half") == F.floor(F.least("x.size", "y.size") / 2))
     half = F.col("x.half")
     once = (F.col("x.side") == 0) | (F.substring("x.word", F.lit(1), half) != F.substring("y.word", F.lit(1), half))
-    apart = x.join(y, same[0] & same[1] & same[2] & same[3] & same[4] & of_shorter & once & _one_edit())
-    both = [j.select("x.word", "x.n", F.col("y.word").alias("near"), F.col("y.n").alias("near_n")) for j in (alone, apart)]
-    return both[0].union(both[1])
+    near = _first_shared() & once & (F.levenshtein("x.word", "y.word", 1) == 1)
+    met = x.join(y, alike & sizes & (F.col("x.word") < F.col("y.word")) & near)
+    return met.select("x.word", "x.n", F.col("y.word").alias("near"), F.col("y.n").alias("near_n"))
 
 
 def _roots(forms: DataFrame) -> DataFrame:

@@ -67,14 +67,20 @@ def corpus(seed):
     return [(i, " ".join(words[i::50])) for i in range(50)]
 
 
-@pytest.mark.parametrize("bucket", [128, 2, 0])
-def test_equals_all_pairs(frame, monkeypatch, bucket):
-    """Signatures alone, mixed, and all joined on halves of words."""
-    monkeypatch.setattr(spelling_variants, "BUCKET_WORDS", bucket)
-    docs = corpus(bucket)
+@pytest.mark.parametrize("seed", [1, 2])
+def test_equals_all_pairs(frame, seed):
+    docs = corpus(seed)
     assert result(spelling_variants.group_variants(frame(SCHEMA, docs))) == brute(docs)
 
 
+def test_every_pair_meets_once(frame):
+    """Repeated letters, edits in the middle, at the ends and of words of both parities."""
+    rng = random.Random(6)
+    words = {"".join(rng.choices("ab", k=rng.randint(7, 9))) for _ in range(400)} | {"aaaaaaa", "aaaaaaaa", "aaaaaaaaa"}
+    found = spelling_variants._pairs(frame("word string, n long", [(w, 5) for w in sorted(words)])).collect()
+    assert sorted((r[0], r[2]) for r in found) == sorted((a, b) for a in words for b in words if a < b and near(a, b))
+
+
 def test_chain_of_forms(frame):
     text = " ".join(["abcdefgh"] * 1000 + ["abcdefghi"] * 100 + ["abcdefghij"] * 10 + ["abcdefghijk"] * 2 + ["zbcdefgh"] * 100)
     docs = [(1, text)]
