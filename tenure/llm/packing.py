@@ -175,7 +175,9 @@ def pack(
     """
     spark, most = docs.sparkSession, max(capacities)
     passed = others(docs, *PRODUCED)
-    cut = stage(cut_texts(docs, text_col, most) if length is None else cut_lengths(docs, length, most))
+    pieces = stage(cut_texts(docs, text_col, most) if length is None else cut_lengths(docs, length, most))
+    # Pieces of length 0 have no bin, so they need no number.
+    cut, empty = pieces.where("coalesce(length, 0) > 0"), pieces.where("coalesce(length, 0) <= 0")
     runs = max(1, cut.count() // PIECES_PER_RUN)
     run = F.pmod(F.xxhash64(col(id_col), F.col("piece")), F.lit(runs))
     tally = cut.groupBy("length", run.alias("__run")).agg(F.count(F.lit(1)).alias("n"))
@@ -184,7 +186,10 @@ def pack(
     before = tally.withColumn("__before", F.sum("n").over(Window.partitionBy("length").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)))
     counts = {r["length"]: r["n"] for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = plan_bins(counts, capacities, cost)
-    placed = spark.sparkContext.broadcast({n: np.array([p[1:] for p in plan.placed if p[0] == n], np.int64) for n in {p[0] for p in plan.placed}})
+    by_length: dict[int, list] = {}
+    for n, *place_of in plan.placed:
+        by_length.setdefault(n, []).append(place_of)
+    placed = spark.sparkContext.broadcast({n: np.array(rows, np.int64) for n, rows in by_length.items()})
     bins = spark.sparkContext.broadcast(np.array([(b[0], b[3]) for b in plan.bins], np.int64).reshape(-1, 2))
     order = Window.partitionBy("length", "__run").orderBy(col(id_col), "piece")
     numbered = cut.withColumn("__run", run).withColumn("__ordinal", F.row_number().over(order) - 1)
@@ -208,7 +213,5 @@ def pack(
             columns = [pa.array(x, pa.int64(), mask=none) for x in (bin_, offset, capacity)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: width + 3], *columns], names=[*passed, *PRODUCED])
 
-    schema = cut.select(*[col(c) for c in passed], "piece", "start", "length").schema
-    for name in PRODUCED[3:]:
-        schema = schema.add(name, "long")
-    return rows.mapInArrow(place, schema)
+    unplaced = empty.select(*[col(c) for c in passed], "piece", "start", "length", *[F.lit(None).cast("long").alias(c) for c in PRODUCED[3:]])
+    return rows.mapInArrow(place, unplaced.schema).union(unplaced)
