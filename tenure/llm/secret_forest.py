@@ -1,9 +1,12 @@
 """Secret scan: candidates by form, and a random forest that removes false positives.
 
-Candidates are runs of token characters with a digit, and whatever is assigned to a name of
-credentials. The forest sees their length, character transitions, how far words of the corpus cover them, the path of the document and
-the words before and after. It learns from labelled findings; the dictionary of corpus
-words is counted over all documents.
+Candidates are long runs of token characters that are not plain words, whatever is assigned
+to a name of credentials, and passwords in urls. The forest sees their length, character
+transitions, how far words of the corpus cover them, the path of the document and the words
+before and after. It learns from labelled findings of several kinds. Each kind is known by
+some evidence (a name in front, a form); a finding is learnt twice, as it is and without
+that evidence, so that the forest has to find what else tells the kinds apart. The
+dictionary of corpus words is counted over all documents.
 """
 
 from __future__ import annotations
@@ -35,6 +38,10 @@ LIKELY = 0.5
 FINDING = "finding string, start long, before string, after string, path string, features array<double>"
 
 _CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
+# The password of a user in a url.
+_IN_URL = re.compile(rb"://[^\s/:@\"']{1,64}:([^\s/@\"']{1,256})@")
+#: Capital letters that make a run without digits a candidate.
+CAPITALS = 4
 _WORD = re.compile(rb"[A-Za-z]+")
 _HINTS = [b"token", b"key", b"secret", b"password", b"passwd", b"auth", b"credential", b"bearer", b"private", b"pwd", b"passphrase"]
 # A name that holds one of the hints, and what is assigned to it: quoted, or up to white space
@@ -97,7 +104,8 @@ def describe(value: bytes, before: bytes, after: bytes, path: bytes, dictionary:
 
 def candidate_spans(text: bytes) -> list[tuple[int, int]]:
     """Places of all candidates in order; a run may hold an assigned value or lie in one."""
-    runs = {m.span() for m in _CANDIDATE.finditer(text) if any(48 <= c <= 57 for c in m[0])}
+    runs = {m.span() for m in _CANDIDATE.finditer(text) if any(48 <= c <= 57 for c in m[0]) or sum(65 <= c <= 90 for c in m[0]) >= CAPITALS}
+    runs |= {m.span(1) for m in _IN_URL.finditer(text)}
     assigned = {(m.start(k), m.start(k) + len(m[k].rstrip(b",;") if k == "bare" else m[k])) for m in _ASSIGNED.finditer(text) for k in (m.lastgroup,)}
     return sorted(span for span in runs | assigned if span[0] < span[1])
 
@@ -154,22 +162,72 @@ def find_candidates(docs: DataFrame, dictionary: list[str], id_col: str = "doc_i
     return rows.mapInArrow(find, f"id {kind}, {FINDING}").withColumnRenamed("id", id_col)
 
 
+#: Kinds of labelled findings: name, label, condition, and the features that hold its evidence.
+_HASH_OF = r"(?i)(commit|revision|sha-?[0-9]*|md5|checksum|digest|etag)[\s:=\"'`#]*$"
+_NAMED = r"(?i)(token|key|secret|password|passwd|pwd|passphrase)[A-Za-z0-9_]*[\"'`]?\s*(=|:|=>|:=)\s*"
+_QUOTE = "[\"'`]"
+
+
+def _before(pattern: str) -> Column:
+    return F.col("before").rlike(pattern)
+
+
+KINDS = [
+    ("quoted after a name", 1, lambda: _before(_NAMED + _QUOTE + "$") & F.col("after").rlike("^" + _QUOTE), ["assigned", "quoted", "hint_distance", "closed"]),
+    ("bare after a name", 1, lambda: _before(_NAMED + "$") & (F.length("finding") >= 8), ["assigned", "hint_distance"]),
+    ("password in a url", 1, lambda: _before("://[^ /:@]+:$") & F.col("after").startswith("@"), []),
+    ("digits", 0, lambda: F.col("finding").rlike("^[0-9]+$"), ["digits_only", "digits", "lower"]),
+    ("uuid", 0, lambda: F.col("finding").rlike("(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), ["symbols", "length"]),
+    ("hash of something", 0, lambda: F.col("finding").rlike("(?i)^[0-9a-f]{32,128}$") & _before(_HASH_OF), ["doubt_distance", "assigned"]),
+    ("words in a row", 0, lambda: F.col("finding").rlike("^[a-z]+([-_/][a-z0-9]+){2,}$"), ["dictionary", "symbols"]),
+]
+#: Values of a feature that tell nothing.
+NEUTRAL = {"hint_distance": 9.0, "doubt_distance": 9.0}
+
+
+def evidence() -> Column:
+    """The first kind that a finding belongs to: its ``label`` and the numbers of the features that hold its evidence."""
+    kind = F.lit(None).cast("struct<label:int,hidden:array<int>>")
+    for _, label, condition, hidden in reversed(KINDS):
+        places = F.array(*[F.lit(FEATURES.index(f)) for f in hidden]).cast("array<int>")
+        kind = F.when(condition(), F.struct(F.lit(label).alias("label"), places.alias("hidden"))).otherwise(kind)
+    return kind
+
+
+def labelled_by_kind() -> Column:
+    """Labels from the documents themselves: 1 for values of credential names and passwords in urls, 0 for
+    numbers, uuids, hashes of something and words in a row; none for the rest."""
+    return evidence()["label"]
+
+
+def without_evidence(features: Column, hidden: Column) -> Column:
+    """The features with those in ``hidden`` set to values that tell nothing."""
+    neutral = F.array(*[F.lit(NEUTRAL.get(f, 0.0)) for f in FEATURES])
+    return F.transform(features, lambda x, i: F.when(F.array_contains(hidden, i), F.get(neutral, i)).otherwise(x))
+
+
 def fit_forest(findings: DataFrame, label: Column, id_col: str = "doc_id") -> RandomForestClassificationModel | None:
     """Forest on labelled findings (label 1: secret, 0: false positive, null: not labelled).
 
-    At most ``TRAINING_ROWS`` of each kind are expected to be used, chosen by a hash of
-    document and place. None without findings of both kinds.
+    A finding is learnt as it is and without the evidence of its kind (``evidence``). At most
+    ``TRAINING_ROWS`` of each label are expected to be used, chosen by a hash of document and
+    place. None without findings of both labels.
     """
-    known = findings.select(label.cast("double").alias("label"), "features", F.xxhash64(col(id_col), F.col("start")).alias("h")).where("label is not null")
+    hidden = F.coalesce(evidence()["hidden"], F.array().cast("array<int>"))
+    both = F.array(F.col("features"), without_evidence(F.col("features"), hidden))
+    known = findings.select(label.cast("double").alias("label"), F.explode(both).alias("features"), F.xxhash64(col(id_col), F.col("start")).alias("h"))
+    known = stage(known.where("label is not null"))
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if not sizes.get(0.0) or not sizes.get(1.0):
         return None
     wanted = F.lit(False)
     for kind in (0.0, 1.0):
-        share = min(1.0, TRAINING_ROWS / sizes[kind])
+        share = min(1.0, 2 * TRAINING_ROWS / sizes[kind])
         wanted = wanted | ((F.col("label") == kind) & (F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000)))
-    rows = known.where(wanted).select("label", array_to_vector("features").alias("vector"))
-    return RandomForestClassifier(labelCol="label", featuresCol="vector", numTrees=TREES, maxDepth=TREE_DEPTH, seed=SEED).fit(rows)
+    # Both labels weigh the same, however many findings each has.
+    weight = F.when(F.col("label") == 1, 1 / sizes[1.0]).otherwise(1 / sizes[0.0]) * (sizes[0.0] + sizes[1.0]) / 2
+    rows = known.where(wanted).select("label", array_to_vector("features").alias("vector"), weight.alias("weight"))
+    return RandomForestClassifier(labelCol="label", featuresCol="vector", weightCol="weight", numTrees=TREES, maxDepth=TREE_DEPTH, seed=SEED).fit(rows)
 
 
 def judge(findings: DataFrame, forest: RandomForestClassificationModel | None, likely: float = LIKELY) -> DataFrame:
@@ -185,21 +243,15 @@ def judge(findings: DataFrame, forest: RandomForestClassificationModel | None, l
     return scored.withColumn("is_secret", F.col("score") >= likely)
 
 
-def assigned_by_name() -> Column:
-    """Labels from the documents themselves: 1 for a quoted value assigned to a name of credentials, 0 for other digit strings."""
-    named = F.col("before").rlike("(?i)(token|key|secret|password)[A-Za-z0-9_]*\\s*[=:]\\s*[\"'`]$") & F.col("after").rlike("^[\"'`]")
-    return F.when(named, 1).when(F.col("finding").rlike("^[0-9]+$"), 0)
-
-
 def scan(docs: DataFrame, labelled: Column | None = None, training: Column | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """Findings of ``docs`` with ``score`` and ``is_secret``; see the functions above for edge cases.
 
-    ``labelled`` is an expression over the findings (default: ``assigned_by_name``),
+    ``labelled`` is an expression over the findings (default: ``labelled_by_kind``),
     ``training`` a condition on the documents whose labels may be learnt. Only the named
     columns of ``docs`` are read; an empty table gives an empty table.
     """
     words = corpus_words(docs, text_col)
     findings = stage(find_candidates(docs, words, id_col, text_col, path_col))
-    label = assigned_by_name() if labelled is None else labelled
+    label = labelled_by_kind() if labelled is None else labelled
     forest = fit_forest(findings if training is None else findings.where(training), label, id_col)
     return judge(findings, forest)
