@@ -740,6 +740,17 @@ def csv_roundtrip(spark, d):
     return _tidied(files.read_csv(spark, path, rows.schema))
 
 
+@query
+def csv_by_uri(spark, d):
+    """Written to a store named by its URI, in parts; Hadoop's file systems decide where that is."""
+    rows = b.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice")
+    root = staging_root(spark)
+    root = root if ":/" in root else f"file://{os.path.abspath(root)}"
+    path = f"{root}/export-{uuid.uuid4().hex}"
+    files.write_csv(rows.repartition(3), path)
+    return _tidied(files.read_csv(spark, path, rows.schema))
+
+
 @query
 def clustered_table(spark, d):
     path = os.path.join(staging_root(spark), f"table-{uuid.uuid4().hex}")
