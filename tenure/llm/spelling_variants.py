@@ -134,9 +134,7 @@ def _signatures(parts: DataFrame) -> DataFrame:
     subsets = F.explode(F.array(*[F.struct(F.lit(s).alias("subset"), F.lit(_bits(s)).alias("bits")) for s in SUBSETS])).alias("s")
     signed = sided.select("*", subsets)
     tag = F.col("s.subset") + F.lit(1 << PARTS) * F.col("side") + F.lit(2 << PARTS) * F.col("half")
-    return signed.select(
-        F.xxhash64(F.col("parts").bitwiseAND(F.col("s.bits")), tag, "piece").alias("key"), tag.alias("tag"), "parts", "size", "half", "side", "word", "n"
-    )
+    return signed.select(F.xxhash64(F.col("parts").bitwiseAND(F.col("s.bits")), tag, "piece").alias("key"), tag.alias("tag"), "parts", "size", "word", "n")
 
 
 def _first_shared() -> Column:
@@ -154,14 +152,15 @@ def _pairs(words: DataFrame) -> DataFrame:
     """(word, n, near, near_n), once for each pair of words one edit apart.
 
     The join compares the words of a key one by one and returns only pairs that are one edit
-    apart; adaptive execution splits a key of many words.
+    apart; adaptive execution splits a key of many words. Both sides read the same columns,
+    so that they share one shuffle.
     """
     signed = _signatures(stage(_parts(words)))
     x, y = signed.alias("x"), signed.alias("y")
     alike = (F.col("x.key") == F.col("y.key")) & (F.col("x.tag") == F.col("y.tag"))
-    sizes = (F.abs(F.col("x.size") - F.col("y.size")) <= 1) & (F.col("x.half") == F.floor(F.least("x.size", "y.size") / 2))
-    half = F.col("x.half")
-    once = (F.col("x.side") == 0) | (F.substring("x.word", F.lit(1), half) != F.substring("y.word", F.lit(1), half))
+    half, first_half = F.shiftright("x.tag", PARTS + 1), F.col("x.tag").bitwiseAND(F.lit(1 << PARTS)) == 0
+    sizes = (F.abs(F.col("x.size") - F.col("y.size")) <= 1) & (half == F.floor(F.least("x.size", "y.size") / 2))
+    once = first_half | (F.substring("x.word", F.lit(1), half) != F.substring("y.word", F.lit(1), half))
     near = _first_shared() & once & (F.levenshtein("x.word", "y.word", 1) == 1)
     met = x.join(y, alike & sizes & (F.col("x.word") < F.col("y.word")) & near)
     return met.select("x.word", "x.n", F.col("y.word").alias("near"), F.col("y.n").alias("near_n"))
