@@ -133,3 +133,20 @@ def test_rows_that_repeat_an_id_are_judged_by_their_own_text(frame):
     rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "z"])), (3, " ".join([*b, "z"])), (3, " ".join(b)), (4, "other words of a text"), (4, " ".join(a))]
     got = sorted(tuple(r) for r in metric_join.link_documents(frame("doc_id long, text string", rows)).collect())
     assert got == sorted([(1, 57, 1), (1, 57, 1), (2, 58, 1), (3, 58, 1), (3, 57, 1), (4, 2, 4), (4, 57, 1)])
+
+
+def test_extra_columns_with_the_names_of_inner_ones(frame):
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = [(i, f"{base} end{i}" if i < 5 else f"text {i} of its own words here", i, "n", 2, None, "x", "y") for i in range(10)]
+    df = frame("doc_id long, text string, id int, name string, n int, digest binary, component string, __x string", rows)
+    assert sorted(r["component_id"] for r in metric_join.link_documents(df).collect()) == [0] * 5 + list(range(5, 10))
+    kept = metric_join.drop_near_copies(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, *range(5, 10)]
+
+
+def test_many_short_texts_with_a_common_start(frame):
+    """Two thousand texts that share a shingle and are linked with nothing."""
+    rows = [(i, f"one two three four {i} a{i} b{i} c{i} d{i}") for i in range(2000)] + [(5000, "one two three four 7 a7 b7 c7 d7 x"), (5001, "one two three four 7 a7 b7 c7 d7")]
+    got = {r[0]: r[2] for r in metric_join.link_documents(frame("doc_id long, text string", rows)).collect()}
+    assert got[5000] == got[5001] == 7
+    assert all(got[i] == i for i in range(2000))

@@ -101,3 +101,17 @@ def test_words_in_counts_like_the_cut(frame):
 
 def test_empty_table(frame):
     assert packing.pack(frame("doc_id long, text string", [])).count() == 0
+
+
+def test_ties_and_columns_with_produced_names(frame, monkeypatch):
+    """Rows that repeat an id and a length are placed apart; columns named like produced ones are replaced."""
+    monkeypatch.setattr(packing, "PIECES_PER_RUN", 7)
+    rows = [(1, 5, "a", 1.0)] * 40 + [(None, 5, "b", 2.0)] * 10 + [(2, 0, "c", 3.0), (2, None, "d", 4.0)]
+    df = frame("doc_id long, size long, Bin_Id string, LENGTH double", rows)
+    out = packing.pack(df, length=F.col("size"), capacities=[16, 64])
+    assert out.columns == ["doc_id", "size", *packing.PRODUCED]
+    found = out.collect()
+    checked(found, [16, 64])
+    assert len(found) == len(rows)
+    assert len({(r["bin_id"], r["bin_offset"]) for r in found if r["length"]}) == 50
+    assert [r["bin_id"] for r in found if not r["length"]] == [None, None]
