@@ -8,7 +8,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +33,20 @@ def query(run: Query) -> Query:
     return run
 
 
+def once(run: Callable) -> Callable:
+    """What ``run`` returns for a session and folder, kept: a model is fitted once for all queries about it."""
+    kept: dict[tuple[str, str], object] = {}
+
+    @wraps(run)
+    def found(spark: SparkSession, d: str) -> object:
+        key = (spark.sparkContext.applicationId, d)
+        if key not in kept:
+            kept[key] = run(spark, d)
+        return kept[key]
+
+    return found
+
+
 def _tidied(df: DataFrame) -> DataFrame:
     return df.select(
         *[
@@ -876,6 +890,7 @@ def logit_scores(spark, d):
     return logit.predict_logit(model.pipeline, test).select("subscription_id", "did_churn", "pred")
 
 
+@once
 def _out_of_time_scores(spark, d):
     earlier = stage(_modelling(spark, d, as_of=b.T_EARLIER, churn_until="1998-07-01", created_until="1997-11-01"))
     tagged = sampling.holdout(earlier, _modelling(spark, d), "subscription_id", seed=3)
@@ -908,6 +923,7 @@ def out_of_time_rows(spark, d):
     return _rows_and_positives(_out_of_time(spark, d), "part")
 
 
+@once
 def _scoring_data(spark, d):
     src = b.sources(spark, d)
     return stage(
@@ -917,6 +933,7 @@ def _scoring_data(spark, d):
     )
 
 
+@once
 def _scoring_job(spark, d):
     """The job twice over the same batch: fitted and saved, then loaded."""
     root = f"{staging_root(spark)}/job-{uuid.uuid4().hex}"
@@ -963,6 +980,7 @@ def scored_subscriptions(spark, d):
 
 
 @query
+@once
 def forest_scores(spark, d):
     train, test = _train_test(spark, d)
     model = classifiers.fit_forest(train, features.FOREST_FULL, "did_churn")
@@ -991,6 +1009,7 @@ def support_vector_scored_rows(spark, d):
 
 
 @query
+@once
 def forest_importance(spark, d):
     train, _ = _train_test(spark, d)
     model = classifiers.fit_forest(train, features.FOREST_NO_PROFILES, "did_churn")
@@ -1046,6 +1065,7 @@ def forest_variants_auc(spark, d):
     return ranking.auc(every, "pred", "did_churn", ["model"])
 
 
+@once
 def _folds(spark, d):
     """Five stratified folds of the one-hot flat file."""
     matrix = stage(_flat_matrix(_labelled_file(spark, d)))
@@ -1086,6 +1106,7 @@ def recipe_matrix(spark, d):
 
 
 @query
+@once
 def network_scores(spark, d):
     train, test = _train_test(spark, d)
     model = classifiers.fit_mlp(train, features.NETWORK, "did_churn", ZERO_BASED_LOGS, POSITIVE_LOGS)
@@ -1093,6 +1114,7 @@ def network_scores(spark, d):
 
 
 @query
+@once
 def support_vector_scores(spark, d):
     train, test = _train_test(spark, d)
     model = classifiers.fit_svc(train, features.LOGIT_REDUCED, "did_churn")
@@ -1143,6 +1165,7 @@ def flat_file_matrix(spark, d):
 
 
 @query
+@once
 def export_validation(spark, d):
     """Support vectors fitted on the earlier export, ranked on the later one.
 
@@ -1217,6 +1240,7 @@ def out_of_time_metrics_agree(spark, d):
     return _agree(_out_of_time_scores(spark, d), "did_churn", 0.15, "part")
 
 
+@once
 def _bagged(spark, d):
     train, _ = _train_test(spark, d)
     return bagging.fit_bagged(train, features.FOREST_RECENCY, "did_churn", "subscription_id", trees=BAGGED_TREES, depth=6)
@@ -1299,6 +1323,7 @@ def fourier_features(spark, d):
 
 
 @query
+@once
 def radial_support_vector_scores(spark, d):
     train, test = _train_test(spark, d)
     model = classifiers.fit_svc(train, features.LOGIT_REDUCED, "did_churn", 30, kernel="radial", components=64)
@@ -1306,6 +1331,7 @@ def radial_support_vector_scores(spark, d):
 
 
 @query
+@once
 def rectified_network_scores(spark, d):
     train, test = _train_test(spark, d)
     fitted = network.fit_network(train, features.NETWORK, "did_churn", "subscription_id", ZERO_BASED_LOGS, POSITIVE_LOGS, epochs=5, batches=4)
