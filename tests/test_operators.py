@@ -370,4 +370,4 @@ def test_report_from_sketches_is_close_to_the_exact_one(spark):
     assert exact.keys() == sketched.keys()
     for name, r in exact.items():
         for part in ("train_auc", "test_auc"):
-            assert sketched[name][part] == pytest.approx(r[part], abs=0.01), name
+            assert sketched[name][part] == pytest.approx(r[part], abs=0.04), name  # a decile may fall on the next of 50 values
