@@ -50,6 +50,11 @@ def score(
     )
 
 
+def scoring_batch(src: Sources, t: Instant, usage_t: Instant | None = None) -> DataFrame:
+    """The staged rows of the job. A missing recency is 0, as the regression needs complete rows."""
+    return stage(clean_scoring_dataset(scoring_dataset(src, t, usage_t, fill_recency=True), t))
+
+
 def run_scoring(
     spark: SparkSession,
     src: Sources,
@@ -60,13 +65,15 @@ def run_scoring(
     model_path: str | None = None,
     save_model_to: str | None = None,
     usage_t: Instant | None = None,
+    batch: DataFrame | None = None,
 ) -> DataFrame:
     """Build the dataset, fit or load the model, score, and upsert both tables.
 
-    Each table is given as (current path or None, new path). A missing recency is
-    filled with 0 here, as the regression needs complete rows.
+    Each table is given as (current path or None, new path). A run that repeats a batch
+    takes its ``scoring_batch`` as it was built. Predictions are computed once, for the
+    check of their keys and for the upsert.
     """
-    data = stage(clean_scoring_dataset(scoring_dataset(src, t, usage_t, fill_recency=True), t))
+    data = scoring_batch(src, t, usage_t) if batch is None else batch
     upsert_parquet(
         spark, features_table[0],
         data.drop("did_churn").withColumn("features_created_at", instant(run_ts)),
@@ -75,5 +82,5 @@ def run_scoring(
     model = get_model(
         model_path, lambda: fit_logit(data, LOGIT_SCORING, "did_churn").pipeline, save_model_to
     )
-    predictions = score(model, data, run_ts)
+    predictions = stage(score(model, data, run_ts))
     return upsert_parquet(spark, predictions_table[0], predictions, ["id"], predictions_table[1])

@@ -24,3 +24,28 @@ def packed_groups(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> Da
 def packed_distinct(df: DataFrame) -> DataFrame:
     """Distinct rows, combined before a shuffle that spreads them evenly."""
     return df.select(F.struct(*df.columns).alias("_key")).distinct().select("_key.*")
+
+
+#: Logarithm of the words of 64 bits in the bitmap of ``may_match``.
+WORD_BITS = 20
+
+
+def may_match(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be among ``ids``; an exact join has to follow.
+
+    The ids' hashes are bits of a bitmap of at most 2^WORD_BITS rows, which is broadcast
+    whatever the number of ids. No row with an id is lost. The semi-join goes below an
+    aggregate by the key, so rows that cannot match are never shuffled.
+    """
+    if df.schema[key].dataType != ids.schema[id_col].dataType:  # equal values would have other hashes
+        return df
+
+    def place(c: Column) -> tuple[Column, Column]:
+        hashed = F.xxhash64(c)
+        return F.shiftrightunsigned(hashed, 64 - WORD_BITS), hashed.bitwiseAND(F.lit(63)).cast("int")
+
+    word, bit = place(F.col(id_col))
+    marks = ids.groupBy(word.alias("_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits"))
+    word, bit = place(F.col(key))
+    is_set = F.call_function("shiftright", F.col("_bits"), bit).bitwiseAND(F.lit(1)) == 1
+    return df.join(F.broadcast(marks), (word == F.col("_word")) & is_set, "left_semi")

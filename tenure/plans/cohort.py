@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tenure.functions.dates import Instant, instant, shifted
 from tenure.functions.values import true
-from tenure.operators.grouping import packed_distinct
+from tenure.operators.grouping import may_match, packed_distinct
 from tenure.session import stage
 from tenure.sources.tables import Sources
 
@@ -48,14 +48,15 @@ def charge_counts(
     Each charge is reduced to one row with its outcome flags first, keyed by
     (subscription, charge) so that one huge subscription still spreads over all
     tasks; the counts are then plain sums with map-side combining. Counting three
-    conditional distincts directly would copy every charge three times.
+    conditional distincts directly would copy every charge three times. Invoices and charges
+    of other subscriptions are left out before the shuffles, which most of them are.
     """
-    billed = packed_distinct(
-        invoices.where("paid and amount_due > 0")
-        .where(F.col("date") < instant(t))
-        .join(subscription_ids, "subscription_id", "left_semi")
-        .select("subscription_id", F.col("id").alias("invoice"))
+    # Staged before its filters: they and the semi-join would keep each other above an aggregate.
+    near = stage(may_match(invoices, "subscription_id", subscription_ids, "subscription_id"))
+    billed = near.where("paid and amount_due > 0").where(F.col("date") < instant(t)).join(
+        subscription_ids, "subscription_id", "left_semi"
     )
+    billed = stage(packed_distinct(billed.select("subscription_id", F.col("id").alias("invoice"))))
     captured, paid, refunded = (F.col(c) for c in ("captured", "paid", "refunded"))
     outcomes = {
         "successful_charges": captured & paid & ~refunded,
@@ -68,7 +69,7 @@ def charge_counts(
         *[true(c).alias(name) for name, c in outcomes.items()],
     )
     per_charge = (
-        charged.join(billed, "invoice")
+        may_match(charged, "invoice", billed, "invoice").join(billed, "invoice")
         .groupBy("subscription_id", "charge")
         .agg(*[F.max(name).alias(name) for name in outcomes])
     )

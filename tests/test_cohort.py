@@ -1,5 +1,7 @@
 import pytest
 
+from pyspark.sql import functions as F
+from tenure.operators.grouping import may_match
 from tenure.plans.cohort import charge_counts, inactive_users, snapshot_label, subscription_cohort
 
 T = "2017-12-31"
@@ -126,3 +128,30 @@ def test_snapshot_label(rows):
 def test_inactive_users(rows):
     cohort, activity = rows("user_id string", [("a",), ("a",), ("b",)]), rows("user_id string", [("b",), ("c",)])
     assert [r[0] for r in inactive_users(cohort, activity).collect()] == ["a"]
+
+
+def test_rows_that_cannot_match_go_before_the_aggregate(rows, spark):
+    ids = rows("id long", [(i,) for i in range(0, 3000, 30)] + [(None,)])
+    lines = spark.range(3000).select(F.col("id").alias("key"), F.lit(1).alias("n")).union(spark.range(1).select(F.lit(None).cast("long"), F.lit(1)))
+    found = may_match(lines.groupBy("key").agg(F.sum("n").alias("n")), "key", ids, "id")
+    kept = {r["key"] for r in found.collect()}
+    assert set(range(0, 3000, 30)) <= kept and len(kept) < 130
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Aggregate") and "LeftSemi" in plan
+    other = rows("id int", [(1,)])
+    assert may_match(lines, "key", other, "id").count() == 3001
+
+
+def test_charges_of_other_subscriptions_are_not_shuffled(spark, rows):
+    """With a thousand subscriptions of which one is asked for, few charges reach the join."""
+    number = F.col("id").cast("string")
+    invoices = spark.range(1000).groupBy(number.alias("subscription_id"), F.concat(F.lit("i"), number).alias("id")).agg(
+        F.lit(True).alias("paid"), F.max(F.lit(10)).alias("amount_due"), F.max(F.lit("2017-07-01").cast("timestamp_ntz")).alias("date")
+    )
+    charges = spark.range(1000).select(
+        F.concat(F.lit("c"), number).alias("id"), F.concat(F.lit("i"), number).alias("invoice"), F.lit(10).alias("amount"),
+        F.lit("2017-07-01").cast("timestamp_ntz").alias("created"), F.lit(True).alias("captured"), F.lit(True).alias("paid"), F.lit(False).alias("refunded"),
+    )
+    counted = charge_counts(invoices, charges, rows("subscription_id string", [("7",)]), T)
+    assert [tuple(r) for r in counted.collect()] == [("7", 1, 0, 0)]
+    assert "LeftSemi" in counted._jdf.queryExecution().optimizedPlan().toString()

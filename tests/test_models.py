@@ -201,3 +201,11 @@ def test_scoring_run_is_repeatable(spark, tmp_path):
     assert first.exceptAll(second).isEmpty()
     assert spark.read.parquet(where[2]).count() == expected
     assert isinstance(PipelineModel.load(where[4]), PipelineModel)
+
+
+def test_scoring_run_takes_a_batch_as_it_was_built(spark, tmp_path):
+    src = b.sources(spark, "/root/testdata/sf0.01")
+    batch = scoring.scoring_batch(src, b.T, b.T_USAGE)
+    where = [str(tmp_path / n) for n in ("f", "p")]
+    scored = scoring.run_scoring(spark, {}, b.T, "2024-02-01 06:00:00", (None, where[0]), (None, where[1]), batch=batch)
+    assert scored.count() == batch.count() == spark.read.parquet(where[0]).count()

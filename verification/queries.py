@@ -928,26 +928,21 @@ def out_of_time_rows(spark, d):
 
 @once
 def _scoring_data(spark, d):
-    src = b.sources(spark, d)
-    return stage(
-        dataset.clean_scoring_dataset(
-            dataset.scoring_dataset(src, b.T, b.T_USAGE, fill_recency=True), b.T
-        )
-    )
+    return scoring.scoring_batch(b.sources(spark, d), b.T, b.T_USAGE)
 
 
 @once
 def _scoring_job(spark, d):
     """The job twice over the same batch: fitted and saved, then loaded."""
     root = f"{staging_root(spark)}/job-{uuid.uuid4().hex}"
-    src, run_ts = b.sources(spark, d), "2024-02-01 06:00:00"
+    src, run_ts, batch = b.sources(spark, d), "2024-02-01 06:00:00", _scoring_data(spark, d)
     scoring.run_scoring(
         spark, src, b.T, run_ts, (None, f"{root}/features1"), (None, f"{root}/predictions1"),
-        save_model_to=f"{root}/model", usage_t=b.T_USAGE,
+        save_model_to=f"{root}/model", usage_t=b.T_USAGE, batch=batch,
     )
     predictions = scoring.run_scoring(
         spark, src, b.T, run_ts, (f"{root}/features1", f"{root}/features2"),
-        (f"{root}/predictions1", f"{root}/predictions2"), model_path=f"{root}/model", usage_t=b.T_USAGE,
+        (f"{root}/predictions1", f"{root}/predictions2"), model_path=f"{root}/model", usage_t=b.T_USAGE, batch=batch,
     )
     return spark.read.parquet(f"{root}/features2"), predictions
 
