@@ -17,6 +17,7 @@ inequality over distances already known. All links are verified on whole texts.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +32,11 @@ from tenure.llm.components import components
 from tenure.session import stage
 
 WORDS, PERCENT = 4, 85
-#: Share and number of documents whose shingles are counted for the order of pivots. The
-#: order only steers work: any order gives the same links.
+#: The shingles of every document are counted for the order of pivots. Documents that make one
+#: step of a count, and rows beyond which a step grows, so that a count fits a byte. The order
+#: only steers work: any order gives the same links.
 SAMPLE_SHARE, SAMPLE_ROWS = 8, 4_000_000
-#: Bits of the table of counts (a byte each), and counts that do not tell from chance.
+#: Bits of the table of counts (a byte each), and steps that do not tell from chance.
 LEAST_BITS, MOST_BITS, CHANCE = 20, 26, 6
 SLICE_BITS = 16
 SHINGLES_EXPECTED = 512
@@ -79,9 +81,12 @@ def _bodies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _count_table(bodies: DataFrame, size: int, rows: int) -> tuple[np.ndarray, int]:
-    """Counts of shingles over the sampled documents, hashed into a bounded table of bytes."""
-    share = max(SAMPLE_SHARE, -(-rows // SAMPLE_ROWS))
-    bits = int(np.clip(np.ceil(np.log2(max(1, rows // share) * SHINGLES_EXPECTED)), LEAST_BITS, MOST_BITS))
+    """Counts of shingles over all documents in steps of several, hashed into a bounded table of bytes.
+
+    A task sends its slices of the table compressed, as most cells are empty.
+    """
+    step = max(SAMPLE_SHARE, -(-rows // SAMPLE_ROWS))
+    bits = int(np.clip(np.ceil(np.log2(max(1, rows // step) * SHINGLES_EXPECTED)), LEAST_BITS, MOST_BITS))
     shift, width = np.uint64(56 - bits), 2**SLICE_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,32 +96,28 @@ def _count_table(bodies: DataFrame, size: int, rows: int) -> tuple[np.ndarray, i
                 at = (shingles(text, hashes, size) >> shift).astype(np.int64)
                 table[at] = np.minimum(table[at], 60_000) + 1
         for number, part in enumerate(table.reshape(-1, width)):
-            met = np.flatnonzero(part)
-            if len(met):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number], pa.int32()), pa.array([met.astype(np.uint16).tobytes()], pa.binary()), pa.array([part[met].tobytes()], pa.binary())],
-                    names=["slice", "cell", "n"],
-                )
+            if part.any():
+                packed = zlib.compress(part.tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([packed], pa.binary())], names=["slice", "n"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, np.zeros(width, np.int64)
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.minimum(total, 255).astype(np.uint8).tobytes()], pa.binary())], names=["slice", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.minimum(total // step, 255).astype(np.uint8).tobytes()], pa.binary())], names=["slice", "n"])
 
         for batch in batches:
-            for number, cells, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for number, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if number != now:
                     if now is not None:
                         yield done()
                     now = number
                     total[:] = 0
-                total[np.frombuffer(cells, np.uint16)] += np.frombuffer(n, np.uint16)
+                total += np.frombuffer(zlib.decompress(packed), np.uint16)
         if now is not None:
             yield done()
 
-    sampled = bodies.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).select("body")
-    parts = sampled.mapInArrow(count, "slice int, cell binary, n binary")
+    parts = bodies.select("body").mapInArrow(count, "slice int, n binary")
     table = np.zeros(2**bits, np.uint8)
     for r in parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(merge, "slice int, n binary").collect():
         table[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["n"], np.uint8)

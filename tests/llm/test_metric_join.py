@@ -150,3 +150,14 @@ def test_many_short_texts_with_a_common_start(frame):
     got = {r[0]: r[2] for r in metric_join.link_documents(frame("doc_id long, text string", rows)).collect()}
     assert got[5000] == got[5001] == 7
     assert all(got[i] == i for i in range(2000))
+
+
+def test_every_document_is_counted(frame, monkeypatch):
+    """The count of a shingle follows from all documents that hold it, whichever these are."""
+    monkeypatch.setattr(metric_join, "CHANCE", 0)
+    for first in (0, 16):
+        rows = [(i, "one two three four" if first <= i < first + 24 else f"a{i} b c d") for i in range(40)]
+        bodies = metric_join._bodies(frame("doc_id long, text string", rows), "doc_id", "text")
+        table, bits = metric_join._count_table(bodies, 4, 40)
+        cell = int(metric_join.shingles(b"one two three four", metric_join.WordHashes())[0] >> np.uint64(56 - bits))
+        assert table[cell] == min(24, 40 - first) // metric_join.SAMPLE_SHARE
