@@ -28,6 +28,15 @@ def training_rows(df: DataFrame, columns: Sequence[str], label: str) -> DataFram
     return stage(df.select(*wanted).dropna().withColumn(label, F.col(label).cast("double")))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Staged rows, dealt evenly over the cores if they lie in fewer partitions than there are cores.
+
+    A fit keeps the partitions of its rows through all its passes.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else stage(rows.repartition(cores))
+
+
 def _is_text(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.StringType)
 
