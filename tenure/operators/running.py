@@ -91,8 +91,9 @@ def running_totals(
     added = [T.StructField(f"{s}_before", T.LongType() if w else T.DoubleType()) for s, w in zip(sums, integral, strict=True)]
     local = stage(sliced.mapInArrow(_running(sums, integral, "_group"), T.StructType([*sliced.schema.fields, *added])))
     if slices == 1:
-        totals = local.groupBy(*by).agg(*[F.sum(s).alias(f"{s}_total") for s in sums])
-        offsets = totals.select(*renamed(by), F.lit(0).alias("_slice_id"), *[F.lit(0).alias(f"_{s}") for s in sums], *[f"{s}_total" for s in sums])
+        # The slice number comes from the rows: a literal would leave a join without a key.
+        totals = local.groupBy(*by, "_slice").agg(*[F.sum(s).alias(f"{s}_total") for s in sums])
+        offsets = totals.select(*renamed(by), F.col("_slice").alias("_slice_id"), *[F.lit(0).alias(f"_{s}") for s in sums], *[f"{s}_total" for s in sums])
     else:
         earlier_slices = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
         offsets = local.groupBy(*by, "_slice").agg(*[F.sum(s).alias(s) for s in sums]).select(

@@ -371,3 +371,11 @@ def test_report_from_sketches_is_close_to_the_exact_one(spark):
     for name, r in exact.items():
         for part in ("train_auc", "test_auc"):
             assert sketched[name][part] == pytest.approx(r[part], abs=0.04), name  # a decile may fall on the next of 50 values
+
+
+def test_one_slice_is_joined_by_its_number(rows):
+    """Few rows make one slice; its totals still meet the rows by a key, not row by row."""
+    found = running_totals(rows("x long, n long", [(i, i) for i in range(5)]), "x", ["n"])
+    assert [tuple(r) for r in found.orderBy("x").collect()] == [(0, 0, 0, 10), (1, 1, 0, 10), (2, 2, 1, 10), (3, 3, 3, 10), (4, 4, 6, 10)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
