@@ -25,7 +25,10 @@ def training_rows(df: DataFrame, columns: Sequence[str], label: str) -> DataFram
     cancellation date and must not be lost for it.
     """
     wanted = [c for c in dict.fromkeys([*columns, label]) if c in df.columns]
-    return stage(df.select(*wanted).dropna().withColumn(label, F.col(label).cast("double")))
+    # Columns that are known to be filled are not asked again; a wide check would compute every one of them twice.
+    rows = df.select(*wanted)
+    asked = [f.name for f in rows.schema if f.nullable or isinstance(f.dataType, T.FractionalType)]
+    return stage((rows.dropna(subset=asked) if asked else rows).withColumn(label, F.col(label).cast("double")))
 
 
 def spread(rows: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from tenure.models import classifiers, forest
-from tenure.models.design import FEATURES, fit_design
+from tenure.models import classifiers, design, forest
+from tenure.models.design import FEATURES, fit_design, training_rows
 from tenure.models.forest import Tree, code_rows, fit_fold, score_fold
 from tenure.operators import ranking
 from tenure.operators.sampling import stratified_folds
@@ -82,6 +82,14 @@ def test_cross_validation_does_not_depend_on_partitions(rows):
     assert found[0] == found[1]
 
 
+def test_only_keys_and_labels_are_dealt_to_folds(rows, monkeypatch):
+    columns, run = [], classifiers.stratified_folds
+    monkeypatch.setattr(classifiers, "stratified_folds", lambda df, *rest: columns.append(df.columns) or run(df, *rest))
+    folds = classifiers.cross_validate(rows, INPUTS, "y", "id", k=2, trees=1, depth=1)
+    assert columns == [["id", "y"]]
+    assert folds.agg(F.sum("n")).first()[0] == N
+
+
 def test_blocks_hold_every_row_once(dealt, monkeypatch):
     monkeypatch.setattr(forest, "BLOCK_BYTES", 4000)
     monkeypatch.setattr(forest, "TASK_BYTES", 9000)
@@ -166,3 +174,22 @@ def test_forest_ranks_like_the_one_of_spark(rows):
     model = classifiers.fit_forest(rows.where("id % 3 <> 0"), INPUTS, "y", trees=30, depth=5)
     plain = ranking.auc(classifiers.predict_classifier(model, rows.where("id % 3 = 0")), "pred", "y").first()["auc"]
     assert folds == pytest.approx(plain, abs=0.03) and folds > 0.7
+
+
+def test_training_rows_miss_nothing(spark):
+    df = spark.range(4).select(
+        "id", F.when(F.col("id") == 1, F.lit(float("nan"))).otherwise(F.lit(1.0)).alias("x"),
+        F.when(F.col("id") != 2, F.lit(3)).alias("n"), (F.col("id") > 1).alias("y"),
+    )
+    assert not df.schema["x"].nullable and not df.schema["y"].nullable
+    assert sorted(r["id"] for r in training_rows(df, ["id", "x", "n"], "y").collect()) == [0, 3]
+    assert training_rows(df, ["id"], "y").count() == 4
+
+
+def test_filled_columns_are_not_asked_again(spark, monkeypatch):
+    monkeypatch.setattr(design, "stage", lambda df: df)
+    df = spark.range(4).select("id", F.coalesce(F.nullif("id", F.lit(2)), F.lit(0)).alias("filled"), F.nullif("id", F.lit(1)).alias("open"), (F.col("id") > 1).alias("y"))
+    rows = training_rows(df, ["id", "filled", "open"], "y")
+    asked = [line for line in rows._jdf.queryExecution().analyzed().toString().splitlines() if "atleastnnonnulls" in line.lower()]
+    assert len(asked) == 1 and "open" in asked[0] and "filled" not in asked[0]
+    assert sorted(r["id"] for r in rows.collect()) == [0, 2, 3]

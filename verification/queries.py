@@ -1066,7 +1066,7 @@ def forest_variants_auc(spark, d):
 @once
 def _folds(spark, d):
     """Five stratified folds of the one-hot flat file."""
-    matrix = stage(_flat_matrix(_labelled_file(spark, d)))
+    matrix = _flat_matrix(_labelled_file(spark, d))
     inputs = [c for c in matrix.columns if c not in ("id", "subscription_id", "did_churn", "was_active_end_of_year", "was_active_two_months")]
     return classifiers.cross_validate(matrix, inputs, "did_churn", "subscription_id")
 
